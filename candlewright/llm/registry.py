@@ -1,9 +1,17 @@
 """Queries of this subpackage and the SQL that some of them are checked against."""
 
+from .bpe import op8_bpe
+from .decontamination import op1_benchmark_decontamination
+from .ngram_join import op4_ngram_jaccard_join
 from .quality_rules import OP3_SQL, op3_quality_rules
+from .secret_scan import op6_secret_scan
 
 QUERIES = {
+    "op1_benchmark_decontamination": op1_benchmark_decontamination,
     "op3_quality_rules": op3_quality_rules,
+    "op4_ngram_jaccard_join": op4_ngram_jaccard_join,
+    "op6_secret_scan": op6_secret_scan,
+    "op8_bpe": op8_bpe,
 }
 
 SQL = {"op3_quality_rules": OP3_SQL}
