@@ -26,7 +26,7 @@ from .common import table, text_chunks
 
 #: Characters that str.split() takes for white space and the pattern's \s does not.
 _SEPARATORS = re.compile("[\x1c-\x1f]")
-_WHITE = re.compile(r"[\t-\r \x85\xa0  -     　]+")
+_WHITE = re.compile(r"[\t-\r\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
 
 
 def byte_characters() -> list[str]:
