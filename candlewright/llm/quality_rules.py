@@ -113,12 +113,14 @@ RULES = (
 
 
 def rule_order(docs: DataFrame, rules=RULES, text: str = "text", sample_rows: int = 2000) -> list[Rule]:
-    """Rules by rejections per second on at most ``sample_rows`` rows, best first; ties keep the given order.
+    """Rules by rejections per second on about ``sample_rows`` rows, best first; ties keep the given order.
 
-    The sample decides the order alone. An empty table keeps the given order.
+    The sample decides the order alone. It is drawn from all rows where they lie. An empty table keeps the
+    given order.
     """
     w = free_name(docs, "words")
-    sample = docs.select(F.col(f"`{text}`").alias(text)).limit(sample_rows).withColumn(w, words(F.col(f"`{text}`"))).cache()
+    share = min(1.0, sample_rows / max(docs.count(), 1))
+    sample = docs.select(F.col(f"`{text}`").alias(text)).sample(share, seed=3).withColumn(w, words(F.col(f"`{text}`"))).cache()
     rows = sample.count()
     counts, scores = Counts(text, w), []
     for rule in rules if rows else ():
