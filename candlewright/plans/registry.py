@@ -1,4 +1,7 @@
 """Registered queries of the candle engine and the SQL they are checked against."""
 
-QUERIES: dict = {}
-SQL: dict = {}
+from .batch import QUERIES as BATCH
+from .batch import SQL as BATCH_SQL
+
+QUERIES: dict = dict(BATCH)
+SQL: dict = dict(BATCH_SQL)
