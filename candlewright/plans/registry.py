@@ -1,7 +1,6 @@
 """Registered queries of the candle engine and the SQL they are checked against."""
 
-from .batch import QUERIES as BATCH
-from .batch import SQL as BATCH_SQL
+from . import batch, streams
 
-QUERIES: dict = dict(BATCH)
-SQL: dict = dict(BATCH_SQL)
+QUERIES: dict = batch.QUERIES | streams.QUERIES
+SQL: dict = batch.SQL | streams.SQL

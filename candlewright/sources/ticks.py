@@ -87,8 +87,12 @@ def validate_ticks(df: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def event_ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The events table as ticks: time 60 times as fast, every seventh event up to three minutes late."""
-    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    """The events table as ticks."""
+    return as_ticks(spark.read.parquet(f"{sf_dir}/events.parquet"))
+
+
+def as_ticks(events: DataFrame) -> DataFrame:
+    """Events, or a stream of them, as ticks: time 60 times as fast, every seventh event up to three minutes late."""
     ticks = events.selectExpr(
         "event_id as seq",
         "event_type as symbol",
