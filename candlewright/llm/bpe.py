@@ -36,14 +36,30 @@ def byte_characters() -> list[str]:
     return [chr(b) if b in plain else chr(next(rest)) for b in range(256)]
 
 
+class Recent(dict):
+    """Results of a function; of two generations of ``limit`` results each the older one goes when the newer is full."""
+
+    def __init__(self, make, limit: int):
+        super().__init__()
+        self.make, self.limit, self.older = make, limit, {}
+
+    def __missing__(self, key):
+        if len(self) >= self.limit:
+            self.older = dict(self)
+            self.clear()
+        found = self.older.get(key)
+        self[key] = found = self.make(key) if found is None else found
+        return found
+
+
 class WordBPE:
     """Vocabulary, merges and cuts of one tokenizer file."""
 
-    def __init__(self, path: str, limit: int = 200_000):
+    def __init__(self, path: str, limit: int = 250_000):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model = spec["model"]
-        self.limit, self.end = limit, model["end_of_word_suffix"] or ""
+        self.end = model["end_of_word_suffix"] or ""
         self.ids: dict[str, int] = model["vocab"]
         self.ranks = {tuple(m if isinstance(m, list) else m.split(" ")): i for i, m in enumerate(model["merges"])}
         self.added = {x["content"]: x["id"] for x in spec["added_tokens"]}
@@ -51,9 +67,11 @@ class WordBPE:
         self.added_pattern = re.compile("|".join(re.escape(t) for t in sorted(self.added, key=len, reverse=True)))
         self.words = regex.compile(spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"])
         self.characters = byte_characters()
-        self.inside = {p for t in self.ids for s in [self._symbols_of(t)] for p in zip(s, s[1:], strict=False)}
-        self.fragments: dict[tuple[str, ...], bytes] = {}
-        self.chunks: dict[str, bytes] = {}
+        pairs = {p for t in self.ids for s in [self._symbols_of(t)] for p in zip(s, s[1:], strict=False)}
+        # Neighbours inside some token: those at its end, with the mark of word ends taken off, and all others.
+        self.inside_end = {a + b.removesuffix(self.end) for a, b in pairs if self.end and len(b) > 1}
+        self.inside = {a + b for a, b in pairs if len(b) == 1}
+        self.fragments, self.chunks = Recent(self._fragment, limit), Recent(self._chunk, limit)
 
     def _symbols_of(self, token: str) -> list[str]:
         if self.end and token.endswith(self.end) and len(token) > len(self.end):
@@ -61,20 +79,19 @@ class WordBPE:
             return [*body[:-1], body[-1] + self.end]
         return list(token)
 
-    def cut(self, word: str) -> list[tuple[str, ...]]:
-        """Fragments of a word at its forced boundaries, as symbols."""
-        text = [self.characters[b] for b in word.encode("utf-8")]
-        text[-1] += self.end
-        out, begin = [], 0
-        for i in range(1, len(text)):
-            if (text[i - 1], text[i]) not in self.inside:
-                out.append(tuple(text[begin:i]))
-                begin = i
-        return [*out, tuple(text[begin:])]
-
-    def merged(self, symbols: tuple[str, ...]) -> list[int]:
+    def cut(self, word: str) -> list[str]:
+        """Fragments of a word at its forced boundaries; the last one bears the mark of word ends."""
+        plain = word.isascii() and word.isprintable()
+        text = word if plain else "".join([self.characters[b] for b in word.encode("utf-8")])
+        inside, last = self.inside, len(text) - 1
+        at = [i for i in range(1, last) if text[i - 1 : i + 1] not in inside]
+        if last and text[last - 1 :] not in (self.inside_end if self.end else inside):
+            at.append(last)
+        return [text[i:j] for i, j in zip([0, *at], at, strict=False)] + [text[at[-1] if at else 0 :] + self.end]
+
+    def merged(self, fragment: str) -> list[int]:
         """Ids of a fragment: the lowest-ranked pair is merged, leftmost first, until none is left."""
-        parts = list(symbols)
+        parts = self._symbols_of(fragment)
         while len(parts) > 1:
             rank, at = min((self.ranks.get((parts[i], parts[i + 1]), 1 << 30), i) for i in range(len(parts) - 1))
             if rank == 1 << 30:
@@ -82,26 +99,15 @@ class WordBPE:
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
         return [self.ids[p] for p in parts if p in self.ids]
 
-    def _fragment(self, symbols: tuple[str, ...]) -> bytes:
-        got = self.fragments.get(symbols)
-        if got is None:
-            if len(self.fragments) >= self.limit:
-                self.fragments.clear()
-            ids = self.merged(symbols)
-            got = self.fragments[symbols] = struct.pack(f"<{len(ids)}I", *ids)
-        return got
+    def _fragment(self, fragment: str) -> bytes:
+        ids = self.merged(fragment)
+        return struct.pack(f"<{len(ids)}I", *ids)
 
     def _chunk(self, chunk: str) -> bytes:
         """Little-endian ids of a stretch without white space."""
-        got = self.chunks.get(chunk)
-        if got is None:
-            if len(self.chunks) >= self.limit:
-                self.chunks.clear()
-            # Lower case is taken letter by letter, so a capital sigma is never a final one.
-            low = unicodedata.normalize("NFC", chunk).replace("Σ", "σ").lower()
-            got = b"".join(self._fragment(f) for w in self.words.findall(low) for f in self.cut(w))
-            self.chunks[chunk] = got
-        return got
+        # Lower case is taken letter by letter, so a capital sigma is never a final one.
+        low = unicodedata.normalize("NFC", chunk).replace("Σ", "σ").lower()
+        return b"".join([self.fragments[f] for w in self.words.findall(low) for f in self.cut(w)])
 
     def encode(self, text: str) -> bytes:
         """Ids of a text as little-endian unsigned 32-bit integers; strings of added tokens give their ids."""
@@ -113,7 +119,7 @@ class WordBPE:
 
     def _plain(self, text: str) -> bytes:
         chunks = [c for c in _WHITE.split(text) if c] if _SEPARATORS.search(text) else text.split()
-        return b"".join(map(self._chunk, chunks))
+        return b"".join(map(self.chunks.__getitem__, chunks))
 
     def decode(self, ids: list[int]) -> str:
         """Token strings joined by a space, as a tokenizer file without a decoder asks."""
