@@ -141,7 +141,8 @@ class Items:
                     if all(b <= c or a >= d for c, d in taken):
                         taken.append((a, b))
                         own = _fingerprints((sums[b] - sums[a])[None, :])[0]
-                        found.append((i, low + a, low + b - 1, score, int(np.bitwise_count(own ^ self.prints[i]))))
+                        shared = [k for k in range(a, b) if int(here[k]) in self.counts[i]]
+                        found.append((i, low + shared[0], low + shared[-1], score, int(np.bitwise_count(own ^ self.prints[i]))))
         return found
 
 
@@ -202,7 +203,8 @@ def _pass(docs: DataFrame, items: list[tuple[int, str]]) -> DataFrame:
 def contaminated_spans(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(doc_id, item_id, start, end, similarity, distance): windows of ``docs`` that hold a benchmark item.
 
-    start and end are code points of the text, end exclusive; distance is that of the fingerprints. A window
+    start and end are code points of what the window shares with the item, from its first shingle to its last,
+    end exclusive; distance is that of the fingerprints. A window
     has as many words as its item. Of overlapping windows of one item the most similar stays, then the first.
     Null and empty texts match nothing; repeated documents and items match alike; a document shorter than an
     item is compared whole. Items are taken in passes of at most ITEMS_A_PASS expected items, so that what a

@@ -1,7 +1,7 @@
 """Main text of web pages, with the templates of their site removed.
 
 Element subtrees are hashed (names and words below them) and counted once a page for each host, in Spark. A
-subtree that recurs on most pages of its host is template and is deleted, as are menus, headers, footers,
+subtree, a block and not a phrase, that recurs on most pages of its host is template and is deleted, as are menus, headers, footers,
 sidebars, notices, adverts, forms, scripts, styles and reader comments, known by their element or its names.
 What remains of the article, or of the body where no element is one, is cut into blocks.
 """
@@ -154,6 +154,11 @@ def boilerplate(node: Node, in_article: bool) -> bool:
     return said.get("role", "").lower() in ROLES or any(NAMED.fullmatch(n) for n in f"{said.get('class', '')} {said.get('id', '')}".split())
 
 
+def _is_template(node: Node, templates: frozenset[int]) -> bool:
+    """Whether the subtree is one of the site's; a word in bold that recurs is not."""
+    return node.hash in templates and node.tag not in INLINE
+
+
 def _is_main(node: Node) -> bool:
     return node.tag == "main" or bool(re.search(r"""role\s*=\s*["']?main\b""", node.attributes, re.IGNORECASE))
 
@@ -163,7 +168,7 @@ def _kept(root: Node, templates: frozenset[int]) -> list[Node]:
     articles, mains, open_ = [], [], [root]
     while open_:
         node = open_.pop()
-        if node is not root and (node.hash in templates or boilerplate(node, False)):
+        if node is not root and (_is_template(node, templates) or boilerplate(node, False)):
             continue
         if node.tag == "article":
             articles.append(node)
@@ -199,7 +204,7 @@ def extract(page: str, templates: frozenset[int] = frozenset()) -> str:
                 buffer.append(html.unescape(part))
             elif part.tag == "br":
                 buffer.append(" ")
-            elif part is top or not (part.hash in templates or boilerplate(part, in_article)):
+            elif part is top or not (_is_template(part, templates) or boilerplate(part, in_article)):
                 block = part.tag not in INLINE
                 if block:
                     flush()
@@ -235,7 +240,7 @@ def site_templates(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: floa
         for chunk in text_chunks(batches, "html"):
             for host, page in zip(chunk.column("host").to_pylist(), chunk.column("html").to_pylist(), strict=True):
                 counts[host, 0] += 1
-                counts.update({(host, node.hash) for node in hashed(parse(page or "")) if node.tag != "#root"})
+                counts.update({(host, node.hash) for node in hashed(parse(page or "")) if node.tag != "#root" and node.tag not in INLINE})
             if len(counts) > 200_000:
                 yield rows()
                 counts.clear()
