@@ -127,8 +127,8 @@ def train(docs: DataFrame, docs_each: int = TRAIN_DOCS) -> Network | None:
     if not counts:
         return None
     names = sorted(counts)
-    share = F.create_map(*(F.lit(v) for name in names for v in (name, min(1_000_000, int(1_000_000 * docs_each / counts[name]) + 1))))
-    drawn = usable.where(F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(1_000_000)) < F.coalesce(share[F.col("lang")], F.lit(0)))
+    share = F.create_map(*(c for name in names for c in (F.lit(name), F.lit(min(1 << 40, (docs_each << 40) // counts[name])).cast("long"))))
+    drawn = usable.where(F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(1 << 40)) < F.coalesce(share[F.col("lang")], F.lit(0)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for chunk in text_chunks(batches):

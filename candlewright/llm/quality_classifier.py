@@ -93,7 +93,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", rows: int
     known = labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull() & (fold("doc_id", 4) != HELD_OUT))
     total = known.count()
     share = min(1.0, rows / max(total, 1))
-    drawn = known.where(F.pmod(F.xxhash64("doc_id", F.lit(10)), F.lit(1_000_000)) < int(1_000_000 * share)).select("doc_id", F.col(label).cast("int").alias("label"))
+    drawn = known.where(F.pmod(F.xxhash64("doc_id", F.lit(10)), F.lit(1 << 40)) < int((1 << 40) * share)).select("doc_id", F.col(label).cast("int").alias("label"))
     joined = docs.select("doc_id", "text").join(F.broadcast(drawn) if total * share <= 2 * rows else drawn, "doc_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
