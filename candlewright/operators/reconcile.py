@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from candlewright.functions.time import INTERVALS
+from candlewright.functions.time import INTERVALS, millis_to_ntz
 
 from .aggregate import PRICES, in_range, rollup
 
@@ -35,6 +35,17 @@ def reconcile(actual: DataFrame, expected: DataFrame, round_expected: bool = Tru
     return changes, audit
 
 
+def append_audit(audit: DataFrame, path: str, batch: int, created_ms: int) -> None:
+    """Appends audit rows as one folder for each batch; a batch that is written again replaces its own rows."""
+    rows = audit.withColumnRenamed("interval", "interval_type").withColumn("created_at", millis_to_ntz(F.lit(created_ms)))
+    rows.write.mode("overwrite").parquet(f"{path}/batch={batch}")
+
+
+def read_audit(spark: SparkSession, path: str) -> DataFrame:
+    """All audit rows, with the batch that wrote them."""
+    return spark.read.option("basePath", path).parquet(path)
+
+
 def changed_only(new: DataFrame, existing: DataFrame) -> DataFrame:
     """Rows of ``new`` that ``existing`` has not, or has with other values."""
     joined = new.select(*KEY, *VALUES).alias("n").join(existing.select(*KEY, *VALUES).alias("o"), list(KEY), "left")
