@@ -75,8 +75,9 @@ def _repeat_words(words_: Column) -> Column:
 class Counts:
     """Counts of a text as expressions; those in ``ready`` are read from columns of these names instead."""
 
-    def __init__(self, text: str, words_: str, ready: tuple[str, ...] = ()):
-        self._text, self._words, self._ready = F.col(f"`{text}`"), F.col(f"`{words_}`"), ready
+    def __init__(self, text: str, words_: Column | str, ready: tuple[str, ...] = ()):
+        self._text, self._ready = F.col(f"`{text}`"), ready
+        self._words = F.col(f"`{words_}`") if isinstance(words_, str) else words_
 
     def __getattr__(self, name: str) -> Column:
         if name in self._ready:
@@ -145,10 +146,10 @@ def quality_filter(docs: DataFrame, text: str = "text", rules=RULES, sample_rows
     Null and blank texts have no words and go (few_words). Repeated rows are judged alike; an empty table
     stays empty. Other columns may have any names.
     """
-    w, reason = free_name(docs, "words"), free_name(docs, "reason")
     ordered = rule_order(docs, rules, text, sample_rows)
-    judged = docs.withColumn(w, words(F.col(f"`{text}`"))).withColumn(reason, first_reason(Counts(text, w), ordered))
-    return judged.where(F.col(f"`{reason}`").isNull()).drop(w, reason)
+    # Bound once: as a column of its own the words would be split anew wherever a pushed filter names them.
+    reason = _let(words(F.col(f"`{text}`")), lambda w: first_reason(Counts(text, w), ordered))
+    return docs.where(reason.isNull())
 
 
 BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
