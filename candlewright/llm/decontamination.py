@@ -13,6 +13,7 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -158,29 +159,35 @@ def _index(items: list[tuple[int, str]]) -> list[Items]:
     return [Items(ids, grams, size) for size, (ids, grams) in sorted(by_size.items())]
 
 
-def _pass(docs: DataFrame, items: list[tuple[int, str]]) -> DataFrame:
+def _found(texts: list[str | None], hashes: WordHashes, indexes: list[Items]) -> list[tuple[int, int, int, int, float, int]]:
+    """(text, item_id, first word, last word, similarity, distance) of all matches in some texts."""
+    words = [hashes.of(normal(t)) if t else np.empty(0, np.uint64) for t in texts]
+    ends = np.cumsum([len(w) for w in words])
+    flat, rows = np.concatenate(words), []
+    for index in indexes:
+        if len(flat) < index.size:
+            continue
+        grams = shingles(flat, index.size)
+        seeds = index.seeds(grams)
+        doc = np.searchsorted(ends, seeds, side="right")
+        inside = seeds + index.size <= ends[doc]
+        seeds, doc = seeds[inside], doc[inside]
+        for d in np.unique(doc).tolist():
+            begin = int(ends[d]) - len(words[d])
+            own = grams[begin : int(ends[d]) - index.size + 1]
+            for i, a, b, score, distance in index.matches(own, seeds[doc == d] - begin):
+                rows.append((d, index.ids[i], a, b + index.size - 1, score, distance))
+    return rows
+
+
+def _spans(docs: DataFrame, items: list[tuple[int, str]]) -> DataFrame:
     """Matches of a bounded number of items, which travel with the task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, indexes = WordHashes(), _index(items)
         for chunk in text_chunks(batches):
             texts = chunk.column("text").to_pylist()
-            words = [hashes.of(normal(t)) if t else np.empty(0, np.uint64) for t in texts]
-            ends = np.cumsum([len(w) for w in words])
-            flat, rows = np.concatenate(words), []
-            for index in indexes:
-                if len(flat) < index.size:
-                    continue
-                grams = shingles(flat, index.size)
-                seeds = index.seeds(grams)
-                doc = np.searchsorted(ends, seeds, side="right")
-                inside = seeds + index.size <= ends[doc]
-                seeds, doc = seeds[inside], doc[inside]
-                for d in np.unique(doc).tolist():
-                    begin = int(ends[d]) - len(words[d])
-                    own = grams[begin : int(ends[d]) - index.size + 1]
-                    for i, a, b, score, distance in index.matches(own, seeds[doc == d] - begin):
-                        rows.append((d, index.ids[i], a, b + index.size - 1, score, distance))
+            rows = _found(texts, hashes, indexes)
             if not rows:
                 continue
             spans = {d: [m.span() for m in _WORD.finditer(texts[d]) if normal(m[0])] for d in {r[0] for r in rows}}
@@ -200,6 +207,28 @@ def _pass(docs: DataFrame, items: list[tuple[int, str]]) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, columns)
 
 
+def _without(docs: DataFrame, items: list[tuple[int, str]]) -> DataFrame:
+    """Rows that match none of a bounded number of items."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes, indexes = WordHashes(), _index(items)
+        for chunk in text_chunks(batches):
+            bad = {r[0] for r in _found(chunk.column("text").to_pylist(), hashes, indexes)}
+            yield chunk.filter(pa.array([i not in bad for i in range(chunk.num_rows)], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
+def _passes(benchmark: DataFrame) -> Iterator[list[tuple[int, str]]]:
+    """The items with a text in parts of a bounded expected size, one after another."""
+    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where(F.col("text").isNotNull())
+    n, words = items.agg(F.count("*"), F.coalesce(F.sum(F.size(F.split("text", r"[\x20\x09-\x0D]+"))), F.lit(0))).first()
+    parts = max(1, math.ceil(n / ITEMS_A_PASS), math.ceil(words / WORDS_A_PASS))
+    for k in range(parts):
+        part = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == k).orderBy("item_id", "text")
+        yield [(r[0], r[1]) for r in part.toLocalIterator()]
+
+
 def contaminated_spans(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(doc_id, item_id, start, end, similarity, distance): windows of ``docs`` that hold a benchmark item.
 
@@ -210,21 +239,14 @@ def contaminated_spans(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     item is compared whole. Items are taken in passes of at most ITEMS_A_PASS expected items, so that what a
     task holds is bounded however many there are. An empty benchmark gives an empty result.
     """
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where(F.col("text").isNotNull())
-    n, words = items.agg(F.count("*"), F.coalesce(F.sum(F.size(F.split("text", r"[\x20\x09-\x0D]+"))), F.lit(0))).first()
-    passes = max(1, math.ceil(n / ITEMS_A_PASS), math.ceil(words / WORDS_A_PASS))
-    out = None
-    for k in range(passes):
-        part = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(passes)) == k).orderBy("item_id", "text")
-        found = _pass(docs, [(r[0], r[1]) for r in part.toLocalIterator()])
-        out = found if out is None else out.union(found)
-    return out
+    return reduce(DataFrame.union, (_spans(docs, items) for items in _passes(benchmark)))
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """Rows of ``docs`` whose text holds no benchmark item, columns unchanged; rows without a doc_id stay."""
-    leaks = contaminated_spans(docs, benchmark).select("doc_id").where("doc_id is not null").distinct()
-    return docs.join(leaks.withColumnRenamed("doc_id", "_leak_id"), F.col("doc_id") == F.col("_leak_id"), "left_anti")
+    """Rows of ``docs`` whose text holds no benchmark item, columns unchanged. Rows go where they lie, without a shuffle."""
+    for items in _passes(benchmark):
+        docs = _without(docs, items)
+    return docs
 
 
 def op1_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
