@@ -32,8 +32,14 @@ def seconds_to_ntz(s: Column) -> Column:
 
 
 def ntz_to_millis(ts: Column) -> Column:
-    zero = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
-    return F.timestamp_diff("MILLISECOND", zero, ts).cast("long")
+    """Milliseconds since 1970 of an NTZ timestamp, digits beyond cut off.
+
+    timestampdiff would go through the session's time zone and its summer time; the interval does not.
+    """
+    since = ts - F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
+    part = lambda unit: F.extract(F.lit(unit), since).cast("long")
+    millis = F.floor(F.extract(F.lit("SECOND"), since) * 1000).cast("long")
+    return part("DAY") * 86_400_000 + part("HOUR") * 3_600_000 + part("MINUTE") * 60_000 + millis
 
 
 def truncate(ts: Column, seconds: int) -> Column:

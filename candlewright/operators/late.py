@@ -1,8 +1,9 @@
 """Late ticks: who is late, which late ticks still count, and the candles that follow.
 
-A bucket's ticks are on time while no tick of a later bucket has arrived for the symbol and interval. Running
-maxima over arrival order are two-level prefix scans: within chunks of seq, and over the chunks' maxima, so
-that one busy symbol spreads over many tasks.
+A bucket's ticks are on time while no tick of a later bucket has arrived for the symbol and interval. What
+decides a tick's fate is a property of its bucket, kept in a directory with a row for each candle. Running
+maxima over arrival order, for those who want them, are two-level prefix scans: within chunks of seq, and over
+the chunks' maxima, so that one busy symbol spreads over many tasks.
 """
 
 from __future__ import annotations
@@ -41,33 +42,36 @@ def classify_late(ticks: DataFrame, intervals: tuple[str, ...], chunk: int = CHU
     return marked.withColumn("on_time", F.col("start_s") == F.col("high_s"))
 
 
-def bucket_directory(classified: DataFrame) -> DataFrame:
-    """The buckets that on-time ticks opened: place, and seq and arrival of the tick that closed each (null: open).
+def bucket_directory(bucketed: DataFrame, keep: int = KEEP) -> DataFrame:
+    """The buckets that were once the latest, in order: seq of their first tick, seq and arrival of the tick that
+    closed each, and seq of the tick from which on it no longer is one of the ``keep`` last closed (null: not yet).
 
-    It has a row for each candle, not for each tick.
+    A bucket is opened if its first tick finds no later bucket. That takes one row for each candle, summed up
+    before the shuffle; no window runs over ticks.
     """
-    opened = classified.where("on_time").groupBy(*KEY, "start_s").agg(F.min(F.struct("seq", "arrival_ms")).alias("o"))
+    first = bucketed.groupBy(*KEY, "start_s").agg(F.min(F.struct("seq", "arrival_ms")).alias("o"))
+    before = Window.partitionBy(*KEY).orderBy("o.seq").rowsBetween(Window.unboundedPreceding, -1)
+    opened = first.withColumn("_high", F.max("start_s").over(before)).where("_high is null or start_s > _high")
     over = Window.partitionBy(*KEY).orderBy("start_s")
     return opened.select(
-        *KEY, "start_s", F.row_number().over(over).cast("long").alias("place"),
-        F.lead("o.seq").over(over).alias("closed_seq"), F.lead("o.arrival_ms").over(over).alias("closed_ms"),
+        *KEY, "start_s", F.col("o.seq").alias("open_seq"), F.lead("o.seq").over(over).alias("closed_seq"),
+        F.lead("o.arrival_ms").over(over).alias("closed_ms"), F.lead("o.seq", keep + 1).over(over).alias("expired_seq"),
     )
 
 
-def apply_late(ticks: DataFrame, intervals: tuple[str, ...], keep: int = KEEP, ttl_ms: int = TTL_MS, chunk: int = CHUNK) -> DataFrame:
-    """Ticks for each interval with fate: on_time, late_applied or late_dropped.
+def apply_late(ticks: DataFrame, intervals: tuple[str, ...], keep: int = KEEP, ttl_ms: int = TTL_MS) -> DataFrame:
+    """Ticks for each interval with fate, on_time, late_applied or late_dropped, and closed_seq of their bucket.
 
     A late tick counts if its bucket is one of the ``keep`` last closed and was closed at most ``ttl_ms`` ago.
+    All of that stands in the bucket's row of the directory, so one join by candle settles it.
     """
-    classified = classify_late(ticks, intervals, chunk)
-    directory = bucket_directory(classified)
-    own = directory.select(*KEY, "start_s", F.col("place").alias("own_place"), "closed_ms")
-    now = directory.select(*KEY, F.col("start_s").alias("high_s"), F.col("place").alias("now_place"))
-    late = classified.where("not on_time").join(own, [*KEY, "start_s"], "left").join(now, [*KEY, "high_s"], "left")
-    applied = (F.col("now_place") - F.col("own_place") <= keep) & (F.col("arrival_ms") - F.col("closed_ms") <= ttl_ms)
-    columns = classified.columns
-    fated = late.withColumn("fate", F.when(F.coalesce(applied, F.lit(False)), "late_applied").otherwise("late_dropped"))
-    return classified.where("on_time").withColumn("fate", F.lit("on_time")).unionByName(fated.select(*columns, "fate")).drop("on_time", "high_s")
+    bucketed = with_bucket(expand_intervals(ticks, intervals))
+    joined = bucketed.join(bucket_directory(bucketed, keep), [*KEY, "start_s"], "left")
+    on_time = F.col("open_seq").isNotNull() & (F.col("closed_seq").isNull() | (F.col("seq") < F.col("closed_seq")))
+    recent = F.col("expired_seq").isNull() | (F.col("seq") < F.col("expired_seq"))
+    applied = F.col("open_seq").isNotNull() & recent & (F.col("arrival_ms") - F.col("closed_ms") <= ttl_ms)
+    fate = F.when(on_time, "on_time").when(applied, "late_applied").otherwise("late_dropped")
+    return joined.withColumn("fate", fate).drop("open_seq", "closed_ms", "expired_seq")
 
 
 def candles_with_late(ticks: DataFrame, intervals: tuple[str, ...], keep: int = KEEP, ttl_ms: int = TTL_MS) -> DataFrame:
@@ -87,9 +91,9 @@ def candle_revisions(ticks: DataFrame, intervals: tuple[str, ...], keep: int = K
         F.first("price").over(over).alias("open"), F.max("price").over(over).alias("high"), F.min("price").over(over).alias("low"),
         F.col("price").alias("close"), F.sum(scale_volume(F.col("quantity"))).over(over).alias("volume"), F.count("*").over(over).alias("trades"),
     )
-    on_time = kept.where("fate = 'on_time'")
-    directory = bucket_directory(on_time.withColumn("on_time", F.lit(True))).where("closed_seq is not null")
-    closed = candles_of(on_time).join(directory.select(*KEY, "start_s", "closed_seq"), [*KEY, "start_s"])
-    closed = closed.select(*KEY, "start_s", F.col("closed_seq").alias("seq"), F.lit("closed").alias("kind"), *PRICES, "volume", "trades")
+    on_time = kept.where("fate = 'on_time' and closed_seq is not null")
+    closing = on_time.groupBy(*KEY, "start_s").agg(F.first("closed_seq").alias("seq"))
+    closed = candles_of(on_time).join(closing, [*KEY, "start_s"])
+    closed = closed.select(*KEY, "start_s", "seq", F.lit("closed").alias("kind"), *PRICES, "volume", "trades")
     out = running.unionByName(closed)
     return out.withColumn("close_s", bucket_close(F.col("start_s"), interval_seconds()))

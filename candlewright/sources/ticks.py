@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from candlewright.functions.time import ntz_to_millis
+
 
 def read_trade_json(df: DataFrame, body: str = "value") -> DataFrame:
     """Ticks (symbol, price, quantity, event_ms) of trade messages {"data": {"s", "p", "q", "E"}}.
@@ -98,7 +100,8 @@ def as_ticks(events: DataFrame) -> DataFrame:
         "event_type as symbol",
         "cast(value as decimal(18,6)) as price",
         "cast(cast(cast(get_json_object(props, '$.k') as bigint) as decimal(18,8)) * cast(0.01 as decimal(3,2)) as decimal(18,8)) as quantity",
-        "timestampdiff(MILLISECOND, timestamp_ntz'2024-01-01 00:00:00', ts) div 60 + 1704067200000 as arrival_ms",
+        "ts",
         "user_id",
     )
+    ticks = ticks.withColumn("arrival_ms", F.floor((ntz_to_millis(F.col("ts")) - 1704067200000) / F.lit(60).cast("decimal(2,0)")).cast("long") + 1704067200000).drop("ts")
     return ticks.withColumn("event_ms", F.expr("arrival_ms - case when seq % 7 = 3 then (seq % 5) * 45000 else 0 end"))

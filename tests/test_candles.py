@@ -74,7 +74,10 @@ def test_late_rule_equals_sequential_model(spark, chunk):
     for seq, symbol, price, _, ms, arrival in rows:
         state = states.setdefault(symbol, CandleState(None, 3, 120_000))
         want += [(symbol, c[0], seq, kind, *c[1:]) for kind, c in state.tick(ms // 1000 // 60 * 60, int(price), 1, arrival)]
-    fates = D.apply_late(spark.createDataFrame(rows, TICK).repartition(5), ("1m",), chunk=chunk)
+    df = spark.createDataFrame(rows, TICK).repartition(5)
+    fates = D.apply_late(df, ("1m",))
+    marked = {(r.seq,): r.on_time for r in D.classify_late(df, ("1m",), chunk).collect()}
+    assert all(marked[(r.seq,)] == (r.fate == "on_time") for r in fates.collect())
     got = values(fates.where("fate = 'late_applied'"), "seq")
     assert got == sorted((w[2],) for w in want if w[3] == "late")
     revisions = D.candle_revisions(spark.createDataFrame(rows, TICK), ("1m",))
@@ -252,10 +255,10 @@ def test_subscriptions(spark):
 
 def test_times_do_not_depend_on_session_zone(spark):
     df = spark.sql("select timestamp_ntz'2024-03-31 02:34:56.789' as ts")
-    want = [tuple(r) for r in df.select(T.to_1m(F.col("ts")), T.to_5m(F.col("ts")), T.to_30m(F.col("ts"))).collect()]
+    want = [tuple(r) for r in df.select(T.to_1m(F.col("ts")), T.to_5m(F.col("ts")), T.to_30m(F.col("ts")), T.ntz_to_millis(F.col("ts"))).collect()]
     spark.conf.set("spark.sql.session.timeZone", "America/New_York")
     try:
-        assert [tuple(r) for r in df.select(T.to_1m(F.col("ts")), T.to_5m(F.col("ts")), T.to_30m(F.col("ts"))).collect()] == want
+        assert [tuple(r) for r in df.select(T.to_1m(F.col("ts")), T.to_5m(F.col("ts")), T.to_30m(F.col("ts")), T.ntz_to_millis(F.col("ts"))).collect()] == want
     finally:
         spark.conf.set("spark.sql.session.timeZone", "UTC")
     assert str(want[0][2]) == "2024-03-31 02:30:00"
