@@ -181,4 +181,4 @@ def identify(docs: DataFrame, network: Network | None) -> DataFrame:
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     found = identify(docs, train(docs))
-    return found.select("doc_id", (fold("doc_id", 4) == HELD_OUT).alias("held_out"), "lang_pred", "score")
+    return found.select("doc_id", F.coalesce(fold("doc_id", 4) == HELD_OUT, F.lit(False)).alias("held_out"), "lang_pred", "score")
