@@ -1,7 +1,9 @@
 """Language-model scoring by prediction by partial matching over bytes, and a word-count base score.
 
-Training texts are counted over all documents: words for the base, and runs of ORDER + 1 bytes for the trie,
-whose shorter contexts follow by adding up. A byte's probability comes from the longest context that has
+Training texts are counted over all documents: words for the base, and runs of ORDER + 1 bytes, whose shorter
+contexts follow by adding up. No run is left out: runs are dealt out by the three bytes before the last, so that
+each task has all followers of its contexts of three bytes and more; shorter contexts, of which there are at
+most 2^24 whatever the corpus, travel with the tasks. Prices go back to the chunks of text that asked for them. A byte's probability comes from the longest context that has
 seen it; each longer context that was seen without it passes on its escape probability, the number of its
 distinct followers over that number plus its total, and the followers of a longer context are excluded from
 a shorter one. What a byte costs thus depends on ORDER bytes before it alone, so that each distinct run of a
@@ -17,16 +19,20 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark import Broadcast
+from pyspark import Broadcast, TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fold, stored, table, text_chunks, utf8
+from .common import fold, mix, stored, table, text_chunks, utf8
 
 #: Bytes of context.
 ORDER = 5
-#: Nodes of the trie at its deepest level, and frequent words, that a task holds at most.
-TRIE_NODES, FREQUENT_WORDS = 2_000_000, 150_000
+#: Bytes of the longest context that travels with the tasks.
+LOW = 2
+#: Bytes of text whose runs are priced together, and bytes of all texts for each bucket of contexts.
+CHUNK = 16 << 20
+#: Frequent words that a task holds at most.
+FREQUENT_WORDS = 150_000
 #: Distinct words and runs of bytes that a counting task holds before it passes them on.
 HELD = 250_000
 
@@ -46,42 +52,110 @@ def _runs(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return packed[inside], np.cumsum(sizes) - sizes
 
 
-def _counts(docs: DataFrame) -> DataFrame:
-    """Partial counts (word, run, held_n, n) of the tasks; n counts training documents, held_n the others."""
+def _packed(numbers: np.ndarray) -> bytes:
+    return pa.compress(numbers.tobytes(), "zstd", asbytes=True)
 
-    def rows(words: tuple[Counter, Counter], runs: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
+
+def _unpacked(packed: bytes, size: int, kind: type) -> np.ndarray:
+    return np.frombuffer(pa.decompress(packed, size * np.dtype(kind).itemsize, "zstd", asbytes=True), kind)
+
+
+def _chunked(docs: DataFrame) -> DataFrame:
+    """(chunk, n_trains, n_bytes, rows): ``docs`` in chunks of about CHUNK bytes of text, or of one longer text, compressed."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number, held, parts = TaskContext.get().partitionId() << 32, 0, []
+
+        def row() -> pa.RecordBatch:
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, parts[0].schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+                for part in parts:
+                    out.write_batch(part)
+            trains = sum(pc.sum(part.column("trains")).as_py() or 0 for part in parts)
+            return pa.RecordBatch.from_arrays([pa.array([number]), pa.array([trains], pa.int64()), pa.array([held], pa.int64()), pa.array([sink.getvalue().to_pybytes()])], ["chunk", "n_trains", "n_bytes", "rows"])
+
+        for part in text_chunks(batches, size=min(CHUNK, 1 << 20)):
+            size = pc.sum(pc.binary_length(part.column("text"))).as_py() or 0
+            if parts and held + size > CHUNK:
+                yield row()
+                number, held, parts = number + 1, 0, []
+            held += size
+            parts.append(part)
+        if parts:
+            yield row()
+
+    return docs.mapInArrow(run, "chunk long, n_trains long, n_bytes long, rows binary")
+
+
+def _bucketed(runs: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Order of the runs by bucket, that is by the LOW + 1 bytes before their last, the buckets, and where each starts."""
+    bucket = (mix((runs >> 8 & ((1 << 8 * (LOW + 1)) - 1)).astype(np.uint64)) % np.uint64(buckets)).astype(np.int64)
+    order = np.argsort(bucket, kind="stable")
+    return order, *np.unique(bucket[order], return_index=True)
+
+
+_COUNTS = pa.schema([("word", pa.binary()), ("gram", pa.int64()), ("held_n", pa.int64()), ("n", pa.int64()), ("chunk", pa.int64()), ("bucket", pa.int64()), ("size", pa.int64()), ("runs", pa.binary()), ("times", pa.binary())])
+
+
+def _opened(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, Iterator[pa.RecordBatch]]]:
+    """Number and rows, in parts, of each chunk."""
+    for batch in batches:
+        for number, rows in zip(batch.column("chunk").to_pylist(), batch.column("rows"), strict=True):
+            yield number, iter(pa.ipc.open_stream(rows.as_buffer()))
+
+
+def _counts(chunks: DataFrame, buckets: int) -> DataFrame:
+    """Partial counts of the tasks; n counts training documents, held_n the others.
+
+    Rows (word, held_n, n); rows (gram, n) of runs of LOW + 1 bytes; and rows (chunk, bucket, size, runs, times) with
+    the distinct runs of a chunk, those that only other documents have included, as packed numbers.
+    """
+
+    def batch(rows: int, **columns: object) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) if f.name in columns else pa.nulls(rows, f.type) for f in _COUNTS], schema=_COUNTS)
+
+    def word_rows(words: tuple[Counter, Counter]) -> Iterator[pa.RecordBatch]:
         every = list(words[0].keys() | words[1].keys())
         for low in range(0, len(every), 50_000):
             part = every[low : low + 50_000]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(part, pa.binary()), pa.nulls(len(part), pa.int64()), pa.array([words[0][w] for w in part], pa.int64()), pa.array([words[1][w] for w in part], pa.int64())],
-                ["word", "run", "held_n", "n"],
-            )
-        if len(runs):
-            yield pa.RecordBatch.from_arrays([pa.nulls(len(runs), pa.binary()), pa.array(runs), pa.array(np.zeros(len(runs), np.int64)), pa.array(n)], ["word", "run", "held_n", "n"])
+            yield batch(len(part), word=part, held_n=[words[0][w] for w in part], n=[words[1][w] for w in part])
+
+    def add(runs: np.ndarray, n: np.ndarray, more: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        both, where = np.unique(np.concatenate([runs, more]), return_inverse=True)
+        return both, np.bincount(where, np.concatenate([n, times]), len(both)).astype(np.int64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, runs, n = (Counter(), Counter()), np.empty(0, np.int64), np.empty(0, np.int64)
-        for chunk in text_chunks(batches, size=1 << 21):
-            texts = [t.lower() for t in utf8(chunk)]
-            trains = chunk.column("trains").to_pylist()
-            for text, own in zip(texts, trains, strict=True):
-                words[own].update(text.split())
-            learnt = [t for t, own in zip(texts, trains, strict=True) if own]
-            if learnt:
-                new, times = np.unique(_runs(learnt)[0], return_counts=True)
-                both, where = np.unique(np.concatenate([runs, new]), return_inverse=True)
-                n = np.bincount(where, np.concatenate([n, times]), len(both)).astype(np.int64)
-                runs = both
-            if len(words[0]) + len(words[1]) > HELD:
-                yield from rows(words, runs[:0], n[:0])
-                words = (Counter(), Counter())
-            if len(runs) > 2 * HELD:
-                yield from rows((Counter(), Counter()), runs, n)
-                runs, n = runs[:0], n[:0]
-        yield from rows(words, runs, n)
-
-    return docs.select("text", "trains").mapInArrow(run, "word binary, run long, held_n long, n long")
+        none = np.empty(0, np.int64)
+        words, grams = (Counter(), Counter()), (none, none)
+        for number, parts in _opened(batches):
+            runs = (none, none)
+            for part in parts:
+                texts, trains = [t.lower() for t in utf8(part)], part.column("trains").to_pylist()
+                for text, own in zip(texts, trains, strict=True):
+                    words[own].update(text.split())
+                packed, starts = _runs(texts)
+                own = np.repeat(np.array(trains, np.int64), np.diff(np.append(starts, len(packed))))
+                runs = add(*runs, *add(none, none, packed, own))
+                if len(words[0]) + len(words[1]) > HELD:
+                    yield from word_rows(words)
+                    words = (Counter(), Counter())
+            learnt = runs[1] > 0
+            grams = add(*grams, runs[0][learnt] & ((1 << 8 * (LOW + 1)) - 1), runs[1][learnt])
+            order, names, starts = _bucketed(runs[0], buckets)
+            cut = [np.split(c[order].astype(t), starts[1:]) for c, t in zip(runs, (np.int64, np.uint32), strict=True)]
+            for low in range(0, len(names), 256):
+                at = slice(low, low + 256)
+                yield batch(
+                    len(names[at]), chunk=np.full(len(names[at]), number), bucket=names[at], size=[len(c) for c in cut[0][at]],
+                    runs=[_packed(c) for c in cut[0][at]], times=[_packed(c) for c in cut[1][at]],
+                )
+            if len(grams[0]) > 2 * HELD:
+                yield batch(len(grams[0]), gram=grams[0], n=grams[1])
+                grams = (none, none)
+        yield from word_rows(words)
+        yield batch(len(grams[0]), gram=grams[0], n=grams[1])
+
+    return chunks.select("chunk", "rows").mapInArrow(run, "word binary, gram long, held_n long, n long, chunk long, bucket long, size long, runs binary, times binary")
 
 
 def _at_most(counted: DataFrame, column: str, limit: int) -> int:
@@ -100,30 +174,35 @@ def _at_most(counted: DataFrame, column: str, limit: int) -> int:
 
 
 class Trie:
-    """Contexts of ORDER bytes and less in sorted arrays, with what each adds to the log probability.
+    """Contexts of ``order`` bytes and less in sorted arrays, with what each adds to the log probability.
+
+    With ``low``, the contexts that it has are its, and longer ones are learnt from the runs.
 
     Every follower of a context is one of its shorter contexts' too, so an escape excludes just the
     followers of the context it leaves.
     """
 
-    def __init__(self, runs: np.ndarray, n: np.ndarray, least: int = 1):
-        self.grams: list[tuple[np.ndarray, np.ndarray]] = [()] * (ORDER + 1)
-        for order in range(ORDER, -1, -1):
+    def __init__(self, runs: np.ndarray, n: np.ndarray, least: int = 1, order: int = ORDER, low: Trie | None = None):
+        self.grams: list[tuple[np.ndarray, np.ndarray]] = list(low.grams) if low else []
+        self.contexts = list(low.contexts) if low else []
+        known = len(self.grams)
+        self.grams += [()] * (order + 1 - known)
+        for k in range(order, known - 1, -1):
             keep = n >= least
-            self.grams[order] = runs[keep], n[keep].astype(np.float64)
-            runs, where = np.unique(runs & ((1 << 8 * order) - 1) if order else runs[:0], return_inverse=True) if order else (runs[:0], None)
-            n = np.bincount(where, n, len(runs)) if order else n[:0]
-        self.contexts = []
-        for order in range(ORDER + 1):
-            keys, count = self.grams[order]
+            self.grams[k] = runs[keep], n[keep].astype(np.float64)
+            if k > known:
+                runs, where = np.unique(runs & ((1 << 8 * k) - 1), return_inverse=True)
+                n = np.bincount(where, n, len(runs))
+        for k in range(known, order + 1):
+            keys, count = self.grams[k]
             context, where = np.unique(keys >> 8, return_inverse=True)
             total = np.bincount(where, count, len(context))
             kinds = np.bincount(where, minlength=len(context)).astype(np.float64)
             excluded = np.zeros(len(context))
-            if order:
+            if k:
                 # What the followers of this context weigh in the context one byte shorter.
-                low_keys, low_count = self.grams[order - 1]
-                at = np.searchsorted(low_keys, keys & ((1 << 8 * order) - 1))
+                low_keys, low_count = self.grams[k - 1]
+                at = np.searchsorted(low_keys, keys & ((1 << 8 * k) - 1))
                 excluded = np.bincount(where, low_count[at], len(context))
             self.contexts.append((context, total, kinds, excluded))
 
@@ -138,7 +217,7 @@ class Trie:
         """log10 probability of the last byte of each run, given the bytes before."""
         out, open_ = np.zeros(len(runs)), np.arange(len(runs))
         above = np.full(len(runs), -1)  # the context just left, by its place in the order above
-        for order in range(ORDER, -1, -1):
+        for order in range(len(self.grams) - 1, -1, -1):
             if not len(open_):
                 break
             key = runs[open_] & ((1 << 8 * (order + 1)) - 1)
@@ -165,38 +244,52 @@ class Trie:
             out[open_] -= math.log10(256 - (kinds[0] if len(kinds) else 0))
         return out
 
-    def score(self, texts: list[bytes]) -> np.ndarray:
-        runs, starts = _runs(texts)
-        distinct, where = np.unique(runs, return_inverse=True)
-        return np.add.reduceat(self.log10(distinct)[where], starts)
-
 
-def learn(docs: DataFrame, trie_nodes: int = TRIE_NODES) -> tuple[DataFrame, Trie]:
-    """Counts of all words, (word, n, every) in training and in all documents, and the trie; ``docs`` has text, trains.
+def learn(chunks: DataFrame, buckets: int) -> tuple[DataFrame, DataFrame]:
+    """Counts of all words, (word, n, every) in training and in all documents, and the prices of all runs.
 
-    Counts cover all documents. Of runs of bytes the trie keeps the ``trie_nodes`` most frequent at most, so
-    that its size is bounded; the base uses every word.
+    Prices are (chunk, bucket, size, prices): log10 probabilities of the last bytes of a chunk's distinct runs, in
+    order. Counts cover all documents, however rare a run is.
     """
-    partial = stored(_counts(docs))
+    partial = stored(_counts(chunks, buckets))
     words = stored(partial.where("word is not null").groupBy("word").agg(F.sum("n").alias("n"), F.sum(F.col("n") + F.col("held_n")).alias("every")))
-    runs = stored(partial.where("run is not null").groupBy("run").agg(F.sum("n").alias("n")))
-    least = _at_most(runs, "n", trie_nodes)
-    got = runs.where(F.col("n") >= least).toArrow()
-    order = np.argsort(got.column("run").to_numpy())
-    return words, Trie(got.column("run").to_numpy()[order], got.column("n").to_numpy()[order], least)
+    got = partial.where("gram is not null").groupBy("gram").agg(F.sum("n").alias("n")).toArrow()
+    order = np.argsort(got.column("gram").to_numpy())
+    low = chunks.sparkSession.sparkContext.broadcast(Trie(got.column("gram").to_numpy()[order], got.column("n").to_numpy()[order], order=LOW))
 
+    def price(group: pa.Table) -> pa.Table:
+        sizes = group.column("size").to_pylist()
+        runs, times = (np.concatenate([_unpacked(b, k, t) for b, k in zip(group.column(c).to_pylist(), sizes, strict=True)]) for c, t in (("runs", np.int64), ("times", np.uint32)))
+        runs, where = np.unique(runs, return_inverse=True)
+        n = np.bincount(where, times, len(runs)).astype(np.int64)
+        prices = Trie(runs[n > 0], n[n > 0], low=low.value).log10(runs)[where]
+        cut = np.split(prices, np.cumsum(sizes)[:-1])
+        return group.select(["chunk", "bucket", "size"]).append_column("prices", pa.array([_packed(c) for c in cut], pa.binary()))
 
-def _scored(docs: DataFrame, trie: Broadcast, frequent: Broadcast, cost: Broadcast) -> DataFrame:
-    """Per row of ``docs``, one row for the text and its frequent words, and one for each other word in it.
+    asked = partial.where("runs is not null").select("bucket", "chunk", "size", "runs", "times")
+    return words, asked.groupBy("bucket").applyInArrow(price, "chunk long, bucket long, size long, prices binary")
+
+
+def _scored(chunks: DataFrame, prices: DataFrame, buckets: int, frequent: Broadcast, cost: Broadcast) -> DataFrame:
+    """Per row of the chunks, one row for the text and its frequent words, and one for each other word in it.
 
     The row of a text has n_tokens over 0 and, so that such rows spread, a word of its own that no text holds.
     """
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, known, (floor, scale) = trie.value, frequent.value, cost.value
-        for chunk in text_chunks(batches, size=1 << 21):
+    def rows(left: pa.Table, right: pa.Table) -> Iterator[pa.RecordBatch]:
+        known, (floor, scale) = frequent.value, cost.value
+        parts = [part for _, parts in _opened(left.to_batches()) for part in parts]
+        distinct = np.empty(0, np.int64)
+        for part in parts:
+            distinct = np.union1d(distinct, _runs([t.lower() for t in utf8(part)])[0])
+        right, order = right.sort_by("bucket"), _bucketed(distinct, buckets)[0]
+        price = np.empty(len(distinct))
+        price[order] = np.concatenate([_unpacked(p, k, np.float64) for p, k in zip(right.column("prices").to_pylist(), right.column("size").to_pylist(), strict=True)])
+        for chunk in parts:
             texts = [t.lower() for t in utf8(chunk)]
-            scores, hash_ = model.score(texts), chunk.column("text_hash").to_pylist()
+            runs, starts = _runs(texts)
+            own, where = np.unique(runs, return_inverse=True)
+            scores, hash_ = np.add.reduceat(price[np.searchsorted(distinct, own)][where], starts), chunk.column("text_hash").to_pylist()
             at, words, times, tokens, hits, base = [], [], [], [], [], []
             for i, text in enumerate(texts):
                 counted = Counter(text.split())
@@ -224,10 +317,11 @@ def _scored(docs: DataFrame, trie: Broadcast, frequent: Broadcast, cost: Broadca
             )
 
     columns = "doc_id long, text_hash long, word binary, times long, n_tokens long, n_known long, base double, score double"
-    return docs.select("doc_id", "text_hash", "text").mapInArrow(run, columns)
+    texts = chunks.select("chunk", "rows")
+    return texts.groupBy("chunk").cogroup(prices.groupBy("chunk")).applyInArrow(lambda left, right: pa.Table.from_batches(rows(left, right)), columns)
 
 
-def lm_scores(docs: DataFrame, trains: Column, trie_nodes: int = TRIE_NODES, frequent_words: int = FREQUENT_WORDS) -> DataFrame:
+def lm_scores(docs: DataFrame, trains: Column, frequent_words: int = FREQUENT_WORDS) -> DataFrame:
     """(doc_id, n_tokens, n_known, train_tokens, base_score, score) of each row of ``docs`` (doc_id, text).
 
     Rows where ``trains`` is true are learnt from. Null texts read as empty: one token, the end. Repeated
@@ -236,10 +330,12 @@ def lm_scores(docs: DataFrame, trains: Column, trie_nodes: int = TRIE_NODES, fre
     each with few occurrences, are joined by word.
     """
     spark = docs.sparkSession
-    plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.coalesce(F.xxhash64("text"), F.lit(0)).alias("text_hash"), trains.alias("trains"))
-    words, trie = learn(plain, trie_nodes)
+    plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.coalesce(F.xxhash64("text"), F.lit(0)).alias("text_hash"), F.coalesce(trains, F.lit(False)).alias("trains"))
+    chunks = stored(_chunked(plain))
+    ends, size = chunks.agg(F.coalesce(F.sum("n_trains"), F.lit(0)), F.coalesce(F.sum("n_bytes"), F.lit(0))).first()
+    buckets = 1 + size // CHUNK
+    words, prices = learn(chunks, buckets)
     in_words, kinds = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count_if(F.col("n") > 0)).first()
-    ends = plain.where("trains").count()
     total, distinct = in_words + ends, kinds + (ends > 0)
     scale = math.log10(total + 0.1 * (distinct + 1))
     least = _at_most(words, "every", frequent_words)
@@ -247,7 +343,7 @@ def lm_scores(docs: DataFrame, trains: Column, trie_nodes: int = TRIE_NODES, fre
     got = common.select("word", "n").toArrow()
     frequent = dict(zip(got.column("word").to_pylist(), got.column("n").to_pylist(), strict=True))
     send = spark.sparkContext.broadcast
-    parts = _scored(plain, send(trie), send(frequent), send((math.log10(0.1), scale)))
+    parts = _scored(chunks, prices, buckets, send(frequent), send((math.log10(0.1), scale)))
     rare = words.where(F.col("every") < least).select("word", "n")
     joined = parts.join(rare, "word", "left")
     n = F.coalesce("n", F.lit(0))

@@ -337,6 +337,27 @@ def test_op7_probabilities_add_up(spark):
             assert (10 ** trie.log10(high | np.arange(256))).sum() == pytest.approx(1)
 
 
+def test_op7_learns_every_run(spark):
+    """Over two million distinct runs, each seen once, in many chunks and buckets."""
+    rng = np.random.default_rng(18)
+    rows = [(i, rng.integers(97, 123, 75_000, np.uint8).tobytes().decode()) for i in range(30)] + [(30, prose(random.Random(18), 200))]
+    got = {r.doc_id: r.score for r in lm_scoring.lm_scores(documents(spark, rows), F.col("doc_id") % 10 != 0).collect()}
+    runs, n = np.unique(lm_scoring._runs([t.encode() for d, t in rows if d % 10])[0], return_counts=True)
+    assert len(runs) > 2_000_000
+    trie = lm_scoring.Trie(runs, n)
+    for d in (0, 1, 20, 30):
+        assert got[d] == pytest.approx(trie.log10(lm_scoring._runs([rows[d][1].encode()])[0]).sum())
+
+
+def test_op7_chunks_and_buckets_change_nothing(spark, monkeypatch):
+    rng = random.Random(19)
+    docs = documents(spark, [(i, prose(rng, rng.randint(0, 60))) for i in range(60)]).repartition(3)
+    want = sorted(map(tuple, lm_scoring.lm_scores(docs, F.col("doc_id") % 10 != 0).collect()))
+    monkeypatch.setattr(lm_scoring, "CHUNK", 700)
+    got = sorted(map(tuple, lm_scoring.lm_scores(docs, F.col("doc_id") % 10 != 0).collect()))
+    assert [r[0] for r in got] == [r[0] for r in want] and all(a == pytest.approx(b) for a, b in zip(got, want, strict=True))
+
+
 def test_op7_nothing_to_learn(spark):
     got = lm_scoring.lm_scores(documents(spark, [(1, "ab"), (2, None)]), F.lit(False)).orderBy("doc_id").collect()
     assert [(r.n_tokens, r.n_known, r.train_tokens) for r in got] == [(2, 0, 0), (1, 0, 0)]
