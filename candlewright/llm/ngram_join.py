@@ -236,8 +236,9 @@ def _block(left: pa.Table) -> pa.Table:
 
 
 def near_duplicates(docs: DataFrame, recall: float = 0.999999) -> DataFrame:
-    """(doc_id, text_hash, sid, class_id, n_links) of each row of ``docs`` (doc_id, text).
+    """(doc_id, text_hash, sid, root, class_id, n_links) of each row of ``docs`` (doc_id, text).
 
+    root is the same for the rows of a class, and no others; it is null where sid is.
     class_id is the least doc_id of the class, a connected component of the links; n_links counts the other
     rows linked to this one, exact copies included. A text of one to four words is one window. A null or
     empty text has no links, a null sid and its own doc_id as class. Repeated rows are copies of each other.
@@ -298,23 +299,24 @@ def near_duplicates(docs: DataFrame, recall: float = 0.999999) -> DataFrame:
         labelled.select("sid", F.coalesce("root", "sid").alias("root"), (F.col("copies") - 1 + F.coalesce("n", F.lit(0))).alias("n_links"), F.col("first.doc_id").alias("doc_id"))
     )
     named = stored(labelled.groupBy("root").agg(F.min("doc_id").alias("class_id")))
-    known = stored(labelled.join(named, "root").select("sid", "class_id", "n_links"))
+    known = stored(labelled.join(named, "root").select("sid", "root", "class_id", "n_links"))
     rows = sig.select("doc_id", "text_hash", "sid").join(known, "sid", "left")
-    return rows.select("doc_id", "text_hash", "sid", F.when(F.col("sid").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"))
+    return rows.select("doc_id", "text_hash", "sid", "root", F.when(F.col("sid").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"))
 
 
 def one_of_each(docs: DataFrame, recall: float = 0.999999) -> DataFrame:
-    """Rows of ``docs`` with one of each class of near-duplicates: the row whose doc_id names the class.
+    """Rows of ``docs`` with one of each class of near-duplicates: that of the least doc_id, then of the least text hash.
 
-    Of repeated rows one stays. Texts without a word have no class and stay. Columns are unchanged.
+    A null doc_id comes last. Of repeated rows one stays. Texts without a word have no class and stay. Columns
+    are unchanged.
     """
     found = near_duplicates(docs.select("doc_id", "text"), recall)
-    stay = found.where(F.col("sid").isNull() | F.col("doc_id").eqNullSafe(F.col("class_id")))
-    stay = stay.groupBy("doc_id", "text_hash", F.col("sid").isNull().alias("bare")).agg(F.min("class_id").alias("class_id"))
-    # Two texts with one doc_id and one class: the lesser hash stays.
-    stay = stay.groupBy(F.col("doc_id").alias("_id"), "class_id", F.when(F.col("bare"), F.col("text_hash")).alias("_own")).agg(F.min("text_hash").alias("_hash"), F.first("bare").alias("_bare"))
+    least = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash")).alias("least")
+    stay = found.where("sid is not null").groupBy("root").agg(least).select(F.col("least.doc_id").alias("_id"), F.col("least.text_hash").alias("_hash"), F.lit(False).alias("_bare"))
+    bare = found.where("sid is null").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), F.lit(True).alias("_bare")).distinct()
+    stay = stay.union(bare)
     keyed = docs.withColumn("_text_hash", F.xxhash64("text"))
-    joined = keyed.join(stay.select("_id", "_hash", "_bare"), keyed["doc_id"].cast("long").eqNullSafe(F.col("_id")) & (keyed["_text_hash"] == F.col("_hash")))
+    joined = keyed.join(stay, keyed["doc_id"].cast("long").eqNullSafe(F.col("_id")) & (keyed["_text_hash"] == F.col("_hash")))
     once = joined.where("not _bare").dropDuplicates(["doc_id", "_text_hash"])
     return once.unionByName(joined.where("_bare")).drop("_text_hash", "_id", "_hash", "_bare")
 

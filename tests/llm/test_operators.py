@@ -213,6 +213,14 @@ def test_op4_odd_rows(spark):
     assert ngram_join.near_duplicates(documents(spark, ODD).limit(0)).count() == 0
 
 
+def test_op4_one_of_each_root(spark):
+    rng = random.Random(13)
+    a, b, c, d = (prose(rng, 60) for _ in range(4))
+    rows = [(None, a), (None, b), (None, b), (7, c), (7, d), (8, d), (9, a + " end"), (None, None), (None, "")]
+    left = ngram_join.one_of_each(documents(spark, rows))
+    assert Counter((r.doc_id, r.text) for r in left.collect()) == Counter([(9, a + " end"), (None, b), (7, c), (7, d), (None, None), (None, "")])
+
+
 def test_op4_runs():
     assert ngram_join.runs_for(0.999999, 0.8) > ngram_join.runs_for(0.99, 0.8) > ngram_join.runs_for(0.99, 0.95)
 
