@@ -34,16 +34,23 @@ _XOR = (_SEEDS[:POSITIONS] >> np.uint64(32)).astype(np.uint32)
 _MULTIPLY = (_SEEDS[POSITIONS:] >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
 
 
-def runs_for(recall: float, similarity: float, levels: int = LEVELS) -> int:
-    """Runs after which a pair of this similarity has met with probability ``recall``.
+def runs_for(recall: float, similarity: float, levels: int = 2 * LEVELS) -> int:
+    """Runs after which a pair of this similarity has met with probability ``recall``, in the deepest buckets.
 
-    A node has one child position, or two with probability 1/4; a pair follows each with the similarity.
+    A node has one child position, or two with probability 1/4; a pair follows each with the share of the
+    POSITIONS minima that its sets have in common, which is binomial about the similarity.
     """
-    lost = 0.0
+    shared = np.arange(POSITIONS + 1) / POSITIONS
+    ways = np.array([math.comb(POSITIONS, k) for k in range(POSITIONS + 1)], float)
+    weight = ways * similarity ** np.arange(POSITIONS + 1) * (1 - similarity) ** np.arange(POSITIONS, -1, -1)
+    lost = np.zeros(POSITIONS + 1)
     for _ in range(levels):
-        miss = 1 - similarity + similarity * lost
+        miss = 1 - shared + shared * lost
         lost = 0.75 * miss + 0.25 * miss * miss
-    return math.ceil(math.log(1 - recall) / math.log(lost))
+    runs = 1
+    while weight @ lost**runs > 1 - recall:
+        runs += 1
+    return runs
 
 
 def token_set(text: bytes, hashes: WordHashes) -> np.ndarray:

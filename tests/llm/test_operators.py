@@ -225,6 +225,22 @@ def test_op4_runs():
     assert ngram_join.runs_for(0.999999, 0.8) > ngram_join.runs_for(0.99, 0.8) > ngram_join.runs_for(0.99, 0.95)
 
 
+def test_op4_runs_reach_the_recall_in_split_buckets():
+    """Sketches drawn minimum by minimum, and both splits of a large bucket: what 128 minima and eight levels lose."""
+
+    def met(p, levels):
+        if levels == 0:
+            return 1.0
+        one = p * met(p, levels - 1)
+        return 0.75 * one + 0.25 * (1 - (1 - one) ** 2)
+
+    for similarity in (0.8, 0.9):
+        runs = ngram_join.runs_for(0.999999, similarity)
+        share = lambda k, s=similarity: math.comb(128, k) * s**k * (1 - s) ** (128 - k)
+        missed = lambda n: sum(share(k) * (1 - met(k / 128, 2 * ngram_join.LEVELS)) ** n for k in range(129))  # noqa: E731, B023
+        assert missed(runs) <= 1e-6 < missed(runs - 1)
+
+
 # 5
 
 
