@@ -155,8 +155,8 @@ def boilerplate(node: Node, in_article: bool) -> bool:
 
 
 def _is_template(node: Node, templates: frozenset[int]) -> bool:
-    """Whether the subtree is one of the site's; a word in bold that recurs is not."""
-    return node.hash in templates and node.tag not in INLINE
+    """Whether the subtree is one of the site's; a word in bold that recurs is not, nor is a whole page."""
+    return node.hash in templates and node.tag not in INLINE and node.tag not in SAFE
 
 
 def _is_main(node: Node) -> bool:
@@ -168,7 +168,7 @@ def _kept(root: Node, templates: frozenset[int]) -> list[Node]:
     articles, mains, open_ = [], [], [root]
     while open_:
         node = open_.pop()
-        if node is not root and (_is_template(node, templates) or boilerplate(node, False)):
+        if node is not root and ((node.tag != "article" and _is_template(node, templates)) or boilerplate(node, False)):
             continue
         if node.tag == "article":
             articles.append(node)
@@ -224,6 +224,7 @@ def host_of(url: Column) -> Column:
 def site_templates(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> DataFrame:
     """(host, hash) of subtrees on at least ``min_pages`` pages and ``min_share`` of all pages of their host.
 
+    Copies of a page are one page, in the share too. Only pages that have copies are dealt out for that.
     A host has at most 1/min_share times as many as one of its pages has elements. Tasks add up counts
     before the shuffle; the count of pages stands under hash 0.
     """
@@ -246,7 +247,11 @@ def site_templates(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: floa
                 counts.clear()
         yield rows()
 
-    seen = pages.select(host_of(F.col("url")).alias("host"), "html").mapInArrow(run, "host string, hash long, n long")
+    named = pages.select(host_of(F.col("url")).alias("host"), "html", F.xxhash64("html").alias("page"))
+    copied = stored(named.groupBy("host", "page").count().where("count > 1").select("host", "page"))
+    known = F.broadcast(copied) if copied.count() <= BROADCAST_ROWS else copied
+    once = named.join(known, ["host", "page"], "left_anti").union(named.join(known, ["host", "page"], "left_semi").dropDuplicates(["host", "page"]))
+    seen = once.select("host", "html").mapInArrow(run, "host string, hash long, n long")
     counted = stored(seen.groupBy("host", "hash").agg(F.sum("n").alias("n")).where((F.col("n") >= min_pages) | (F.col("hash") == 0)))
     total = counted.where("hash = 0").select("host", F.col("n").alias("pages"))
     return counted.where("hash <> 0").join(total, "host").where(F.col("n") >= min_share * F.col("pages")).select("host", "hash")
@@ -255,7 +260,7 @@ def site_templates(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: floa
 def main_text(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> DataFrame:
     """(page_id, url, text, n_chars) of each page of (page_id, url, html).
 
-    Null and empty pages have an empty text. Pages without a host share one. Repeated rows count as pages
+    Null and empty pages have an empty text. Pages without a host share one. Repeated rows count as one page
     and are extracted alike; whole pages are read however long; an empty table gives an empty result.
     """
     templates = stored(site_templates(pages, min_pages, min_share).groupBy("host").agg(F.collect_set("hash").alias("hashes")))

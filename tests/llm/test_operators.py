@@ -445,6 +445,20 @@ def test_op9_main_text_and_templates(spark):
     assert html_extraction.main_text(pages.limit(0)).count() == 0
 
 
+def test_op9_copies_are_one_page(spark, monkeypatch):
+    rows = [(i, "https://one.example/", PAGE.format("x")) for i in range(12)] + [(20 + i, "https://one.example/", PAGE.format(i)) for i in range(3)]
+    rows += [(40 + i, "https://two.example/", f"<html><body><article><p>Same words<p>but one</article><i>{i}</i></body></html>") for i in range(12)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(4)
+    for limit in (html_extraction.BROADCAST_ROWS, -1):
+        monkeypatch.setattr(html_extraction, "BROADCAST_ROWS", limit)
+        got = {r.page_id: r.text for r in html_extraction.main_text(pages).collect()}
+        assert got[0] == got[11] == "Head & line x\nOne two three four x\nFive\nax\nbx\nc1\nc2x\nqx\nRead our terms"
+        assert got[20].endswith("Read our terms")
+    node = html_extraction.parse("<html><body><article><p>Same words</article></body></html>")
+    every = frozenset(n.hash for n in html_extraction.hashed(node) if n.tag in ("html", "body", "article"))
+    assert html_extraction.extract("<html><body><article><p>Same words</article></body></html>", every) == "Same words"
+
+
 def test_op9_join_beyond_broadcast(spark, monkeypatch):
     pages = spark.createDataFrame([(i, f"https://h{i % 2}.example/{i}", PAGE.format(i)) for i in range(40)], "page_id long, url string, html string")
     want = sorted(map(tuple, html_extraction.main_text(pages).collect()))
