@@ -30,9 +30,11 @@ TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:
 ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title noscript template iframe noembed noframes xmp svg math".split())
+RAW = frozenset("script style textarea title noscript template iframe noembed noframes xmp".split())
 INLINE = frozenset(
-    "a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split()
+    "a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr "
+    "math mi mn mo ms mtext mrow mfrac msqrt mroot msub msup msubsup munder mover munderover mstyle mspace mpadded mphantom menclose mtable mtr mtd semantics annotation "
+    "svg g text tspan map object canvas".split()
 )
 #: Elements that end an open paragraph.
 ENDS_P = frozenset(
@@ -44,7 +46,7 @@ IMPLIED = {
     "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"table", "tr"}), "th": ({"td", "th"}, {"table", "tr"}),
     "tbody": ({"thead", "tbody", "tr", "td", "th"}, {"table"}), "tfoot": ({"tbody", "tr", "td", "th"}, {"table"}),
 }
-DROPPED = RAW | frozenset("head nav footer aside form button select input object canvas dialog menu audio video map datalist".split())
+DROPPED = RAW | frozenset("head nav footer aside form button select input dialog menu audio video datalist".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
 NAMES = (
     "nav navbar navigation menu submenu header masthead topbar footer bottombar sidebar aside ad ads adv advert adverts advertisement advertising "
@@ -52,7 +54,9 @@ NAMES = (
     "signup login comment comments commentlist disqus respond reply replies share sharing social related recommended recommendations breadcrumb breadcrumbs "
     "pagination pager widget widgets toolbar disclaimer alert skip"
 ).split()
-NAMED = re.compile(rf"(?:{'|'.join(NAMES)})|(?:{'|'.join(NAMES)})[-_].*|(?!(?:with|has|no|without)[-_]).*[-_](?:{'|'.join(NAMES)})", re.IGNORECASE)
+NAMED = re.compile(rf"(?:{'|'.join(NAMES)})|(?:{'|'.join(NAMES)})[-_].*|(?!(?:.*[-_])?(?:with|has|no|without)[-_]).*[-_](?:{'|'.join(NAMES)})", re.IGNORECASE)
+#: Names of an article's own head, by which nothing in an article goes.
+HEADS = re.compile(r"header|header[-_].*|.*[-_]header", re.IGNORECASE)
 #: Never dropped for a name of theirs, for layouts name the page after its sidebar.
 SAFE = frozenset("html body main".split())
 
@@ -140,8 +144,8 @@ def hashed(root: Node) -> list[Node]:
     return out
 
 
-def boilerplate(node: Node, in_article: bool) -> bool:
-    """Whether the element, by its name, role or names, is not part of the article."""
+def boilerplate(node: Node, in_article: bool, by_name: bool = True) -> bool:
+    """Whether the element, by its name, role or, with ``by_name``, names, is not part of the article."""
     if node.tag in DROPPED or (node.tag == "header" and not in_article):
         return True
     if not node.attributes:
@@ -151,7 +155,10 @@ def boilerplate(node: Node, in_article: bool) -> bool:
         return True
     if node.tag in SAFE:
         return False
-    return said.get("role", "").lower() in ROLES or any(NAMED.fullmatch(n) for n in f"{said.get('class', '')} {said.get('id', '')}".split())
+    if said.get("role", "").lower() in ROLES:
+        return True
+    names = f"{said.get('class', '')} {said.get('id', '')}".split()
+    return by_name and any(NAMED.fullmatch(n) and not (in_article and HEADS.fullmatch(n)) for n in names)
 
 
 def _is_template(node: Node, templates: frozenset[int]) -> bool:
@@ -164,11 +171,32 @@ def _is_main(node: Node) -> bool:
 
 
 def _kept(root: Node, templates: frozenset[int]) -> list[Node]:
-    """Outermost articles, else main elements, else the whole page, outside of boilerplate and template."""
+    """Outermost articles, else main elements, else the whole page, outside of boilerplate and template.
+
+    Names do not drop what holds the main element, nor what holds the article where no other stands outside.
+    """
+    articles, mains = _tops(root, templates, {"main"})
+    if not articles and not mains:
+        articles, mains = _tops(root, templates, {"main", "article"})
+    return articles or mains[:1] or [root]
+
+
+def _holders(root: Node, tags: set[str]) -> set[int]:
+    """Elements that are one of these or have one below them."""
+    out: set[int] = set()
+    for node in reversed(_walk(root)):
+        if node.tag in tags or ("main" in tags and _is_main(node)) or any(isinstance(p, Node) and id(p) in out for p in node.parts):
+            out.add(id(node))
+    return out
+
+
+def _tops(root: Node, templates: frozenset[int], spared: set[str]) -> tuple[list[Node], list[Node]]:
+    """Articles and main elements outside of boilerplate and template; names do not drop what holds one of ``spared``."""
+    holders = _holders(root, spared)
     articles, mains, open_ = [], [], [root]
     while open_:
         node = open_.pop()
-        if node is not root and ((node.tag != "article" and _is_template(node, templates)) or boilerplate(node, False)):
+        if node is not root and ((node.tag != "article" and _is_template(node, templates)) or boilerplate(node, False, id(node) not in holders)):
             continue
         if node.tag == "article":
             articles.append(node)
@@ -176,7 +204,7 @@ def _kept(root: Node, templates: frozenset[int]) -> list[Node]:
         if _is_main(node):
             mains.append(node)
         open_ += [p for p in reversed(node.parts) if isinstance(p, Node)]
-    return articles or mains[:1] or [root]
+    return articles, mains
 
 
 def extract(page: str, templates: frozenset[int] = frozenset()) -> str:

@@ -459,6 +459,24 @@ def test_op9_copies_are_one_page(spark, monkeypatch):
     assert html_extraction.extract("<html><body><article><p>Same words</article></body></html>", every) == "Same words"
 
 
+@pytest.mark.parametrize("name", ["page-with-sidebar", "layout-no-sidebar", "content-has-sidebar", "wrap_without_nav", "site-overlay", "with-left-sidebar"])
+@pytest.mark.parametrize("top", ["article", "main"])
+def test_op9_names_keep_the_article(name, top):
+    page = f'<body><div class="{name}"><{top}><p>Whole text</{top}><div class="left-sidebar">s</div></div>'
+    assert html_extraction.extract(page) == "Whole text"
+
+
+def test_op9_names_still_drop():
+    teasers = '<div class="related-posts"><article>teaser</article></div><div class="right-sidebar">s</div>'
+    assert html_extraction.extract(f"<body><article>One</article>{teasers}") == "One"
+    assert html_extraction.extract(f"<body><p>Bare</p>{teasers.replace('article', 'p')}") == "Bare"
+
+
+def test_op9_keeps_what_an_article_holds():
+    page = '<article><div class="entry-header"><h1>Title</h1></div><div id="post-header">By</div><p>Let <math><mi>x</mi><mo>=</mo><mn>2</mn></math> be<svg><style>s{}</style><text>drawn</text></svg><p><object>one</object> <canvas>two</canvas> <map>three</map><div class="ad">buy</div></article>'
+    assert html_extraction.extract(page) == "Title\nBy\nLet x=2 be\ndrawn\none two three"
+
+
 def test_op9_join_beyond_broadcast(spark, monkeypatch):
     pages = spark.createDataFrame([(i, f"https://h{i % 2}.example/{i}", PAGE.format(i)) for i in range(40)], "page_id long, url string, html string")
     want = sorted(map(tuple, html_extraction.main_text(pages).collect()))
