@@ -558,6 +558,12 @@ def fan_out(spark, sf):
     return L.fan_out(events, subscriptions(spark, sf)).select("seq", "symbol", "session_id")
 
 
+@query("fan_out_all", with_ticks(SUBSCRIPTIONS + " select t.seq, sub.symbol, session_id from ticks t join sub on sub.symbol = 's' || (t.seq % 5)"))
+def fan_out_all(spark, sf):
+    events = S.event_ticks(spark, sf).select("seq", F.concat(F.lit("s"), F.col("seq") % 5).alias("symbol"))
+    return L.fan_out(events, subscriptions(spark, sf)).select("seq", "symbol", "session_id")
+
+
 OVERLAY = STATS_24H + f""", kl as (select symbol, start_s, high, low, close, volume * 2 as volume from (select * from lc where interval = '1m' qualify row_number() over (partition by symbol order by start_s desc) = 1)),
 tk as (select symbol, price from v qualify row_number() over (partition by symbol order by seq desc) = 1),
 j as (select st.*, kl.start_s as ks, kl.high as kh, kl.low as kl_, cast(cast(kl.volume as decimal(28,8)) * 0.00000001 as decimal(28,8)) as kv, cast(coalesce(tk.price, kl.close, st.current) as decimal(18,6)) as p
