@@ -4,14 +4,15 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 #: Documents whose crc32(doc_id as text) mod 4 is this are held out of training.
 HELD_OUT = 2
@@ -117,6 +118,33 @@ def free_name(df: DataFrame, name: str) -> str:
     return name
 
 
+def quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
+def named(name: str) -> Column:
+    """The column of exactly this name, dots included."""
+    return F.col(quoted(name))
+
+
+def map_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: StructType) -> DataFrame:
+    """df.mapInArrow(run, schema) for any column names; Spark itself sees numbers only, so a dot in a name is no field."""
+    names, fields = df.columns, [StructField(f"c{i}", f.dataType, f.nullable) for i, f in enumerate(schema)]
+
+    def numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in run(b.rename_columns(names) for b in batches):
+            yield batch.rename_columns([f.name for f in fields])
+
+    plain = df.toDF(*(f"c{i}" for i in range(len(names))))
+    return plain.mapInArrow(numbered, StructType(fields)).toDF(*schema.names)
+
+
+def with_field(df: DataFrame, name: str, kind: str) -> tuple[DataFrame, StructType]:
+    """``df`` without column ``name``, and its schema with ``name`` of this type at the end."""
+    kept = df.select(*(named(c) for c in df.columns if c != name))
+    return kept, StructType([*kept.schema.fields, *StructType.fromDDL(f"{quoted(name)} {kind}").fields])
+
+
 #: Edges that a task of forest() reads, and nodes that it holds at most.
 FOREST_EDGES, FOREST_NODES = 400_000, 1_000_000
 
