@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import functools
 import hashlib
+import heapq
 import json
 import re
 import struct
@@ -20,15 +21,18 @@ import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from .common import table, text_chunks
+from .common import map_arrow, table, text_chunks, with_field
 
 #: Characters that str.split() takes for white space and the pattern's \s does not.
 _SEPARATORS = re.compile("[\x1c-\x1f]")
 _WHITE = re.compile(r"[\t-\r\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
 
 
+#: Characters of a word or fragment whose ids are kept for the next time.
+LONG = 64
+
+
 def byte_characters() -> list[str]:
     """A printable character for each byte: itself where Latin-1 prints it, else the next from U+0100."""
     plain = [*range(ord("!"), ord("~") + 1), *range(ord("¡"), ord("¬") + 1), *range(ord("®"), ord("ÿ") + 1)]
@@ -37,13 +41,18 @@ def byte_characters() -> list[str]:
 
 
 class Recent(dict):
-    """Results of a function; of two generations of ``limit`` results each the older one goes when the newer is full."""
+    """Results of a function; of two generations of ``limit`` results each the older one goes when the newer is full.
+
+    Results of keys of over LONG characters are not kept.
+    """
 
     def __init__(self, make, limit: int):
         super().__init__()
         self.make, self.limit, self.older = make, limit, {}
 
     def __missing__(self, key):
+        if len(key) > LONG:
+            return self.make(key)
         if len(self) >= self.limit:
             self.older = dict(self)
             self.clear()
@@ -90,14 +99,30 @@ class WordBPE:
         return [text[i:j] for i, j in zip([0, *at], at, strict=False)] + [text[at[-1] if at else 0 :] + self.end]
 
     def merged(self, fragment: str) -> list[int]:
-        """Ids of a fragment: the lowest-ranked pair is merged, leftmost first, until none is left."""
-        parts = self._symbols_of(fragment)
-        while len(parts) > 1:
-            rank, at = min((self.ranks.get((parts[i], parts[i + 1]), 1 << 30), i) for i in range(len(parts) - 1))
-            if rank == 1 << 30:
-                break
-            parts[at : at + 2] = [parts[at] + parts[at + 1]]
-        return [self.ids[p] for p in parts if p in self.ids]
+        """Ids of a fragment: the lowest-ranked pair is merged, leftmost first, until none is left.
+
+        Pairs wait in a heap over a linked list of parts, so that long runs of letters take no quadratic time.
+        """
+        parts: list[str | None] = list(self._symbols_of(fragment))
+        n, ranks = len(parts), self.ranks
+        before, after = list(range(-1, n - 1)), list(range(1, n + 1))
+        heap = [(ranks[p], i, *p) for i, p in enumerate(zip(parts, parts[1:], strict=False)) if p in ranks]
+        heapq.heapify(heap)
+        while heap:
+            _, i, left, right = heapq.heappop(heap)
+            j = after[i]
+            if parts[i] != left or j == n or parts[j] != right:
+                continue  # one of the two was merged since
+            parts[i], parts[j] = left + right, None
+            k = after[i] = after[j]
+            if k < n:
+                before[k] = i
+                if (pair := (parts[i], parts[k])) in ranks:
+                    heapq.heappush(heap, (ranks[pair], i, *pair))
+            h = before[i]
+            if h >= 0 and (pair := (parts[h], parts[i])) in ranks:
+                heapq.heappush(heap, (ranks[pair], h, *pair))
+        return [self.ids[p] for p in parts if p is not None and p in self.ids]
 
     def _fragment(self, fragment: str) -> bytes:
         ids = self.merged(fragment)
@@ -131,18 +156,14 @@ def load(path: str) -> WordBPE:
     return WordBPE(path)
 
 
-def _fields(df: DataFrame, but: str) -> tuple[list[str], str]:
-    kept = [f for f in df.schema if f.name != but]
-    return [f.name for f in kept], ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept)
-
-
 def encode(docs: DataFrame, path: str, text: str = "text", to: str = "input_ids") -> DataFrame:
     """``docs`` with the array<int> ``to`` of token ids of each whole text.
 
-    Null and empty texts, and texts of white space, have no ids. Other columns are carried unchanged; one
-    named ``to`` is replaced. What a task keeps of fragments and words is bounded.
+    Null and empty texts, and texts of white space, have no ids; an empty table gives an empty one. Repeated rows
+    are encoded alike. Other columns are carried unchanged, whatever their names; one named ``to`` is replaced.
+    A word of any length is one sequence and takes n log n time; what a task keeps of words is bounded.
     """
-    names, fields = _fields(docs, to)
+    kept, schema = with_field(docs, to, "array<int>")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = load(path)
@@ -152,12 +173,15 @@ def encode(docs: DataFrame, path: str, text: str = "text", to: str = "input_ids"
             ids = pa.array(np.frombuffer(b"".join(parts), "<i4"))
             yield pa.RecordBatch.from_arrays([*chunk.columns, pa.ListArray.from_arrays(pa.array(ends), ids)], [*chunk.schema.names, to])
 
-    return docs.select(*(F.col(f"`{c}`") for c in names)).mapInArrow(run, f"{fields}, `{to}` array<int>")
+    return map_arrow(kept, run, schema)
 
 
 def decode(df: DataFrame, path: str, ids: str = "input_ids", to: str = "decoded") -> DataFrame:
-    """``df`` with the string ``to`` decoded from the ids of each row; null ids decode to an empty string."""
-    names, fields = _fields(df, to)
+    """``df`` with the string ``to`` decoded from the ids of each row; null ids decode to an empty string.
+
+    Other columns are carried unchanged; one named ``to`` is replaced.
+    """
+    kept, schema = with_field(df, to, "string")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = load(path)
@@ -167,7 +191,7 @@ def decode(df: DataFrame, path: str, ids: str = "input_ids", to: str = "decoded"
                 texts = [bpe.decode(x or []) for x in part.column(ids).to_pylist()]
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string())], [*part.schema.names, to])
 
-    return df.select(*(F.col(f"`{c}`") for c in names)).mapInArrow(run, f"{fields}, `{to}` string")
+    return map_arrow(kept, run, schema)
 
 
 def _hex(data: bytes) -> str:

@@ -5,9 +5,10 @@ once. Each set is embedded as 128 minima of hash functions. A run starts with al
 picks one or two of the 128 positions, and a set follows it to the child named by its minimum there, that is,
 by a sampled token that the sets of a child share. After four levels small buckets are compared by brute
 force; large ones are split four levels further; what is still large then holds sets that are alike. Those
-form dense groups, which are compared block by block, so that a group of any size spreads over many tasks.
-Runs repeat until a pair at the threshold is met with the target probability. Every candidate pair is
-verified on its whole sets.
+form dense groups, which are compared block by block, so that a group of any size spreads over many tasks;
+what travels to the blocks is how each set differs from one of its group. Runs repeat until a pair at the
+threshold has met, in the deepest buckets and over the binomial spread of the 128 minima, with the target
+probability. Every candidate pair is verified on its whole sets.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ from .common import WordHashes, components, mix, shingles, stored, table, text_c
 POSITIONS = 128
 LEVELS = 4
 SMALL = 16
-BLOCK = 256
+BLOCK = 512
 #: Share of the sets whose bucket keys are counted to find hot buckets.
 SHARE = 64
 
@@ -207,34 +208,60 @@ def _verified(pairs: DataFrame) -> DataFrame:
     return pairs.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
 
 
+def _differences(members: DataFrame) -> DataFrame:
+    """Of rows (root, part, sid, copies, text, like): how the set of ``text`` differs from that of ``like``.
+
+    Returns (root, part, sid, copies, size, whole, off): the sizes of the set and of that of ``like``, and the hashes
+    that only one of them has, those of ``like`` first, with how many these are.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes, seen = WordHashes(), (None, np.empty(0, np.uint64))
+        for chunk in text_chunks(text_chunks(batches, "text"), "like"):
+            size, whole, lacks, off = [], [], [], []
+            for text, like in zip(utf8(chunk), utf8(chunk, "like"), strict=True):
+                if seen[0] != like:
+                    seen = (like, token_set(like, hashes))
+                own = token_set(text, hashes)
+                lack, more = np.setdiff1d(seen[1], own, assume_unique=True), np.setdiff1d(own, seen[1], assume_unique=True)
+                size.append(len(own))
+                whole.append(len(seen[1]))
+                lacks.append(len(lack))
+                off.append(lack.tobytes() + more.tobytes())
+            made = [pa.array(size, pa.int64()), pa.array(whole, pa.int64()), pa.array(lacks, pa.int64()), pa.array(off, pa.binary())]
+            yield pa.RecordBatch.from_arrays([*(chunk.column(c) for c in ("root", "part", "sid", "copies")), *made], ["root", "part", "sid", "copies", "size", "whole", "lacks", "off"])
+
+    return members.select("root", "part", "sid", "copies", "text", "like").mapInArrow(run, "root long, part int, sid long, copies long, size long, whole long, lacks long, off binary")
+
+
 def _block(left: pa.Table) -> pa.Table:
-    """Links of one pair of blocks: per set the copies it is linked to, and a spanning forest of the links."""
-    hashes = WordHashes()
-    sid = left.column("sid").to_numpy()
-    order = np.argsort(sid, kind="stable")
-    sid = sid[order]
-    part, copies = left.column("part").to_numpy()[order], left.column("copies").to_numpy()[order]
-    texts = left.column("text").cast(pa.binary()).to_pylist()
-    sets = [token_set(texts[i], hashes) for i in order]
-    sizes = np.array([len(s) for s in sets], np.int64)
-    names, where = np.unique(np.concatenate(sets), return_inverse=True)
-    owner = np.repeat(np.arange(len(sets)), sizes)
+    """Links of one pair of blocks: per set the copies it is linked to, and a spanning forest of the links.
+
+    Sets A and B that lack a and b hashes of R and have others besides share |R| - a - b hashes, and those that
+    both lack, and those that both have besides.
+    """
+    order = np.argsort(left.column("sid").to_numpy(), kind="stable")
+    sid, part, copies, sizes, lacks = (left.column(c).to_numpy()[order] for c in ("sid", "part", "copies", "size", "lacks"))
+    whole, off = int(left.column("whole")[0].as_py()), left.column("off").to_pylist()
+    off = [np.frombuffer(off[i], np.uint64) for i in order]
+    names, where = np.unique(np.concatenate(off), return_inverse=True)
+    owner = np.repeat(np.arange(len(off)), [len(x) for x in off])
     by_name = np.argsort(where, kind="stable")
     where, owner = where[by_name], owner[by_name]
-    both = np.zeros((len(sets), len(sets)), np.float32)
+    both = np.zeros((len(off), len(off)), np.float32)
     for low in range(0, len(names), 4096):
         at = slice(*np.searchsorted(where, [low, low + 4096]))
-        has = np.zeros((len(sets), 4096), np.float32)
+        has = np.zeros((len(off), min(4096, len(names) - low)), np.float32)
         has[owner[at], where[at] - low] = 1
         both += has @ has.T
-    shared = both.astype(np.int64)
+    shared = whole - lacks[:, None] - lacks[None, :] + both.astype(np.int64)
     linked = 5 * shared >= 4 * (sizes[:, None] + sizes[None, :] - shared)
     np.fill_diagonal(linked, False)
     if part.min() != part.max():
         linked &= part[:, None] != part[None, :]
-    root = np.arange(len(sets))
+    root = np.arange(len(off))
     while True:  # the least index that each can reach
-        low = np.minimum(root, np.where(linked, root[None, :], len(sets)).min(axis=1))
+        low = np.minimum(root, np.where(linked, root[None, :], len(off)).min(axis=1))
         low = np.minimum(low, low[low])
         if (low == root).all():
             break
@@ -249,7 +276,8 @@ def near_duplicates(docs: DataFrame, recall: float = 0.999999) -> DataFrame:
     class_id is the least doc_id of the class, a connected component of the links; n_links counts the other
     rows linked to this one, exact copies included. A text of one to four words is one window. A null or
     empty text has no links, a null sid and its own doc_id as class. Repeated rows are copies of each other.
-    A null doc_id takes part; its class is named by the others'. An empty table gives an empty result.
+    A null doc_id takes part; its class is named by the others'. An empty table gives an empty result. Other
+    columns of ``docs`` are not looked at.
     """
     sig = stored(signatures(docs))
     sets = stored(sig.where(F.col("sid").isNotNull()).groupBy("sid").agg(F.count("*").alias("copies"), F.min(F.struct("doc_id", "text_hash")).alias("first")))
@@ -288,15 +316,17 @@ def near_duplicates(docs: DataFrame, recall: float = 0.999999) -> DataFrame:
             .join(texts.select(F.col("sid").alias("a"), F.col("text").alias("text_a")), "a")
         )
     )
-    group_size = stored(dense.groupBy("root").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("m")))
+    group_size = dense.groupBy("root").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("m"), F.min("sid").alias("like_sid"))
+    group_size = stored(group_size.select("root", "m", "like_sid"))
     copies = sets.select("sid", "copies")
     member = dense.join(group_size, "root").join(copies, "sid").withColumn("part", F.pmod(F.xxhash64("sid"), F.col("m")).cast("int"))
-    paired = member.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("m") - 1))).select(
-        "root", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "sid", "part", "copies"
-    )
-    blocks = stored(
-        paired.join(texts, "sid").groupBy("root", "i", "j").applyInArrow(_block, "a long, b long, n long")
-    )
+    # Each member meets one text of its group, once; a copy of that for each part, so that large groups spread.
+    like = group_size.join(texts.withColumnsRenamed({"sid": "like_sid", "text": "like"}), "like_sid")
+    like = like.select("root", F.explode(F.sequence(F.lit(0), F.col("m") - 1)).alias("part"), "like")
+    apart = stored(_differences(member.join(texts, "sid").join(like, ["root", "part"])))
+    paired = apart.join(group_size.select("root", "m"), "root").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("m") - 1)))
+    paired = paired.withColumn("i", F.least("part", "other")).withColumn("j", F.greatest("part", "other"))
+    blocks = stored(paired.select("root", "i", "j", *apart.columns[1:]).groupBy("root", "i", "j").applyInArrow(_block, "a long, b long, n long"))
     ends = links.select(F.col("a").alias("sid"), F.col("b").alias("other")).union(links.select(F.col("b").alias("sid"), F.col("a").alias("other")))
     gained = ends.join(copies.withColumnRenamed("sid", "other"), "other").select("sid", F.col("copies").alias("n"))
     gained = gained.union(blocks.select(F.col("a").alias("sid"), "n")).groupBy("sid").agg(F.sum("n").alias("n"))
@@ -315,17 +345,19 @@ def one_of_each(docs: DataFrame, recall: float = 0.999999) -> DataFrame:
     """Rows of ``docs`` with one of each class of near-duplicates: that of the least doc_id, then of the least text hash.
 
     A null doc_id comes last. Of repeated rows one stays. Texts without a word have no class and stay. Columns
-    are unchanged.
+    are unchanged, whatever their names; an empty table stays empty.
     """
     found = near_duplicates(docs.select("doc_id", "text"), recall)
     least = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash")).alias("least")
-    stay = found.where("sid is not null").groupBy("root").agg(least).select(F.col("least.doc_id").alias("_id"), F.col("least.text_hash").alias("_hash"), F.lit(False).alias("_bare"))
-    bare = found.where("sid is null").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), F.lit(True).alias("_bare")).distinct()
+    stay = found.where("sid is not null").groupBy("root").agg(least).select("least.doc_id", "least.text_hash", F.lit(False).alias("bare"))
+    bare = found.where("sid is null").select("doc_id", "text_hash", F.lit(True).alias("bare")).distinct()
     stay = stay.union(bare)
-    keyed = docs.withColumn("_text_hash", F.xxhash64("text"))
-    joined = keyed.join(stay, keyed["doc_id"].cast("long").eqNullSafe(F.col("_id")) & (keyed["_text_hash"] == F.col("_hash")))
-    once = joined.where("not _bare").dropDuplicates(["doc_id", "_text_hash"])
-    return once.unionByName(joined.where("_bare")).drop("_text_hash", "_id", "_hash", "_bare")
+    # Numbers instead of the names of the columns, which might be those used here.
+    keyed = docs.toDF(*(f"c{i}" for i in range(len(docs.columns))))
+    own, text = (F.col(f"c{docs.columns.index(c)}") for c in ("doc_id", "text"))
+    joined = keyed.withColumn("own_hash", F.xxhash64(text)).join(stay, own.cast("long").eqNullSafe(F.col("doc_id")) & (F.col("own_hash") == F.col("text_hash")))
+    once = joined.where("not bare").dropDuplicates(["doc_id", "own_hash"])
+    return once.unionByName(joined.where("bare")).select(*keyed.columns).toDF(*docs.columns)
 
 
 def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

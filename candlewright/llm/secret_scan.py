@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import free_name, table, text_chunks
+from .common import free_name, map_arrow, table, text_chunks, with_field
 
 ASSIGN = re.compile(
     r"""([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -149,8 +149,7 @@ def secret_spans(docs: DataFrame, text: str = "text", to: str = "secrets") -> Da
     Null and empty texts have none; whole texts are scanned however long; repeated rows are alike; other
     columns are carried unchanged, and one named ``to`` is replaced.
     """
-    names = [c for c in docs.columns if c != to]
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*(F.col(f"`{c}`") for c in names)).schema)
+    kept, schema = with_field(docs, to, _SPANS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
@@ -158,7 +157,7 @@ def secret_spans(docs: DataFrame, text: str = "text", to: str = "secrets") -> Da
             spans = [[{"kind": k, "start": a, "end": b} for a, k, b in scan(t)] if t else [] for t in chunk.column(text).to_pylist()]
             yield pa.RecordBatch.from_arrays([*chunk.columns, pa.array(spans, kind)], [*chunk.schema.names, to])
 
-    return docs.select(*(F.col(f"`{c}`") for c in names)).mapInArrow(run, f"{fields}, `{to}` {_SPANS}")
+    return map_arrow(kept, run, schema)
 
 
 def redact(docs: DataFrame, text: str = "text", length: str | None = "n_chars") -> DataFrame:
@@ -166,7 +165,6 @@ def redact(docs: DataFrame, text: str = "text", length: str | None = "n_chars")
 
     Null texts stay null; rows and columns are kept, and ``length`` is left alone where it is absent, or null.
     """
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for chunk in text_chunks(batches, text):
@@ -174,7 +172,7 @@ def redact(docs: DataFrame, text: str = "text", length: str | None = "n_chars")
             at = chunk.schema.get_field_index(text)
             yield chunk.set_column(at, chunk.schema.field(at), pa.array(new, chunk.schema.field(at).type))
 
-    out = docs.mapInArrow(run, fields)
+    out = map_arrow(docs, run, docs.schema)
     if length is None or length not in docs.columns:
         return out
     now = F.char_length(F.col(f"`{text}`")).cast(docs.schema[length].dataType)

@@ -9,7 +9,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
-from helpers import classes, documents, words
+from helpers import classes, documents, item_matches, words
 from pyspark.sql import functions as F
 
 from candlewright.llm import bpe, chat_format, common, html_extraction, language_id, lm_scoring, ngram_join, quality_classifier, quality_rules, secret_scan
@@ -82,7 +82,60 @@ def test_op1_hamming_index_is_complete():
     flips = np.array([sum(1 << int(b) for b in rng.choice(64, rng.integers(0, 24), replace=False)) for _ in range(300)], np.uint64)
     prints = items.prints[rng.integers(0, 40, 300)] ^ flips
     want = {(i, j) for i in range(300) for j in range(40) if bin(int(prints[i] ^ items.prints[j])).count("1") <= dec.RADIUS}
-    assert set(zip(*(x.tolist() for x in items.near(prints)), strict=True)) == want
+    assert set(zip(*(x.tolist() for x in items.near(prints, 0)), strict=True)) == want
+
+
+def test_op1_recall_at_the_threshold(spark):
+    """Against all windows: items with so many words changed that their similarity lies just over 0.8."""
+    rng = random.Random(6)
+    items = [(i, prose(rng, rng.randint(15, 60))) for i in range(60)]
+    docs = []
+    for d in range(600):
+        words_ = items[d % 60][1].split()
+        for at in range(rng.randint(0, 2)):
+            words_[rng.choice((0, 1, len(words_) - 2, len(words_) - 1, rng.randrange(len(words_))))] = f"new{at}"
+        docs.append((d, f"{prose(rng, rng.randint(0, 30))} {' '.join(words_)} {prose(rng, 20)}"))
+    want = item_matches(docs, items)
+    got = {(r.doc_id, r.item_id): r.similarity for r in dec.contaminated_spans(documents(spark, docs), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert len([s for s in want.values() if s < 0.9]) > 100
+    assert got.keys() <= want.keys() and len(got) >= 0.99 * len(want)
+    assert all(got[k] == pytest.approx(want[k]) for k in got)
+
+
+def test_op1_query_against_all_windows(spark):
+    docs, bench = ([r[:2] for r in table(spark, t)] for t in ("documents", "benchmark"))
+    got = {(r.doc_id, r.item_id) for r in dec.op1_benchmark_decontamination(spark, SF).collect()}
+    assert got == item_matches(docs, bench).keys() and got
+
+
+def test_op1_long_text_full_of_items(spark):
+    rng = random.Random(8)
+    item = prose(rng, 30)
+    text = " ".join([item] * 3000 + [prose(rng, 50_000)])
+    got = dec.contaminated_spans(documents(spark, [(1, text), (2, text)]), spark.createDataFrame([(9, item)], "item_id long, text string"))
+    assert [(r.doc_id, r["count"]) for r in got.groupBy("doc_id").count().orderBy("doc_id").collect()] == [(1, 3000), (2, 3000)]
+    assert all(text[r.start : r.end] == item for r in got.where("doc_id = 1 and similarity = 1").collect())
+
+
+def odd_columns(docs):
+    """The rows of ``docs`` with columns that operators might use for themselves, and names with dots and marks."""
+    names = ["sid", "_id", "_hash", "_bare", "_text_hash", "text_hash", "root", "class_id", "words", "reason", "key", "a.b", "c`d", "n", "item_id", "to", "secrets"]
+    return docs.withColumns({n if n.isidentifier() else n.replace(".", "?").replace("`", "!"): F.lit(i) for i, n in enumerate(names)}).toDF(*docs.columns, *names)
+
+
+def test_stages_keep_any_columns(spark):
+    """Every operator of the pipeline on a table with clashing names."""
+    rng = random.Random(9)
+    text = prose(rng, 40)
+    docs = odd_columns(documents(spark, [(1, text), (2, text + " end"), (3, prose(rng, 40) + " token=abcdefgh123"), (4, None)]))
+    bench = spark.createDataFrame([(1, prose(rng, 20))], "item_id long, text string")
+    for out, n in ((quality_rules.quality_filter(docs), 3), (ngram_join.one_of_each(docs), 3), (dec.decontaminate(docs, bench), 4), (secret_scan.redact(docs), 4)):
+        assert out.columns == docs.columns
+        rows = out.collect()
+        assert len(rows) == n and all(r["a.b"] == 11 and r["c`d"] == 12 for r in rows)
+    coded = bpe.decode(bpe.encode(docs, bpe.default_path(), to="to"), bpe.default_path(), ids="to")
+    assert sorted(coded.columns) == sorted([*docs.columns, "decoded"]) and coded.count() == 4
+    assert secret_scan.secret_spans(docs).where("doc_id = 3").first()["secrets"][0]["kind"] == "assign"
 
 
 def test_op1_passes_and_odd_input(spark, monkeypatch):
