@@ -9,10 +9,23 @@ SCALE = 100_000_000
 
 
 def scale_volume(quantity: Column) -> Column:
-    """Quantity times 10**8 as a bigint, digits beyond cut off; null, negative and too large values are errors."""
+    """Quantity, a decimal, times 10**8 as a bigint, digits beyond cut off; null, negative and too large values are errors.
+
+    The error may be raised before an earlier filter has dropped the row, if a later filter looks at the result;
+    where both are wanted, use try_scale_volume.
+    """
     bad = quantity.isNull() | (quantity < 0)
-    cut = (quantity * F.lit(SCALE).cast("decimal(10,0)")).cast("bigint")
-    return F.when(bad, F.raise_error(F.lit("volume must not be null or negative")).cast("bigint")).otherwise(cut)
+    return F.when(bad, F.raise_error(F.lit("volume must not be null or negative")).cast("bigint")).otherwise(_units(quantity).cast("bigint"))
+
+
+def try_scale_volume(quantity: Column) -> Column:
+    """As scale_volume, but null where that is an error."""
+    return F.when(quantity >= 0, _units(quantity).try_cast("bigint"))
+
+
+def _units(quantity: Column) -> Column:
+    """10**8 times the quantity, cut off first: a product of long decimals would be rounded."""
+    return F.floor(quantity, F.lit(8)) * F.lit(SCALE).cast("decimal(10,0)")
 
 
 def unscale_volume(volume: Column) -> Column:

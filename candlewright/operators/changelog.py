@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from candlewright.functions.names import fresh
+
 from .ordered import HOT_ROWS, dedupe_keep_last, latest_n
 
 KEY = ("symbol", "interval", "start_s")
@@ -28,8 +30,10 @@ def put_bucket(window: DataFrame, candles: DataFrame, n: int = HOT_ROWS) -> Data
 
 def put_range(window: DataFrame, candles: DataFrame, n: int = HOT_ROWS) -> DataFrame:
     """A hot window after a batch took the place of all buckets between its first and last of each key."""
-    span = candles.groupBy("symbol", "interval").agg(F.min("start_s").alias("_lo"), F.max("start_s").alias("_hi"))
-    kept = window.join(span, ["symbol", "interval"], "left").where("_lo is null or start_s < _lo or start_s > _hi").drop("_lo", "_hi")
+    lo, hi = fresh(window, "_lo", "_hi")
+    span = candles.groupBy("symbol", "interval").agg(F.min("start_s").alias(lo), F.max("start_s").alias(hi))
+    outside = F.col(lo).isNull() | (F.col("start_s") < F.col(lo)) | (F.col("start_s") > F.col(hi))
+    kept = window.join(span, ["symbol", "interval"], "left").where(outside).drop(lo, hi)
     return latest_n(kept.unionByName(candles.select(*window.columns)), n)
 
 
@@ -41,8 +45,9 @@ def finalized(events: DataFrame, n: int = HOT_ROWS) -> DataFrame:
 def materialized_live(events: DataFrame) -> DataFrame:
     """The latest open event of each key, unless a closed event of the same start came after it."""
     live = dedupe_keep_last(events.where("not closed"), ["symbol", "interval"], "seq")
-    closed = events.where("closed").groupBy(*KEY).agg(F.max("seq").alias("_closed"))
-    return live.join(closed, list(KEY), "left").where("_closed is null or _closed < seq").drop("_closed")
+    (at,) = fresh(events, "_closed")
+    closed = events.where("closed").groupBy(*KEY).agg(F.max("seq").alias(at))
+    return live.join(closed, list(KEY), "left").where(F.col(at).isNull() | (F.col(at) < F.col("seq"))).drop(at)
 
 
 def kline_json(klines: DataFrame) -> DataFrame:

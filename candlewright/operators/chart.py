@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from candlewright.functions.names import fresh
 from candlewright.functions.numbers import change_percent, unscale_volume
 from candlewright.functions.time import INTERVALS
 
@@ -113,4 +114,5 @@ def stats_overlay(stats: DataFrame, klines: DataFrame, tickers: DataFrame) -> Da
 def newest(df: DataFrame, order: str = "seq") -> DataFrame:
     """The last row of each symbol."""
     over = Window.partitionBy("symbol").orderBy(F.desc(order))
-    return df.withColumn("_n", F.row_number().over(over)).where("_n = 1").drop("_n")
+    (place,) = fresh(df, "_n")
+    return df.withColumn(place, F.row_number().over(over)).where(F.col(place) == 1).drop(place)

@@ -11,31 +11,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from candlewright.functions.names import fresh
 from candlewright.functions.numbers import scale_volume
 from candlewright.functions.time import bucket_close
 
 from .aggregate import PRICES, candles_of, expand_intervals, interval_seconds, with_bucket
+from .prefix import CHUNK, running_max
 
-CHUNK = 1_000_000
 KEEP, TTL_MS = 3, 120_000
 KEY = ("symbol", "interval")
 
 
-def running_max(df: DataFrame, key: tuple[str, ...], value: str, order: str, to: str, chunk: int = CHUNK) -> DataFrame:
-    """``df`` with the maximum of ``value`` over rows of the key up to this one, by ``order`` (a bigint)."""
-    chunked = df.withColumn("_chunk", F.expr(f"{order} div {chunk}"))
-    tops = chunked.groupBy(*key, "_chunk").agg(F.max(value).alias("_top"))
-    over = Window.partitionBy(*key).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
-    before = tops.select(*key, "_chunk", F.max("_top").over(over).alias("_before"))
-    inside = Window.partitionBy(*key, "_chunk").orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return (
-        chunked.withColumn("_here", F.max(value).over(inside))
-        .join(before, [*key, "_chunk"])
-        .withColumn(to, F.greatest("_here", "_before"))
-        .drop("_chunk", "_here", "_before")
-    )
-
-
 def classify_late(ticks: DataFrame, intervals: tuple[str, ...], chunk: int = CHUNK) -> DataFrame:
     """Ticks for each interval with start_s, high_s (the latest bucket opened so far) and on_time."""
     marked = running_max(with_bucket(expand_intervals(ticks, intervals)), KEY, "start_s", "seq", "high_s", chunk)
@@ -51,7 +37,8 @@ def bucket_directory(bucketed: DataFrame, keep: int = KEEP) -> DataFrame:
     """
     first = bucketed.groupBy(*KEY, "start_s").agg(F.min(F.struct("seq", "arrival_ms")).alias("o"))
     before = Window.partitionBy(*KEY).orderBy("o.seq").rowsBetween(Window.unboundedPreceding, -1)
-    opened = first.withColumn("_high", F.max("start_s").over(before)).where("_high is null or start_s > _high")
+    (high,) = fresh(first, "_high")
+    opened = first.withColumn(high, F.max("start_s").over(before)).where(F.col(high).isNull() | (F.col("start_s") > F.col(high)))
     over = Window.partitionBy(*KEY).orderBy("start_s")
     return opened.select(
         *KEY, "start_s", F.col("o.seq").alias("open_seq"), F.lead("o.seq").over(over).alias("closed_seq"),

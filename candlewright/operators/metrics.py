@@ -2,22 +2,31 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from candlewright.functions.names import fresh
 from candlewright.functions.time import bucket_start, ntz_to_millis
 
+from .prefix import row_before
+
 
 def minute(ts: str = "ts") -> Column:
     return bucket_start(F.floor(ntz_to_millis(F.col(ts)) / 1000).cast("long"), 60)
 
 
-def counter_increase(samples: DataFrame, key: tuple[str, ...]) -> DataFrame:
-    """Increase of a counter a minute; a value below the one before is a restart from 0."""
-    over = Window.partitionBy(*key).orderBy("ts")
-    before = F.lag("value").over(over)
+#: Milliseconds of samples in one chunk.
+CHUNK_MS = 3_600_000
+
+
+def counter_increase(samples: DataFrame, key: tuple[str, ...], chunk_ms: int = CHUNK_MS) -> DataFrame:
+    """Increase of a counter a minute; a value below the one before is a restart from 0. Hours spread over tasks."""
+    (was,) = fresh(samples, "_was")
+    chunk = F.floor(ntz_to_millis(F.col("ts")) / chunk_ms).cast("long")
+    known = row_before(samples, key, F.col("value"), "ts", was, chunk)
+    before = F.col(was)["v"]
     step = F.when(before.isNull(), 0.0).when(F.col("value") < before, F.col("value")).otherwise(F.col("value") - before)
-    return samples.withColumn("_step", step).groupBy(*key, minute().alias("minute_s")).agg(F.sum("_step").alias("increase"))
+    return known.groupBy(*key, minute().alias("minute_s")).agg(F.sum(step).alias("increase"))
 
 
 def latency_percentiles(samples: DataFrame, key: tuple[str, ...], accuracy: int = 1_000_000) -> DataFrame:
@@ -27,10 +36,17 @@ def latency_percentiles(samples: DataFrame, key: tuple[str, ...], accuracy: int
 
 
 def mean_latency(sums: DataFrame, counts: DataFrame, key: tuple[str, ...]) -> DataFrame:
-    """Increase of a sum over increase of its count, a minute; null where nothing was counted."""
-    s = counter_increase(sums, key).withColumnRenamed("increase", "_s")
-    c = counter_increase(counts, key).withColumnRenamed("increase", "_c")
-    return s.join(c, [*key, "minute_s"]).select(*key, "minute_s", F.when(F.col("_c") > 0, F.col("_s") / F.col("_c")).alias("mean_latency"))
+    """Increase of a sum over increase of its count, a minute; null where nothing was counted.
+
+    Both counters go through one scan; minutes that only one of them has give no row.
+    """
+    (which,) = fresh(sums, "_which")
+    columns = (*key, "ts", "value")
+    both = sums.select(*columns, F.lit(0).alias(which)).unionByName(counts.select(*columns, F.lit(1).alias(which)))
+    increase = counter_increase(both, (*key, which))
+    of = lambda k: F.max(F.when(F.col(which) == k, F.col("increase")))
+    out = increase.groupBy(*key, "minute_s").agg(of(0).alias("s"), of(1).alias("c"), F.count("*").alias("n")).where("n = 2")
+    return out.select(*key, "minute_s", F.when(F.col("c") > 0, F.col("s") / F.col("c")).alias("mean_latency"))
 
 
 def hit_rate(samples: DataFrame, key: tuple[str, ...], is_hit: Column) -> DataFrame:

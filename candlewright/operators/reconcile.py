@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import warnings
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -52,11 +53,13 @@ def changed_only(new: DataFrame, existing: DataFrame) -> DataFrame:
     return joined.where(_differs("n", "o")).select(*KEY, *(F.col(f"n.{c}").alias(c) for c in VALUES))
 
 
-def upserted(target: DataFrame, changes: DataFrame) -> DataFrame:
+def upserted(target: DataFrame, changes: DataFrame, warn: bool = False) -> DataFrame:
     """``target`` (key, values, version) after ``changes``: found rows are overwritten, version + 1, new ones have version 0.
 
-    Changes of unknown intervals are ignored.
+    Changes of unknown intervals are ignored; ``warn`` says so, in a job of its own.
     """
+    if warn and not (odd := changes.where(~F.col("interval").isin(*INTERVALS)).select("interval").distinct().limit(10)).isEmpty():
+        warnings.warn(f"changes of unknown intervals are ignored: {', '.join(sorted(str(r[0]) for r in odd.collect()))}", stacklevel=2)
     known = changes.where(F.col("interval").isin(*INTERVALS))
     joined = target.select(*KEY, *VALUES, "version").alias("t").join(known.select(*KEY, *VALUES, F.lit(True).alias("new")).alias("c"), list(KEY), "full")
     version = F.when(F.col("t.version").isNull(), 0).when(F.col("c.new"), F.col("t.version") + 1).otherwise(F.col("t.version")).cast("long")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from candlewright.functions import numbers as N
 from candlewright.functions import time as T
+from candlewright.functions.names import normalize_symbol as lower_symbol
 from candlewright.operators import aggregate as A
 from candlewright.operators import changelog as L
 from candlewright.operators import chart as C
@@ -56,8 +57,11 @@ def stored(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def as_of(spark: SparkSession, sf: str) -> int:
-    """The last 1-minute bucket of the table: one number, for parameters of chart queries."""
-    return repaired(spark, sf).where("interval = '1m'").agg(F.max("start_s")).first()[0]
+    """The last 1-minute bucket of the table: one number, for parameters of chart queries.
+
+    The tick of the latest time is on time, so its bucket has a candle; a scan of the ticks finds it.
+    """
+    return valid(spark, sf).agg(F.expr("max(event_ms) div 60000 * 60")).first()[0]
 
 
 def events_log(spark: SparkSession, sf: str) -> DataFrame:
@@ -81,16 +85,23 @@ def read_trade_json(spark, sf):
 FRAMES = with_ticks("select seq, symbol, cast(price as decimal(38,18)) as price, cast(quantity as decimal(38,18)) as quantity, event_ms from v where seq % 19 <> 0")
 
 
+def with_invalid(spark, sf):
+    """(frames, rejected) of all ticks and of a copy of every twenty-third with a price of 0."""
+    t = S.event_ticks(spark, sf)
+    worthless = t.where("seq % 23 = 0").withColumn("price", F.lit(0).cast("decimal(18,6)"))
+    return S.encode_tick_frames(t.union(worthless))
+
+
 @query("tick_frames_round_trip", FRAMES)
 def tick_frames_round_trip(spark, sf):
-    framed = S.encode_tick_frames(valid(spark, sf)).select("seq", "payload")
+    framed = with_invalid(spark, sf)[0].select("seq", "payload")
     bad = F.when(F.col("seq") % 19 == 0, F.unhex(F.lit("0203"))).otherwise(F.col("payload"))
     return S.decode_tick_frames(framed.withColumn("payload", bad))[0]
 
 
 @query("tick_frames_rejected", with_ticks("select seq from v where seq % 19 = 0"))
 def tick_frames_rejected(spark, sf):
-    framed = S.encode_tick_frames(valid(spark, sf)).select("seq", "payload")
+    framed = with_invalid(spark, sf)[0].select("seq", "payload")
     bad = F.when(F.col("seq") % 19 == 0, F.unhex(F.lit("0203"))).otherwise(F.col("payload"))
     return S.decode_tick_frames(framed.withColumn("payload", bad))[1].select("seq")
 
@@ -118,7 +129,7 @@ def read_exchange_klines(spark, sf):
     return exchange(spark, sf).select(*EXCHANGE_COLUMNS)
 
 
-RANGE = (1704063000000 + 600_000, 1704063000000 + 3_000_000)
+RANGE = (1704067200000 + 600_000, 1704067200000 + 3_000_000)
 
 
 @query("kline_range", with_candles(f"select * from ({EXCHANGE}) where open_ms between {RANGE[0]} and {RANGE[1]} and symbol = 'click'"))
@@ -137,7 +148,7 @@ def symbols(spark, sf):
 @query("symbol_lookup", with_ticks(f", {SYMBOLS} select * from s where id = 2 union all select * from s where symbol = 'view'"))
 def symbol_lookup(spark, sf):
     dim = K.symbols(S.event_ticks(spark, sf))
-    return K.find_symbols(dim, id=2).union(K.find_symbols(dim, symbol="view"))
+    return K.get_symbol(dim, id=2).union(K.get_symbol(dim, symbol="view"))
 
 
 @query("unknown_symbols", with_ticks("select seq, symbol from ticks where symbol = 'error'"))
@@ -174,9 +185,22 @@ def validate_ticks(spark, sf):
     return good.select("seq", F.lit(True).alias("valid")).union(bad.select("seq", F.lit(False).alias("valid")))
 
 
+@query("rejected_ticks", with_ticks("select seq from ticks where seq not in (select seq from v) union all select seq from ticks where seq % 23 = 0"))
+def rejected_ticks(spark, sf):
+    """What cannot be a frame: invalid ticks, and the worthless copies put among them."""
+    return with_invalid(spark, sf)[1].select("seq")
+
+
+@query("volume_scaling_wide", with_ticks("select seq, units + cast(1 as bigint) as units from v"))
+def volume_scaling_wide(spark, sf):
+    """Quantities of 18 decimals, a little under the next unit but one."""
+    wide = (F.col("quantity").cast("decimal(38,18)") + F.lit("0.000000019999999999").cast("decimal(38,18)")).cast("decimal(38,18)")
+    return valid(spark, sf).select("seq", N.scale_volume(wide).alias("units"))
+
+
 @query("normalize_symbol", with_ticks("select seq, lower(upper(symbol)) as symbol from ticks"))
 def normalize_symbol(spark, sf):
-    return S.event_ticks(spark, sf).select("seq", F.lower(F.upper("symbol")).alias("symbol"))
+    return S.event_ticks(spark, sf).select("seq", lower_symbol(F.upper("symbol")).alias("symbol"))
 
 
 @query("bucket_bounds", with_candles("select seq, interval, start_s, cast(start_s + d - 1 as bigint) as close_s from b"))
@@ -552,14 +576,8 @@ def active_subscriptions(spark, sf):
     return subscriptions(spark, sf)
 
 
-@query("fan_out", with_ticks(SUBSCRIPTIONS + " select t.seq, sub.symbol, session_id from ticks t join sub on sub.symbol = 's' || (t.seq % 5) where t.seq % 100 = 7"))
+@query("fan_out", with_ticks(SUBSCRIPTIONS + " select t.seq, sub.symbol, session_id from ticks t join sub on sub.symbol = 's' || (t.seq % 5)"))
 def fan_out(spark, sf):
-    events = S.event_ticks(spark, sf).where("seq % 100 = 7").select("seq", F.concat(F.lit("s"), F.col("seq") % 5).alias("symbol"))
-    return L.fan_out(events, subscriptions(spark, sf)).select("seq", "symbol", "session_id")
-
-
-@query("fan_out_all", with_ticks(SUBSCRIPTIONS + " select t.seq, sub.symbol, session_id from ticks t join sub on sub.symbol = 's' || (t.seq % 5)"))
-def fan_out_all(spark, sf):
     events = S.event_ticks(spark, sf).select("seq", F.concat(F.lit("s"), F.col("seq") % 5).alias("symbol"))
     return L.fan_out(events, subscriptions(spark, sf)).select("seq", "symbol", "session_id")
 
@@ -664,12 +682,17 @@ def failures_a_minute(spark, sf):
     return H.failures_a_minute(samples(spark, sf), F.col("event_type") == "error")
 
 
-@query("backlog_alerts", CROSS)
+@query("backlog_alerts", with_ticks(f"""
+, {SAMPLES}, bl as (select application, seq, counter * 41 % 260001 as lag, counter * 41 % 260001 / 200000.0 as ratio from sa),
+x as (select *, ratio >= 0.8 as high, coalesce(lag(ratio >= 0.8) over (partition by application order by seq), false) as was from bl)
+select application, seq, cast(lag as double) as lag, cast(ratio as double) as ratio, case when high then 'alert' else 'recovery' end as event from x where high <> was"""))
 def backlog_alerts(spark, sf):
-    return threshold_crossings(spark, sf)
+    """The backlog of each application against its longest."""
+    lagged = samples(spark, sf).select("application", "seq", (F.col("counter") * 41 % 260001).alias("lag"))
+    return O.threshold_crossings(H.backlog_ratio(lagged), 0.8, ("application",))
 
 
-OVERDUE = 1704063000000 + 3_600_000
+OVERDUE = 1704067200000 + 3_600_000
 
 
 @query("pending_overdue", with_ticks(f"select cast(seq as varchar) as record_id, symbol as consumer, arrival_ms as last_delivery_ms from ticks where {OVERDUE} - arrival_ms >= 30000"))

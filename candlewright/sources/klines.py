@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from candlewright.functions.names import fresh, normalize_symbol
+
 FIELDS = (
     ("open_ms", "bigint"), ("open", "decimal(38,18)"), ("high", "decimal(38,18)"), ("low", "decimal(38,18)"), ("close", "decimal(38,18)"),
     ("volume", "decimal(38,18)"), ("close_ms", "bigint"), ("quote_volume", "decimal(38,18)"), ("trades", "int"),
@@ -15,9 +17,10 @@ FIELDS = (
 def read_exchange_klines(df: DataFrame, body: str = "value") -> DataFrame:
     """A row for each inner array of JSON arrays of arrays; fewer than 11 elements are an error. Other columns are carried."""
     rest = [c for c in df.columns if c != body]
-    rows = df.select(*rest, F.explode(F.from_json(body, "array<array<string>>")).alias("_k"))
-    checked = F.when(F.size("_k") >= len(FIELDS), F.col("_k")).otherwise(F.raise_error(F.lit("kline has fewer than 11 elements")).cast("array<string>"))
-    return rows.withColumn("_k", checked).select(*rest, *(F.col("_k")[i].cast(kind).alias(name) for i, (name, kind) in enumerate(FIELDS)))
+    (k,) = fresh(df, "_k")
+    rows = df.select(*rest, F.explode(F.from_json(body, "array<array<string>>")).alias(k))
+    checked = F.when(F.size(k) >= len(FIELDS), F.col(k)).otherwise(F.raise_error(F.lit("kline has fewer than 11 elements")).cast("array<string>"))
+    return rows.withColumn(k, checked).select(*rest, *(F.col(k)[i].cast(kind).alias(name) for i, (name, kind) in enumerate(FIELDS)))
 
 
 def kline_range(klines: DataFrame, start_ms: int, end_ms: int, symbol: str | None = None) -> DataFrame:
@@ -33,7 +36,7 @@ def symbols(ticks: DataFrame) -> DataFrame:
     """
     from pyspark.sql import Window
 
-    names = ticks.select(F.lower("symbol").alias("symbol")).where("symbol is not null").distinct()
+    names = ticks.select(normalize_symbol(F.col("symbol")).alias("symbol")).where("symbol is not null").distinct()
     return names.select(F.row_number().over(Window.orderBy("symbol")).cast("long").alias("id"), "symbol")
 
 
@@ -47,6 +50,14 @@ def find_symbols(dimension: DataFrame, id: int | None = None, symbol: str | None
     return out
 
 
+def get_symbol(dimension: DataFrame, id: int | None = None, symbol: str | None = None) -> DataFrame:
+    """The row of an id or code; an absent one is an error, found in a job of its own."""
+    out = find_symbols(dimension, id, symbol)
+    if out.isEmpty():
+        raise LookupError(f"SYM-001 unknown symbol {symbol if id is None else id}")
+    return out
+
+
 def unknown_symbols(df: DataFrame, dimension: DataFrame) -> DataFrame:
     """Rows whose symbol is not in the dimension."""
     return df.join(dimension.select("symbol"), "symbol", "left_anti")

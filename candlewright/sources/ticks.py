@@ -5,20 +5,26 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from candlewright.functions.names import fresh, normalize_symbol
 from candlewright.functions.time import ntz_to_millis
 
 
+#: What a tick read from a message has; columns of these names are replaced.
+FIELDS = ("symbol", "price", "quantity", "event_ms")
+
+
 def read_trade_json(df: DataFrame, body: str = "value") -> DataFrame:
     """Ticks (symbol, price, quantity, event_ms) of trade messages {"data": {"s", "p", "q", "E"}}.
 
     Symbols become lower case. A row goes where the text is not such an object, symbol, price or quantity is
     missing or no number, or the time is missing or 0. Other columns of ``df`` are carried.
     """
+    (m,) = fresh(df, "_message")
     parsed = F.from_json(F.col(body), "data struct<s:string,p:string,q:string,E:bigint>")["data"]
-    number = lambda name: F.expr(f"try_cast(_message.{name} as decimal(38,18))")
-    rest = [c for c in df.columns if c != body]
-    out = df.withColumn("_message", parsed).select(
-        *rest, F.lower("_message.s").alias("symbol"), number("p").alias("price"), number("q").alias("quantity"), F.col("_message.E").alias("event_ms")
+    number = lambda name: F.col(m)[name].try_cast("decimal(38,18)")
+    rest = [c for c in df.columns if c not in (body, *FIELDS)]
+    out = df.withColumn(m, parsed).select(
+        *rest, normalize_symbol(F.col(m)["s"]).alias("symbol"), number("p").alias("price"), number("q").alias("quantity"), F.col(m)["E"].alias("event_ms")
     )
     return out.where("symbol is not null and price is not null and quantity is not null and coalesce(event_ms, 0) <> 0")
 
@@ -40,42 +46,56 @@ def decode_tick_frames(df: DataFrame, payload: str = "payload") -> tuple[DataFra
     payload, another version, a wrong length, or a number that decimal(38,18) cannot hold is rejected.
     """
     data = F.col(payload)
-    named = df.withColumn("_n", F.conv(F.hex(F.substring(data, F.lit(2), F.lit(1))), 16, 10).cast("int"))
+    n, price, quantity = fresh(df, "_n", "_price", "_quantity")
+    named = df.withColumn(n, F.conv(F.hex(F.substring(data, F.lit(2), F.lit(1))), 16, 10).cast("int"))
     version = F.conv(F.hex(F.substring(data, F.lit(1), F.lit(1))), 16, 10).cast("int")
-    whole = data.isNotNull() & (version == VERSION) & (F.octet_length(data) == F.col("_n") + 34)
-    read = lambda offset, width: _signed(data, F.col("_n") + F.lit(3 + offset), width)
+    whole = data.isNotNull() & (version == VERSION) & (F.octet_length(data) == F.col(n) + 34)
+    read = lambda offset, width: _signed(data, F.col(n) + F.lit(3 + offset), width)
     number = lambda offset: F.concat(read(offset, 8).cast("string"), F.lit("E"), (-read(offset + 8, 4)).cast("string")).try_cast("decimal(38,18)")
-    checked = named.withColumn("_price", F.when(whole, number(0))).withColumn("_quantity", F.when(whole, number(12)))
-    good = F.col("_price").isNotNull() & F.col("_quantity").isNotNull()
-    rest = [c for c in df.columns if c != payload]
+    checked = named.withColumn(price, F.when(whole, number(0))).withColumn(quantity, F.when(whole, number(12)))
+    good = F.col(price).isNotNull() & F.col(quantity).isNotNull()
+    rest = [c for c in df.columns if c not in (payload, *FIELDS)]
     ticks = checked.where(good).select(
-        *rest, F.decode(F.substring(data, F.lit(3), F.col("_n")), "UTF-8").alias("symbol"), F.col("_price").alias("price"), F.col("_quantity").alias("quantity"), read(24, 8).alias("event_ms")
+        *rest, F.decode(F.substring(data, F.lit(3), F.col(n)), "UTF-8").alias("symbol"), F.col(price).alias("price"), F.col(quantity).alias("quantity"), read(24, 8).alias("event_ms")
     )
     return ticks, checked.where(~F.coalesce(good, F.lit(False))).select(*df.columns)
 
 
-def encode_tick_frames(df: DataFrame, to: str = "payload") -> DataFrame:
-    """``df`` (symbol, price, quantity, event_ms) with its binary frame in ``to``; trailing zeros of numbers are dropped.
-
-    A symbol that is null, blank or over 255 bytes, a price of 0 or less, a negative quantity, a time of 0 or
-    less, or a number of over 64 bits unscaled is an error.
-    """
+def _frame() -> Column:
+    """The frame of a tick, or null where it cannot be encoded; no row raises an error."""
 
     def number(name: str) -> Column:
-        plain = F.rtrim(F.rtrim(F.col(name).cast("decimal(38,18)").cast("string"), F.lit("0")), F.lit("."))
+        plain = F.rtrim(F.rtrim(F.col(name).try_cast("decimal(38,18)").cast("string"), F.lit("0")), F.lit("."))
 
         def packed(text: Column) -> Column:
             scale = F.when(text.contains("."), F.length(text) - F.instr(text, ".")).otherwise(0)
-            unscaled = F.replace(text, F.lit("."), F.lit("")).cast("decimal(38,0)").cast("bigint")
+            unscaled = F.replace(text, F.lit("."), F.lit("")).try_cast("decimal(38,0)").try_cast("bigint")
             return F.concat(F.lpad(F.hex(unscaled), 16, "0"), F.lpad(F.hex(scale.cast("bigint")), 8, "0"))
 
         return F.element_at(F.transform(F.array(plain), packed), 1)
 
     symbol = F.hex(F.encode("symbol", "UTF-8"))
     size = F.octet_length("symbol")
-    valid = valid_tick() & (size <= 255)
     text = F.concat(F.lit("01"), F.lpad(F.hex(size.cast("bigint")), 2, "0"), symbol, number("price"), number("quantity"), F.lpad(F.hex("event_ms"), 16, "0"))
-    return df.withColumn(to, F.when(valid, F.unhex(text)).otherwise(F.raise_error(F.lit("tick cannot be encoded")).cast("binary")))
+    return F.when(valid_tick() & (size <= 255), F.unhex(text))
+
+
+def encode_tick_frames(df: DataFrame, to: str = "payload") -> tuple[DataFrame, DataFrame]:
+    """(frames, rejected) of ``df`` (symbol, price, quantity, event_ms): rows with their binary frame in ``to``, and all others.
+
+    Trailing zeros of numbers are dropped. A symbol that is null, blank or over 255 bytes, a price of 0 or less, a
+    negative quantity, a time of 0 or less, or a number of over 64 bits unscaled is rejected.
+    """
+    framed = df.withColumn(to, _frame())
+    return framed.where(F.col(to).isNotNull()), framed.where(F.col(to).isNull()).select(*df.columns)
+
+
+def encode_all_tick_frames(df: DataFrame, to: str = "payload") -> DataFrame:
+    """As encode_tick_frames, where a row that cannot be encoded is an error; looks for one first, in a job of its own."""
+    frames, rejected = encode_tick_frames(df, to)
+    if not rejected.isEmpty():
+        raise ValueError("tick cannot be encoded")
+    return frames
 
 
 def valid_tick() -> Column:

@@ -17,17 +17,20 @@ from candlewright.operators.late import KEEP, TTL_MS
 from candlewright.operators.reconcile import VALUES
 
 MICROS = Decimal(1_000_000)
+#: Revisions that a state function gathers before it passes them on.
+PART = 50_000
 REVISION = (
     "symbol string, interval string, start_s bigint, seq bigint, kind string, open bigint, high bigint, low bigint, close bigint, volume bigint, trades bigint"
 )
 
 
-def file_stream(spark: SparkSession, path: str, schema, files_a_trigger: int | None = None) -> DataFrame:
-    """A replayable stream of Parquet files; offsets are kept by the query's checkpoint."""
-    reader = spark.readStream.schema(schema)
-    if files_a_trigger:
-        reader = reader.option("maxFilesPerTrigger", files_a_trigger)
-    return reader.parquet(path)
+def file_stream(spark: SparkSession, path: str, schema, files_a_trigger: int | None = None, bytes_a_trigger: int = 256 << 20) -> DataFrame:
+    """A replayable stream of Parquet files, oldest first; offsets are kept by the query's checkpoint.
+
+    A micro-batch takes so many files, or where that is not given about so many bytes, of one file at least.
+    """
+    bound = ("maxFilesPerTrigger", files_a_trigger) if files_a_trigger else ("maxBytesPerTrigger", bytes_a_trigger)
+    return spark.readStream.schema(schema).option(*bound).parquet(path)
 
 
 def dedupe_ticks(stream: DataFrame, within: str = "1 minute") -> DataFrame:
@@ -75,16 +78,20 @@ def stream_candles(ticks: DataFrame, intervals: tuple[str, ...], keep: int = KEE
     """Changelog of candles of a tick stream, with the exact late rule; the same rows as the batch changelog.
 
     State is one bounded object for each symbol and interval. Within a micro-batch ticks go by seq; batches must
-    come in order of seq. Clocks are columns, so no timers are needed.
+    come in order of seq. Clocks are columns, so no timers are needed. The rule is sequential, so one task sorts and
+    reads the ticks that one symbol and interval have in a micro-batch: bound that by what the source gives a trigger.
     """
 
     def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         own = CandleState(state.get[0] if state.exists else None, keep, ttl_ms)
-        rows = []
+        rows, names = [], [f.split()[0] for f in REVISION.split(", ")]
         for t in pd.concat(frames).sort_values("seq").itertuples(index=False):
             rows += [(*key, c[0], t.seq, kind, *c[1:]) for kind, c in own.tick(t.start_s, t.micros, t.units, t.arrival_ms)]
+            if len(rows) > PART:
+                yield pd.DataFrame(rows, columns=names)
+                rows = []
         state.update((own.saved(),))
-        yield pd.DataFrame(rows, columns=[f.split()[0] for f in REVISION.split(", ")])
+        yield pd.DataFrame(rows, columns=names)
 
     bucketed = with_bucket(expand_intervals(ticks, intervals)).select(
         "symbol", "interval", "start_s", "seq", "arrival_ms", (F.col("price") * F.lit(MICROS)).cast("bigint").alias("micros"), scale_volume(F.col("quantity")).alias("units")

@@ -163,7 +163,7 @@ FRAMES = [("btcusdt", "65432.12345678", "0.001234", 1711512345678), ("ethusdt",
 def test_frames_round_trip(spark):
     rows = [(s, Dec(p), Dec(q), ms) for s, p, q, ms in FRAMES]
     df = spark.createDataFrame(rows, "symbol string, price decimal(38,18), quantity decimal(38,18), event_ms bigint")
-    framed = S.encode_tick_frames(df).select("payload").persist()
+    framed = S.encode_all_tick_frames(df).select("payload").persist()
     assert sorted(len(r["payload"]) for r in framed.collect()) == sorted(34 + len(s) for s, *_ in FRAMES)
     good, bad = S.decode_tick_frames(framed)
     assert values(good, "symbol", "price", "quantity", "event_ms") == sorted(rows)
@@ -177,8 +177,21 @@ def test_invalid_ticks(spark, symbol, price, quantity, ms):
     df = spark.createDataFrame([(symbol, Dec(price), Dec(quantity), ms)], "symbol string, price decimal(38,18), quantity decimal(38,18), event_ms bigint")
     good, bad = S.validate_ticks(df)
     assert (good.count(), bad.count()) == (0, 1)
-    with pytest.raises(Exception, match="cannot be encoded"):
-        S.encode_tick_frames(df).collect()
+    assert [d.count() for d in S.encode_tick_frames(df)] == [0, 1]
+    with pytest.raises(ValueError, match="cannot be encoded"):
+        S.encode_all_tick_frames(df)
+
+
+def test_frames_of_valid_and_invalid_ticks_in_one_plan(spark):
+    rows = [(i, "a" if i % 5 else " ", Dec(i % 3), Dec(1), 7) for i in range(60)] + [(60, "x" * 256, Dec(1), Dec(1), 7), (61, "a", Dec("1234567890123456789"), Dec("0.000000000000000001"), 7)]
+    df = spark.createDataFrame(rows, "seq bigint, symbol string, price decimal(38,18), quantity decimal(38,18), event_ms bigint")
+    valid, invalid = S.validate_ticks(df)
+    frames, rejected = S.encode_tick_frames(valid)
+    again, broken = S.decode_tick_frames(frames.where("octet_length(payload) > 1 and octet_length(payload) < 600"))
+    want = [r for r in rows[:60] if r[1] == "a" and r[2] > 0] + [rows[61]]
+    assert values(again, "seq", "symbol", "price", "quantity", "event_ms") == values(spark.createDataFrame(want, df.schema), *df.columns)
+    assert (rejected.count(), broken.count(), invalid.count()) == (1, 0, 60 - len(want) + 1)
+    assert S.encode_tick_frames(df)[1].count() == 62 - len(want)
 
 
 def test_trade_json(spark):
@@ -198,6 +211,10 @@ def test_exchange_kline(spark):
 def test_volume_scaling(spark):
     one = lambda v: spark.createDataFrame([(Dec(v),)], "q decimal(28,10)").select(N.scale_volume(F.col("q")).alias("v")).first()["v"]
     assert one("1.0000000199") == 100_000_001
+    wide = lambda v: spark.createDataFrame([(Dec(v),)], "q decimal(38,18)").select(N.scale_volume(F.col("q")).alias("v"), N.try_scale_volume(F.col("q")).alias("t")).first()
+    for text, units in (("0.999999999999999999", 99_999_999), ("1.234567899999999999", 123_456_789), ("0.000000009999999999", 0), ("92233720368.547758079999999999", 2**63 - 1)):
+        assert tuple(wide(text)) == (units, units)
+    assert spark.createDataFrame([(Dec(-1),), (None,), (Dec(92233720369),)], "q decimal(38,18)").select(N.try_scale_volume(F.col("q")).alias("t")).where("t is not null").count() == 0
     with pytest.raises(Exception, match="negative"):
         one("-1")
     with pytest.raises(Exception, match="OVERFLOW|overflow"):
@@ -237,6 +254,67 @@ def test_forward_fill_and_direction(spark):
     assert [r["direction"] for r in O.price_direction(prices).orderBy("seq").collect()] == ["neutral", "neutral", "up", "up", "down"]
 
 
+CHUNK = 7
+
+
+def test_chunks_change_nothing(spark):
+    """Ordered operators over chunks of seven against plain loops, with null keys, gaps and columns of their names."""
+    rng = random.Random(21)
+    rows, at = [], 0
+    for i in sorted(rng.sample(range(400), 150)):
+        at += rng.choice((10, 100, 200, 300))
+        rows.append((i, rng.choice(["a", "b", None]), "1m", rng.randint(1, 4), at, rng.random() < 0.15, 1, 2))
+    df = spark.createDataFrame(rows, "seq bigint, symbol string, interval string, price int, at_ms bigint, closed boolean, _chunk int, _was int").repartition(5)
+    clock, price, way, high = {}, {}, {}, {}
+    out, ways, rising, crossed, was = [], [], [], [], False
+    for i, s, _, p, ms, closed, *_ in rows:
+        if closed or s not in clock or ms - clock[s] >= 250:
+            clock[s] = ms
+            out.append((i,))
+        if s in price and p != price[s]:
+            way[s] = "up" if p > price[s] else "down"
+        price[s] = p
+        ways.append((i, way.get(s, "neutral")))
+        high[s] = max(high.get(s, 0), p)
+        if p == high[s]:
+            rising.append((i,))
+        if (p >= 3) != was:
+            was = p >= 3
+            crossed.append((i, "alert" if was else "recovery"))
+    for chunk in (CHUNK, 1_000_000):
+        assert values(O.throttle_klines(df, chunk=chunk), "seq") == out
+        assert values(O.price_direction(df, chunk), "seq", "direction") == ways
+        assert values(O.monotonic_ticker(df.withColumn("event_ms", F.col("price").cast("long")), chunk), "seq") == rising
+        assert values(O.threshold_crossings(df.withColumn("ratio", F.col("price").cast("double")), 3.0, chunk=chunk), "seq", "event") == crossed
+    assert set(df.columns) <= set(O.price_direction(df).columns) and O.latest_n(df.withColumn("start_s", F.col("seq")).withColumn("_n", F.lit(5)), 2).select("_n").distinct().collect() == [(5,)]
+    empty = df.limit(0)
+    assert O.throttle_klines(empty).count() == O.price_direction(empty).count() == 0
+
+
+def test_counter_restarts_across_chunks(spark):
+    rows = [(i * 600, "x", float(v)) for i, v in enumerate([3, 5, 9, 2, 2, 7, 1, 4, 4, 8, 20, 3])]
+    df = spark.createDataFrame(rows, "s bigint, application string, value double").selectExpr("timestampadd(SECOND, s, timestamp_ntz'2024-01-01 00:00:00') as ts", "application", "value")
+    want, last = [], None
+    for s, _, v in rows:
+        want.append((s + 1704067200, 0.0 if last is None else v if v < last else v - last))
+        last = v
+    for ms in (900_000, 3_600_000, 1 << 40):
+        assert values(H.counter_increase(df, ("application",), ms), "minute_s", "increase") == want
+    mean = H.mean_latency(df.withColumn("value", F.col("value") * 3), df, ("application",))
+    assert values(mean, "minute_s", "mean_latency") == [(m, 3.0 if v else None) for m, v in want]
+
+
+def test_symbols_and_unknown_intervals(spark):
+    dim = spark.createDataFrame([(1, "a"), (2, "b")], "id bigint, symbol string")
+    assert values(K.get_symbol(dim, symbol="b"), "id") == [(2,)]
+    with pytest.raises(LookupError, match="SYM-001"):
+        K.get_symbol(dim, id=3)
+    assert K.find_symbols(dim, symbol="A").count() == 0
+    c = candles(spark, [(60, 1, 1, 1, 1, 5)]).withColumn("version", F.lit(0).cast("long"))
+    with pytest.warns(UserWarning, match="7m"):
+        assert R.upserted(c, c.withColumn("interval", F.lit("7m")), warn=True).count() == 1
+
+
 def test_changelog_fold(spark):
     rows = [("b", "1m", 60, 1, 101, True), ("b", "1m", 120, 2, 102, False), ("b", "1m", 120, 3, 104, True)]
     events = spark.createDataFrame(rows, "symbol string, interval string, start_s bigint, seq bigint, close int, closed boolean")
