@@ -3,11 +3,12 @@
 Training texts are counted over all documents: words for the base, and runs of ORDER + 1 bytes, whose shorter
 contexts follow by adding up. No run is left out: runs are dealt out by the three bytes before the last, so that
 each task has all followers of its contexts of three bytes and more; shorter contexts, of which there are at
-most 2^24 whatever the corpus, travel with the tasks. Prices go back to the chunks of text that asked for them. A byte's probability comes from the longest context that has
-seen it; each longer context that was seen without it passes on its escape probability, the number of its
-distinct followers over that number plus its total, and the followers of a longer context are excluded from
-a shorter one. What a byte costs thus depends on ORDER bytes before it alone, so that each distinct run of a
-batch is priced once. Texts end with a zero byte, which is priced too.
+most 2^24 whatever the corpus, travel with the tasks. Prices go back to the chunks of text that asked for them.
+A byte's probability comes from the longest context that has seen it; each longer context that was seen without
+it passes on its escape probability, the number of its distinct followers over that number plus its total, and
+the followers of a longer context are excluded from a shorter one. What a byte costs thus depends on ORDER bytes
+before it alone, so that each distinct run of a chunk is priced once. Texts end with a zero byte, which is priced
+too; a zero byte inside a text is the same symbol.
 """
 
 from __future__ import annotations
@@ -19,45 +20,112 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark import Broadcast, TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fold, mix, stored, table, text_chunks, utf8
+from .common import WordHashes, fold, mix, stored, table, text_chunks, utf8
 
 #: Bytes of context.
 ORDER = 5
 #: Bytes of the longest context that travels with the tasks.
 LOW = 2
 #: Bytes of text whose runs are priced together, and bytes of all texts for each bucket of contexts.
-CHUNK = 16 << 20
-#: Frequent words that a task holds at most.
-FREQUENT_WORDS = 150_000
+CHUNK = 12 << 20
+#: Frequent words that a task holds at most, by 64-bit hashes.
+FREQUENT_WORDS = 1_000_000
 #: Distinct words and runs of bytes that a counting task holds before it passes them on.
 HELD = 250_000
+#: Runs that are packed at once, and that are gathered before they are sorted.
+STEP, GATHERED = 1 << 20, 1 << 21
 
 
-def _runs(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Each byte of the texts and their end with its context, packed high byte first; and the texts' starts."""
+def _runs(texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Each byte of the texts and their end with its context, packed high byte first, and the number of its text; in steps."""
     data = np.frombuffer(b"".join(bytes(ORDER) + t + b"\0" for t in texts), np.uint8)
-    sizes = np.array([len(t) + 1 for t in texts])
-    begin = np.cumsum(sizes + ORDER) - sizes - ORDER
-    count = len(data) - ORDER
-    packed = np.zeros(count, np.int64)
-    for k in range(ORDER + 1):
-        packed = (packed << 8) | data[k : k + count]
-    inside = np.ones(count, bool)
-    for b in begin[1:]:
-        inside[b - ORDER : b] = False
-    return packed[inside], np.cumsum(sizes) - sizes
+    ends = np.cumsum([len(t) + 1 + ORDER for t in texts])
+    for low in range(0, len(data) - ORDER, STEP):
+        count = min(STEP, len(data) - ORDER - low)
+        one = data[low : low + count + ORDER].astype(np.uint16)
+        two = (one[:-1] << 8) | one[1:]
+        four = (two[:-2].astype(np.uint32) << 16) | two[2:]
+        packed = (four[:-2].astype(np.int64) << 16) | two[4:]
+        first, last = np.searchsorted(ends, [low, low + count - 1], side="right")
+        cuts = np.clip(ends[first : last + 1], low, low + count)
+        own = np.repeat(np.arange(first, last + 1), np.diff(np.concatenate([[low], cuts])))
+        inside = np.arange(low, low + count) < ends[own] - ORDER
+        yield packed[inside], own[inside]
+
+
+def _counted(runs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct numbers, sorted, and how often each occurs."""
+    runs = np.sort(runs)
+    first = np.flatnonzero(np.diff(runs, prepend=-1))  # they are 0 or more
+    return runs[first], np.diff(np.append(first, len(runs)))
+
+
+def _merged(a: np.ndarray, n: np.ndarray, b: np.ndarray, m: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct numbers of two sorted arrays, and the sums of their counts."""
+    both = np.concatenate([a, b])
+    order = np.argsort(both, kind="stable")
+    both = both[order]
+    first = np.flatnonzero(np.diff(both, prepend=-1))
+    return both[first], np.add.reduceat(np.concatenate([n, m])[order], first) if len(first) else n
+
+
+class Places:
+    """Where each of some distinct 64-bit numbers stands, by open addressing in arrays: cheaper than binary search."""
+
+    def __init__(self, numbers: np.ndarray):
+        self.mask = (1 << (2 * len(numbers) + 1).bit_length()) - 1
+        self.numbers, self.table = numbers.view(np.uint64), np.full(self.mask + 1, -1, np.int32)
+        open_, slot = np.arange(len(numbers), dtype=np.int32), self._slot(self.numbers)
+        while len(open_):
+            free = self.table[slot] < 0
+            self.table[slot[free]] = open_[free]
+            left = self.table[slot] != open_
+            open_, slot = open_[left], (slot[left] + 1) & self.mask
+
+    def _slot(self, numbers: np.ndarray) -> np.ndarray:
+        return ((numbers * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)).astype(np.int64) & self.mask
+
+    def of(self, wanted: np.ndarray) -> np.ndarray:
+        """The place of each number, -1 of those that are not there."""
+        wanted = wanted.view(np.uint64)
+        slot = self._slot(wanted)
+        out = self.table[slot]
+        if not len(self.numbers):
+            return out
+        open_ = np.flatnonzero((out >= 0) & (self.numbers[out] != wanted))
+        while len(open_):
+            slot[open_] = (slot[open_] + 1) & self.mask
+            out[open_] = found = self.table[slot[open_]]
+            open_ = open_[(found >= 0) & (self.numbers[found] != wanted[open_])]
+        return out
+
+
+def _packed(numbers: np.ndarray, rising: bool = False) -> bytes:
+    """Numbers, or where they rise their differences, compressed byte by byte of their places."""
+    plain = np.diff(numbers, prepend=numbers.dtype.type(0)) if rising else numbers
+    return pa.compress(np.ascontiguousarray(plain.view(np.uint8).reshape(len(plain), -1).T).tobytes(), "zstd", asbytes=True)
 
 
-def _packed(numbers: np.ndarray) -> bytes:
-    return pa.compress(numbers.tobytes(), "zstd", asbytes=True)
+def _unpacked(packed: bytes, size: int, kind: type, rising: bool = False) -> np.ndarray:
+    width = np.dtype(kind).itemsize
+    planes = np.frombuffer(pa.decompress(packed, size * width, "zstd", asbytes=True), np.uint8).reshape(width, size)
+    plain = np.ascontiguousarray(planes.T).view(kind).ravel()
+    return np.cumsum(plain, dtype=kind) if rising else plain
 
 
-def _unpacked(packed: bytes, size: int, kind: type) -> np.ndarray:
-    return np.frombuffer(pa.decompress(packed, size * np.dtype(kind).itemsize, "zstd", asbytes=True), kind)
+class WordNumbers(WordHashes):
+    """The 64-bit hashes of words that Spark's xxhash64 gives."""
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) >= self.limit:
+            self.clear()
+        value = self[word] = xxhash.xxh64_intdigest(word, seed=42)
+        return value
 
 
 def _chunked(docs: DataFrame) -> DataFrame:
@@ -120,34 +188,43 @@ def _counts(chunks: DataFrame, buckets: int) -> DataFrame:
             part = every[low : low + 50_000]
             yield batch(len(part), word=part, held_n=[words[0][w] for w in part], n=[words[1][w] for w in part])
 
-    def add(runs: np.ndarray, n: np.ndarray, more: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        both, where = np.unique(np.concatenate([runs, more]), return_inverse=True)
-        return both, np.bincount(where, np.concatenate([n, times]), len(both)).astype(np.int64)
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         none = np.empty(0, np.int64)
         words, grams = (Counter(), Counter()), (none, none)
         for number, parts in _opened(batches):
-            runs = (none, none)
+            runs, gathered, size = (none, none), ([], []), 0
+
+            def sort(runs: tuple[np.ndarray, np.ndarray], gathered: tuple[list, list]) -> tuple[np.ndarray, np.ndarray]:
+                held, learnt = (_counted(np.concatenate([none, *g])) for g in gathered)
+                return _merged(*_merged(*runs, *learnt), held[0], np.zeros(len(held[0]), np.int64))
+
             for part in parts:
                 texts, trains = [t.lower() for t in utf8(part)], part.column("trains").to_pylist()
                 for text, own in zip(texts, trains, strict=True):
                     words[own].update(text.split())
-                packed, starts = _runs(texts)
-                own = np.repeat(np.array(trains, np.int64), np.diff(np.append(starts, len(packed))))
-                runs = add(*runs, *add(none, none, packed, own))
+                own = np.array(trains, bool)
+                for packed, at in _runs(texts):
+                    learns = own[at]
+                    gathered[0].append(packed[~learns])
+                    gathered[1].append(packed[learns])
+                    size += len(packed)
+                    if size > GATHERED:
+                        runs, gathered, size = sort(runs, gathered), ([], []), 0
                 if len(words[0]) + len(words[1]) > HELD:
                     yield from word_rows(words)
                     words = (Counter(), Counter())
+            runs = sort(runs, gathered)
             learnt = runs[1] > 0
-            grams = add(*grams, runs[0][learnt] & ((1 << 8 * (LOW + 1)) - 1), runs[1][learnt])
+            low_runs = runs[0][learnt] & ((1 << 8 * (LOW + 1)) - 1)
+            by_low = np.argsort(low_runs, kind="stable")
+            grams = _merged(*grams, low_runs[by_low], runs[1][learnt][by_low])
             order, names, starts = _bucketed(runs[0], buckets)
             cut = [np.split(c[order].astype(t), starts[1:]) for c, t in zip(runs, (np.int64, np.uint32), strict=True)]
             for low in range(0, len(names), 256):
                 at = slice(low, low + 256)
                 yield batch(
                     len(names[at]), chunk=np.full(len(names[at]), number), bucket=names[at], size=[len(c) for c in cut[0][at]],
-                    runs=[_packed(c) for c in cut[0][at]], times=[_packed(c) for c in cut[1][at]],
+                    runs=[_packed(c, True) for c in cut[0][at]], times=[_packed(c) for c in cut[1][at]],
                 )
             if len(grams[0]) > 2 * HELD:
                 yield batch(len(grams[0]), gram=grams[0], n=grams[1])
@@ -248,8 +325,8 @@ class Trie:
 def learn(chunks: DataFrame, buckets: int) -> tuple[DataFrame, DataFrame]:
     """Counts of all words, (word, n, every) in training and in all documents, and the prices of all runs.
 
-    Prices are (chunk, bucket, size, prices): log10 probabilities of the last bytes of a chunk's distinct runs, in
-    order. Counts cover all documents, however rare a run is.
+    Prices are (chunk, size, runs, prices): log10 probabilities of the last bytes of a chunk's distinct runs, to seven
+    digits. Counts cover all documents, however rare a run is.
     """
     partial = stored(_counts(chunks, buckets))
     words = stored(partial.where("word is not null").groupBy("word").agg(F.sum("n").alias("n"), F.sum(F.col("n") + F.col("held_n")).alias("every")))
@@ -259,66 +336,53 @@ def learn(chunks: DataFrame, buckets: int) -> tuple[DataFrame, DataFrame]:
 
     def price(group: pa.Table) -> pa.Table:
         sizes = group.column("size").to_pylist()
-        runs, times = (np.concatenate([_unpacked(b, k, t) for b, k in zip(group.column(c).to_pylist(), sizes, strict=True)]) for c, t in (("runs", np.int64), ("times", np.uint32)))
+        runs, times = (np.concatenate([_unpacked(b, k, t, t is np.int64) for b, k in zip(group.column(c).to_pylist(), sizes, strict=True)]) for c, t in (("runs", np.int64), ("times", np.uint32)))
         runs, where = np.unique(runs, return_inverse=True)
         n = np.bincount(where, times, len(runs)).astype(np.int64)
-        prices = Trie(runs[n > 0], n[n > 0], low=low.value).log10(runs)[where]
+        prices = Trie(runs[n > 0], n[n > 0], low=low.value).log10(runs)[where].astype(np.float32)
         cut = np.split(prices, np.cumsum(sizes)[:-1])
-        return group.select(["chunk", "bucket", "size"]).append_column("prices", pa.array([_packed(c) for c in cut], pa.binary()))
+        return group.select(["chunk", "size", "runs"]).append_column("prices", pa.array([_packed(c) for c in cut], pa.binary()))
 
     asked = partial.where("runs is not null").select("bucket", "chunk", "size", "runs", "times")
-    return words, asked.groupBy("bucket").applyInArrow(price, "chunk long, bucket long, size long, prices binary")
+    return words, asked.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(price, "chunk long, size long, runs binary, prices binary")
 
 
-def _scored(chunks: DataFrame, prices: DataFrame, buckets: int, frequent: Broadcast, cost: Broadcast) -> DataFrame:
-    """Per row of the chunks, one row for the text and its frequent words, and one for each other word in it.
+_SCORED = "chunk long, i long, doc_id long, n_tokens long, n_known long, base double, score double, rare array<struct<word:binary,times:long>>"
 
-    The row of a text has n_tokens over 0 and, so that such rows spread, a word of its own that no text holds.
-    """
+
+def _scored(chunks: DataFrame, prices: DataFrame, buckets: int, frequent: Broadcast) -> DataFrame:
+    """A row for each text: its place, tokens, what its frequent words add to the base, its score, and its other words."""
 
     def rows(left: pa.Table, right: pa.Table) -> Iterator[pa.RecordBatch]:
-        known, (floor, scale) = frequent.value, cost.value
-        parts = [part for _, parts in _opened(left.to_batches()) for part in parts]
-        distinct = np.empty(0, np.int64)
-        for part in parts:
-            distinct = np.union1d(distinct, _runs([t.lower() for t in utf8(part)])[0])
-        right, order = right.sort_by("bucket"), _bucketed(distinct, buckets)[0]
-        price = np.empty(len(distinct))
-        price[order] = np.concatenate([_unpacked(p, k, np.float64) for p, k in zip(right.column("prices").to_pylist(), right.column("size").to_pylist(), strict=True)])
-        for chunk in parts:
-            texts = [t.lower() for t in utf8(chunk)]
-            runs, starts = _runs(texts)
-            own, where = np.unique(runs, return_inverse=True)
-            scores, hash_ = np.add.reduceat(price[np.searchsorted(distinct, own)][where], starts), chunk.column("text_hash").to_pylist()
-            at, words, times, tokens, hits, base = [], [], [], [], [], []
-            for i, text in enumerate(texts):
-                counted = Counter(text.split())
-                total, seen, rare = 0.0, 0, []
-                for word, k in counted.items():
-                    n = known.get(word)
-                    if n is None:
-                        rare.append((word, k))
-                    else:
-                        total += k * (math.log10(n + 0.1) - scale)
-                        seen += k * (n > 0)
-                at += [i] * (1 + len(rare))
-                words += [b"\xff%d %d" % (i, hash_[i]), *(w for w, _ in rare)]
-                times += [0, *(k for _, k in rare)]
-                tokens += [sum(counted.values()) + 1, *[0] * len(rare)]
-                hits += [seen, *[0] * len(rare)]
-                base += [total, *[0.0] * len(rare)]
-            at_ = pa.array(at, pa.int64())
-            bare = pa.array([n > 0 for n in tokens])
-            first = pc.if_else(bare, pa.array(scores[at]), pa.scalar(0.0))
+        words_, known, price_of = frequent.value
+        number, at, hashes = left.column("chunk")[0].as_py(), 0, WordNumbers()
+        sizes = right.column("size").to_pylist()
+        price = np.concatenate([_unpacked(p, k, np.float32) for p, k in zip(right.column("prices").to_pylist(), sizes, strict=True)])
+        runs = Places(np.concatenate([_unpacked(p, k, np.int64, True) for p, k in zip(right.column("runs").to_pylist(), sizes, strict=True)]))
+        for part in (part for _, parts in _opened(left.to_batches()) for part in parts):
+            texts, size = [t.lower() for t in utf8(part)], part.num_rows
+            scores = np.zeros(size)
+            for packed, own in _runs(texts):
+                scores += np.bincount(own, price[runs.of(packed)], size)
+            split = [t.split() for t in texts]
+            own = np.repeat(np.arange(size), [len(w) for w in split])
+            words = [w for ws in split for w in ws]
+            place = words_.of(np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words)))
+            hit = place >= 0
+            base = np.bincount(own[hit], price_of[place[hit]], size).astype(np.float64)
+            seen = np.bincount(own[hit], known[place[hit]], size).astype(np.int64)
+            rare = Counter((int(own[k]), words[k]) for k in np.flatnonzero(~hit).tolist())  # in order of the texts
+            ends = np.cumsum([0, *np.bincount([i for i, _ in rare] or np.empty(0, int), minlength=size)])
+            pairs = pa.StructArray.from_arrays([pa.array([w for _, w in rare], pa.binary()), pa.array(list(rare.values()), pa.int64())], ["word", "times"])
             yield pa.RecordBatch.from_arrays(
-                [chunk.column("doc_id").take(at_), chunk.column("text_hash").take(at_), pa.array(words, pa.binary()), pa.array(times, pa.int64()),
-                 pa.array(tokens, pa.int64()), pa.array(hits, pa.int64()), pa.array(base, pa.float64()), first],
-                ["doc_id", "text_hash", "word", "times", "n_tokens", "n_known", "base", "score"],
+                [pa.array([number] * size, pa.int64()), pa.array(np.arange(at, at + size)), part.column("doc_id"), pa.array(np.array([len(w) + 1 for w in split], np.int64)),
+                 pa.array(seen), pa.array(base), pa.array(scores), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pairs)],
+                [f.split()[0] for f in _SCORED.split(", ")],
             )
+            at += size
 
-    columns = "doc_id long, text_hash long, word binary, times long, n_tokens long, n_known long, base double, score double"
-    texts = chunks.select("chunk", "rows")
-    return texts.groupBy("chunk").cogroup(prices.groupBy("chunk")).applyInArrow(lambda left, right: pa.Table.from_batches(rows(left, right)), columns)
+    texts = chunks.select("chunk", "rows").repartition(buckets, "chunk")
+    return texts.groupBy("chunk").cogroup(prices.repartition(buckets, "chunk").groupBy("chunk")).applyInArrow(lambda left, right: pa.Table.from_batches(rows(left, right)), _SCORED)
 
 
 def lm_scores(docs: DataFrame, trains: Column, frequent_words: int = FREQUENT_WORDS) -> DataFrame:
@@ -326,11 +390,12 @@ def lm_scores(docs: DataFrame, trains: Column, frequent_words: int = FREQUENT_WO
 
     Rows where ``trains`` is true are learnt from. Null texts read as empty: one token, the end. Repeated
     rows are learnt from as often as they occur and scored alike. With nothing to learn from, every byte
-    has probability 1/256. Frequent words, at most ``frequent_words``, travel with the tasks; the others,
-    each with few occurrences, are joined by word.
+    has probability 1/256; an empty table gives an empty result. Frequent words, at most ``frequent_words``, travel
+    with the tasks by their hashes; the others, each with few occurrences, are joined by word. A text of any length is
+    counted and scored in steps; other columns are not looked at.
     """
     spark = docs.sparkSession
-    plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.coalesce(F.xxhash64("text"), F.lit(0)).alias("text_hash"), F.coalesce(trains, F.lit(False)).alias("trains"))
+    plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.coalesce(trains, F.lit(False)).alias("trains"))
     chunks = stored(_chunked(plain))
     ends, size = chunks.agg(F.coalesce(F.sum("n_trains"), F.lit(0)), F.coalesce(F.sum("n_bytes"), F.lit(0))).first()
     buckets = 1 + size // CHUNK
@@ -339,29 +404,19 @@ def lm_scores(docs: DataFrame, trains: Column, frequent_words: int = FREQUENT_WO
     total, distinct = in_words + ends, kinds + (ends > 0)
     scale = math.log10(total + 0.1 * (distinct + 1))
     least = _at_most(words, "every", frequent_words)
-    common = words.where(F.col("every") >= least)
-    got = common.select("word", "n").toArrow()
-    frequent = dict(zip(got.column("word").to_pylist(), got.column("n").to_pylist(), strict=True))
-    send = spark.sparkContext.broadcast
-    parts = _scored(chunks, prices, buckets, send(frequent), send((math.log10(0.1), scale)))
-    rare = words.where(F.col("every") < least).select("word", "n")
-    joined = parts.join(rare, "word", "left")
-    n = F.coalesce("n", F.lit(0))
-    is_word = F.col("n_tokens") == 0
-    summed = joined.groupBy("doc_id", "text_hash").agg(
-        F.count_if(~is_word).alias("copies"),
-        F.sum("n_tokens").alias("n_tokens"),
-        F.sum(F.col("n_known") + F.when(is_word & (n > 0), F.col("times")).otherwise(0)).alias("n_known"),
-        F.sum(F.col("base") + F.when(is_word, F.col("times") * (F.log10(n + 0.1) - scale)).otherwise(0.0)).alias("base"),
-        F.sum("score").alias("score"),
-    )
+    got = words.where(F.col("every") >= least).select(F.xxhash64("word").alias("name"), "n").toArrow()
+    n = got.column("n").to_numpy()
+    frequent = spark.sparkContext.broadcast((Places(got.column("name").to_numpy()), (n > 0).astype(np.float32), np.log10(n + 0.1) - scale))
+    texts = stored(_scored(chunks, prices, buckets, frequent))
+    asked = texts.select("chunk", "i", F.explode("rare").alias("r")).select("chunk", "i", "r.word", "r.times")
+    joined = asked.join(words.where(F.col("every") < least).select("word", "n"), "word")
+    price = F.col("times") * (F.log10(F.col("n") + 0.1) - scale)
+    more = joined.groupBy("chunk", "i").agg(F.sum(F.when(F.col("n") > 0, F.col("times")).otherwise(0)).alias("known"), F.sum(price).alias("more"))
+    whole = texts.drop("rare").join(more, ["chunk", "i"], "left")
     end_cost = math.log10(ends + 0.1) - scale
-    # Equal rows were added up; each gets its share back.
-    each = summed.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
-    whole = lambda c: F.expr(f"{c} div copies")
-    return each.select(
-        "doc_id", whole("n_tokens").alias("n_tokens"), (whole("n_known") + int(ends > 0)).cast("long").alias("n_known"), F.lit(total).cast("long").alias("train_tokens"),
-        (F.col("base") / F.col("copies") + end_cost).alias("base_score"), (F.col("score") / F.col("copies")).alias("score"),
+    return whole.select(
+        "doc_id", "n_tokens", (F.col("n_known") + F.coalesce("known", F.lit(0)) + int(ends > 0)).cast("long").alias("n_known"), F.lit(total).cast("long").alias("train_tokens"),
+        (F.col("base") + F.coalesce("more", F.lit(0.0)) + end_cost).alias("base_score"), "score",
     )
 
 
