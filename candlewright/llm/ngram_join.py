@@ -4,7 +4,7 @@ Texts with equal sets of five-word windows share one ``sid`` (63 bits of a hash
 once. Each set is embedded as 128 minima of hash functions. A run starts with all sets in one node; a node
 picks one or two of the 128 positions, and a set follows it to the child named by its minimum there, that is,
 by a sampled token that the sets of a child share. After four levels small buckets are compared by brute
-force; large ones are split four levels further; what is still large then holds sets that are alike. Those
+force; large ones are split two levels further; what is still large then holds sets that are alike. Those
 form dense groups, which are compared block by block, so that a group of any size spreads over many tasks;
 what travels to the blocks is how each set differs from one of its group. Runs repeat until a pair at the
 threshold has met, in the deepest buckets and over the binomial spread of the 128 minima, with the target
@@ -24,7 +24,8 @@ from pyspark.sql import functions as F
 from .common import WordHashes, components, mix, shingles, stored, table, text_chunks, utf8
 
 POSITIONS = 128
-LEVELS = 4
+#: Levels of the first split, and further ones of large buckets.
+LEVELS, DEEPER = 4, 2
 SMALL = 16
 BLOCK = 512
 #: Share of the sets whose bucket keys are counted to find hot buckets.
@@ -35,7 +36,7 @@ _XOR = (_SEEDS[:POSITIONS] >> np.uint64(32)).astype(np.uint32)
 _MULTIPLY = (_SEEDS[POSITIONS:] >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
 
 
-def runs_for(recall: float, similarity: float, levels: int = 2 * LEVELS) -> int:
+def runs_for(recall: float, similarity: float, levels: int = LEVELS + DEEPER) -> int:
     """Runs after which a pair of this similarity has met with probability ``recall``, in the deepest buckets.
 
     A node has one child position, or two with probability 1/4; a pair follows each with the share of the
@@ -117,7 +118,7 @@ def _split(nodes: np.ndarray, rows: np.ndarray, sketches: np.ndarray, levels: in
 
 
 def _keys(df: DataFrame, runs: int | None, hot: list[int]) -> DataFrame:
-    """(key, sid, hot) of the buckets LEVELS below the roots of ``runs`` runs, or below column ``key``."""
+    """(key, sid, hot) of the buckets LEVELS below the roots of ``runs`` runs, or DEEPER below column ``key``."""
     known = np.array(sorted(hot), np.int64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -130,7 +131,7 @@ def _keys(df: DataFrame, runs: int | None, hot: list[int]) -> DataFrame:
                     nodes, rows = batch.column("key").to_numpy().view(np.uint64), np.arange(len(sid))
                 else:
                     nodes, rows = np.repeat(mix(np.arange(1, runs + 1, dtype=np.uint64)), len(sid)), np.tile(np.arange(len(sid)), runs)
-                nodes, rows = _split(nodes, rows, sketches, LEVELS)
+                nodes, rows = _split(nodes, rows, sketches, DEEPER if runs is None else LEVELS)
                 key = nodes.view(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(sid[rows]), pa.array(np.isin(key, known))], ["key", "sid", "hot"])
 
