@@ -10,9 +10,11 @@ from __future__ import annotations
 
 import functools
 import hashlib
+import os
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -66,6 +68,7 @@ def _pattern(template: Template, between: str) -> re.Pattern:
 
 @functools.cache
 def _encoder(path: str, template: Template):
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # tasks run side by side already
     from tokenizers import AddedToken, Tokenizer, processors
 
     made = Tokenizer.from_file(path)
@@ -94,30 +97,41 @@ def format_conversations(turns: DataFrame, path: str, template: Template = Templ
 
     ``turns`` has conv_id, turn, role and text; rows go by turn, then role and text, null turns first. Null
     roles and texts read as empty; rows with a null conv_id form one conversation; repeated rows are turns of
-    their own. loss_mask marks the tokens of texts whose role is ``learn``. A conversation is one sequence
-    and is held whole by one task; conversations spread over tasks by conv_id.
+    their own; an empty table gives an empty result; other columns are not looked at. loss_mask marks the tokens of
+    texts whose role is ``learn``. A conversation is one sequence, however long, and is held whole by one task;
+    conversations spread over tasks by conv_id.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(path, template)
-        for whole in batches:
-            for start in range(0, whole.num_rows, 64):
-                batch, out = whole.slice(start, 64), []
-                for conv in batch.column("turns").to_pylist():
-                    said = [(t["role"] or "", t["text"] or "") for t in conv]
-                    formatted, spans = template.render(said)
-                    coded = encoder.encode(formatted, add_special_tokens=False)
-                    offsets = np.array(coded.offsets, np.int32).reshape(-1, 2)
-                    wanted = [s for s, (role, _) in zip(spans, said, strict=True) if role == learn]
-                    out.append((formatted, coded.ids, offsets[:, 0], offsets[:, 1], tokens_of(wanted, offsets[:, 0], offsets[:, 1])))
-                kinds = (pa.string(), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.bool_()))
-                names = ["conv_id", *(f.split()[0] for f in _OUT.split(", ")[1:])]
-                yield pa.RecordBatch.from_arrays([batch.column("conv_id"), *(pa.array([o[i] for o in out], k) for i, k in enumerate(kinds))], names)
+        for batch in conversation_chunks(batches):
+            said = [[(t["role"] or "", t["text"] or "") for t in conv] for conv in batch.column("turns").to_pylist()]
+            rendered = [template.render(turns_) for turns_ in said]
+            coded = encoder.encode_batch([formatted for formatted, _ in rendered], add_special_tokens=False)
+            ends = np.cumsum([0, *(len(c) for c in coded)])
+            ids = np.fromiter(chain.from_iterable(c.ids for c in coded), np.int32, ends[-1])
+            offsets = np.fromiter(chain.from_iterable(chain.from_iterable(c.offsets for c in coded)), np.int32, 2 * ends[-1]).reshape(-1, 2)
+            starts, stops, mask = np.ascontiguousarray(offsets[:, 0]), np.ascontiguousarray(offsets[:, 1]), np.zeros(ends[-1], bool)
+            for (_, spans), conv, a, b in zip(rendered, said, ends[:-1], ends[1:], strict=True):
+                mask[a:b] = tokens_of([s for s, (role, _) in zip(spans, conv, strict=True) if role == learn], starts[a:b], stops[a:b])
+            lists = (pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(x)) for x in (ids, starts, stops, mask))
+            names = ["conv_id", *(f.split()[0] for f in _OUT.split(", ")[1:])]
+            yield pa.RecordBatch.from_arrays([batch.column("conv_id"), pa.array([formatted for formatted, _ in rendered], pa.string()), *lists], names)
 
     grouped = turns.select(F.col("conv_id").cast("long").alias("conv_id"), F.struct("turn", "role", "text").alias("t"))
     return grouped.groupBy("conv_id").agg(F.sort_array(F.collect_list("t")).alias("turns")).mapInArrow(run, _OUT)
 
 
+def conversation_chunks(batches: Iterator[pa.RecordBatch], size: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+    """Slices of at most about ``size`` bytes, or of one conversation if that is longer."""
+    for batch in batches:
+        step = max(1, size * batch.num_rows // max(batch.nbytes, 1))
+        for start in range(0, batch.num_rows, step):
+            part = batch.slice(start, step)
+            small = part.num_rows == 1 or part.nbytes <= 2 * size
+            yield from [part] if small else (part.slice(i, 1) for i in range(part.num_rows))
+
+
 def masked_text(formatted: str, starts: np.ndarray, ends: np.ndarray, mask: np.ndarray) -> list[str]:
     """The stretches of the string under the mask, one for each run of masked tokens."""
     at = np.flatnonzero(mask)
@@ -140,15 +154,14 @@ def op2_chat_format(spark: SparkSession, sf_dir: str, path: str | None = None) -
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for row in range(batch.num_rows):
-                formatted, starts, ends, mask = (batch.column(c)[row] for c in ("formatted", "token_starts", "token_ends", "loss_mask"))
-                formatted, mask = formatted.as_py(), mask.values.to_numpy(zero_copy_only=False)
+            rows, ends = [], batch.column("loss_mask").offsets.to_numpy()
+            starts, stops, mask = (batch.column(c).values.to_numpy(zero_copy_only=False) for c in ("token_starts", "token_ends", "loss_mask"))
+            for formatted, a, b in zip(batch.column("formatted").to_pylist(), ends[:-1].tolist(), ends[1:].tolist(), strict=True):
                 said = template.parse(formatted)
-                stretches = masked_text(formatted, starts.values.to_numpy(), ends.values.to_numpy(), mask)
+                stretches = masked_text(formatted, starts[a:b], stops[a:b], mask[a:b])
                 loss = "".join(template.unescape(s) for s in stretches)
                 turns_hex = hashlib.sha256("".join(f"{r}\n{t}\n" for r, t in said).encode()).hexdigest()
-                rows.append((len(said), turns_hex, len(loss), hashlib.sha256(loss.encode()).hexdigest(), len(formatted), len(mask)))
+                rows.append((len(said), turns_hex, len(loss), hashlib.sha256(loss.encode()).hexdigest(), len(formatted), b - a))
             n, turns_hex, chars, loss_hex, total, tokens = zip(*rows, strict=True) if rows else ((),) * 6
             yield pa.RecordBatch.from_arrays(
                 [batch.column("conv_id"), pa.array(n, pa.int64()), pa.array(turns_hex, pa.string()), pa.array(chars, pa.int64()),

@@ -1,9 +1,11 @@
 """Main text of web pages, with the templates of their site removed.
 
-Element subtrees are hashed (names and words below them) and counted once a page for each host, in Spark. A
-subtree, a block and not a phrase, that recurs on most pages of its host is template and is deleted, as are menus, headers, footers,
-sidebars, notices, adverts, forms, scripts, styles and reader comments, known by their element or its names.
-What remains of the article, or of the body where no element is one, is cut into blocks.
+Element subtrees are hashed twice: by the words below them, and, where links hold most of these words, by their
+structure, since menus of a site recur in shape but not in words. Both are counted once a page for each host, in
+Spark. Before anything else, subtrees that recur on most pages of their host are deleted: by their words
+wherever they stand, by their structure outside of articles, where a list of links may be the text. What is left
+of menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and reader comments goes by element
+or names. What remains of the article, or of the body where no element is one, is cut into blocks.
 """
 
 from __future__ import annotations
@@ -23,13 +25,17 @@ from .common import stored, table, text_chunks
 
 #: A subtree is template from so many pages of a host on, and from this share of them.
 MIN_PAGES, MIN_SHARE = 8, 0.5
+#: A subtree of links has at least so many, and this share of its words in them.
+MIN_LINKS, LINK_SHARE = 2, 0.5
 #: Templates that are broadcast at most; beyond, pages are joined with those of their host.
 BROADCAST_ROWS = 100_000
 
 TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^<>"']|"[^"]*"|'[^']*')*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>""", re.DOTALL)
+CLASSES = re.compile(r"""(?:class|role)\s*=\s*(?:"[^"]*"|'[^']*'|[^\s"'>]+)""", re.IGNORECASE)
 ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
+FOREIGN = frozenset(("svg", "math"))
 RAW = frozenset("script style textarea title noscript template iframe noembed noframes xmp".split())
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr "
@@ -66,7 +72,8 @@ class Node:
     tag: str
     attributes: str = ""
     parts: list = field(default_factory=list)
-    hash: int = 0
+    hash: int = 0  # by words
+    shape: int = 0  # by structure, of links
 
 
 def parse(page: str) -> Node:
@@ -97,8 +104,8 @@ def parse(page: str) -> Node:
         if name in RAW:
             end = re.compile(rf"</{re.escape(name)}(?=[\s/>])[^>]*>", re.IGNORECASE).search(page, at)
             at = end.end() if end else (len(page) if name in ("script", "style") else at)
-        elif name not in VOID and not attributes.endswith("/"):
-            stack.append(node)
+        elif name not in VOID and not (attributes.endswith("/") and (name in FOREIGN or any(n.tag in FOREIGN for n in stack))):
+            stack.append(node)  # a slash closes no element of HTML
     return root
 
 
@@ -134,12 +141,34 @@ def _walk(root: Node) -> list[Node]:
 
 
 def hashed(root: Node) -> list[Node]:
-    """Elements with words below them, their subtree hashes set; a hash covers names and words, not attributes."""
-    out = []
+    """Elements with words below them, their hashes set.
+
+    The hash of words covers names and words, not attributes. The shape covers names, classes and roles; equal
+    neighbours count as one, so that menus of any length are alike; only subtrees of links have one.
+    """
+    out, sizes, forms = [], {}, {}
     for node in reversed(_walk(root)):
-        words = [f"<{p.hash}>" if isinstance(p, Node) else " ".join(html.unescape(p).split()) for p in node.parts]
-        if any(words) and any(w != "<0>" for w in words):
+        words, form = [], [node.tag, *CLASSES.findall(node.attributes)] if node.attributes else [node.tag]
+        count = linked = links = 0
+        for p in node.parts:
+            if isinstance(p, Node):
+                words.append(f"<{p.hash}>")
+                n, in_links, of_links = sizes.pop(id(p))
+                count, linked, links = count + n, linked + in_links, links + of_links
+                if n and (own := forms.pop(id(p))) != form[-1]:
+                    form.append(own)
+            else:
+                text = html.unescape(p).split()
+                words.append(" ".join(text))
+                count += len(text)
+        if node.tag == "a":
+            linked, links = count, links + 1
+        sizes[id(node)] = (count, linked, links)
+        if count:
             node.hash = xxhash.xxh3_64_intdigest(f"{node.tag} {' '.join(words)}") >> 1 or 1
+            forms[id(node)] = f"({xxhash.xxh3_64_hexdigest(' '.join(form))})"
+            if links >= MIN_LINKS and linked >= LINK_SHARE * count:
+                node.shape = xxhash.xxh3_64_intdigest(f"shape {' '.join(form)}") >> 1 or 1
             out.append(node)
     return out
 
@@ -161,23 +190,24 @@ def boilerplate(node: Node, in_article: bool, by_name: bool = True) -> bool:
     return by_name and any(NAMED.fullmatch(n) and not (in_article and HEADS.fullmatch(n)) for n in names)
 
 
-def _is_template(node: Node, templates: frozenset[int]) -> bool:
+def _is_template(node: Node, templates: frozenset[int], in_article: bool) -> bool:
     """Whether the subtree is one of the site's; a word in bold that recurs is not, nor is a whole page."""
-    return node.hash in templates and node.tag not in INLINE and node.tag not in SAFE
+    known = node.hash in templates or (not in_article and node.shape in templates)
+    return known and node.tag not in INLINE and node.tag not in SAFE
 
 
 def _is_main(node: Node) -> bool:
     return node.tag == "main" or bool(re.search(r"""role\s*=\s*["']?main\b""", node.attributes, re.IGNORECASE))
 
 
-def _kept(root: Node, templates: frozenset[int]) -> list[Node]:
+def _kept(root: Node, templates: frozenset[int], lists: bool) -> list[Node]:
     """Outermost articles, else main elements, else the whole page, outside of boilerplate and template.
 
     Names do not drop what holds the main element, nor what holds the article where no other stands outside.
     """
-    articles, mains = _tops(root, templates, {"main"})
+    articles, mains = _tops(root, templates, {"main"}, lists)
     if not articles and not mains:
-        articles, mains = _tops(root, templates, {"main", "article"})
+        articles, mains = _tops(root, templates, {"main", "article"}, lists)
     return articles or mains[:1] or [root]
 
 
@@ -190,13 +220,13 @@ def _holders(root: Node, tags: set[str]) -> set[int]:
     return out
 
 
-def _tops(root: Node, templates: frozenset[int], spared: set[str]) -> tuple[list[Node], list[Node]]:
+def _tops(root: Node, templates: frozenset[int], spared: set[str], lists: bool) -> tuple[list[Node], list[Node]]:
     """Articles and main elements outside of boilerplate and template; names do not drop what holds one of ``spared``."""
     holders = _holders(root, spared)
     articles, mains, open_ = [], [], [root]
     while open_:
         node = open_.pop()
-        if node is not root and ((node.tag != "article" and _is_template(node, templates)) or boilerplate(node, False, id(node) not in holders)):
+        if node is not root and ((node.tag != "article" and _is_template(node, templates, False)) or (lists and boilerplate(node, False, id(node) not in holders))):
             continue
         if node.tag == "article":
             articles.append(node)
@@ -207,8 +237,11 @@ def _tops(root: Node, templates: frozenset[int], spared: set[str]) -> tuple[list
     return articles, mains
 
 
-def extract(page: str, templates: frozenset[int] = frozenset()) -> str:
-    """Blocks of the article in page order, joined by a line feed; empty if there is none."""
+def extract(page: str, templates: frozenset[int] = frozenset(), lists: bool = True) -> str:
+    """Blocks of the article in page order, joined by a line feed; empty if there is none.
+
+    Without ``lists`` only templates are removed, and what is no text.
+    """
     root = parse(page)
     if templates:
         hashed(root)
@@ -221,7 +254,7 @@ def extract(page: str, templates: frozenset[int] = frozenset()) -> str:
         if text:
             blocks.append(text)
 
-    for top in _kept(root, templates):
+    for top in _kept(root, templates, lists):
         in_article = top.tag == "article"
         open_: list[Node | str | None] = [top]
         while open_:
@@ -232,7 +265,7 @@ def extract(page: str, templates: frozenset[int] = frozenset()) -> str:
                 buffer.append(html.unescape(part))
             elif part.tag == "br":
                 buffer.append(" ")
-            elif part is top or not (_is_template(part, templates) or boilerplate(part, in_article)):
+            elif part is top or not (_is_template(part, templates, in_article) or (part.tag in DROPPED and part.tag in RAW) or (lists and boilerplate(part, in_article))):
                 block = part.tag not in INLINE
                 if block:
                     flush()
@@ -269,7 +302,8 @@ def site_templates(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: floa
         for chunk in text_chunks(batches, "html"):
             for host, page in zip(chunk.column("host").to_pylist(), chunk.column("html").to_pylist(), strict=True):
                 counts[host, 0] += 1
-                counts.update({(host, node.hash) for node in hashed(parse(page or "")) if node.tag != "#root" and node.tag not in INLINE})
+                nodes = [node for node in hashed(parse(page or "")) if node.tag != "#root" and node.tag not in INLINE]
+                counts.update({(host, h) for node in nodes for h in (node.hash, node.shape) if h})
             if len(counts) > 200_000:
                 yield rows()
                 counts.clear()
@@ -285,11 +319,12 @@ def site_templates(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: floa
     return counted.where("hash <> 0").join(total, "host").where(F.col("n") >= min_share * F.col("pages")).select("host", "hash")
 
 
-def main_text(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> DataFrame:
+def main_text(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE, lists: bool = True) -> DataFrame:
     """(page_id, url, text, n_chars) of each page of (page_id, url, html).
 
     Null and empty pages have an empty text. Pages without a host share one. Repeated rows count as one page
-    and are extracted alike; whole pages are read however long; an empty table gives an empty result.
+    and are extracted alike; whole pages are read however long; an empty table gives an empty result; other columns
+    are not looked at. ``lists`` as in extract.
     """
     templates = stored(site_templates(pages, min_pages, min_share).groupBy("host").agg(F.collect_set("hash").alias("hashes")))
     size = templates.agg(F.coalesce(F.sum(F.size("hashes")), F.lit(0))).first()[0]
@@ -298,7 +333,7 @@ def main_text(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = M
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for chunk in text_chunks(batches, "html"):
-            texts = [extract(page or "", frozenset(known or ())) for page, known in zip(chunk.column("html").to_pylist(), chunk.column("hashes").to_pylist(), strict=True)]
+            texts = [extract(page or "", frozenset(known or ()), lists) for page, known in zip(chunk.column("html").to_pylist(), chunk.column("hashes").to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays(
                 [chunk.column("page_id"), chunk.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"]
             )

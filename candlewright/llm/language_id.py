@@ -24,8 +24,8 @@ FILTERS = 16
 #: Labelled documents of each language that training takes at most, in expectation, and windows of each.
 TRAIN_DOCS, TRAIN_WINDOWS = 1200, 3
 EPOCHS, BATCH, RATE = 10, 64, 0.01
-#: Languages that are learnt at most: those with the most rows.
-LANGUAGES = 200
+#: Labelled documents that training takes at most of all languages together, in expectation; of many languages each has fewer.
+TRAIN_ALL = 60_000
 
 _LETTER = re.compile(r"[^\W\d_]")
 
@@ -77,6 +77,24 @@ def _softmax(x: np.ndarray) -> np.ndarray:
     return x / x.sum(axis=1, keepdims=True)
 
 
+def gradients(net: Network, x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> list[np.ndarray]:
+    """Of the weighted cross entropy, by tables, bias, layer and shift."""
+    top, ats = net.pooled(x, True)
+    act = np.maximum(top, 0)
+    error = _softmax(act @ net.layer + net.shift)
+    error[np.arange(len(y)), y] -= 1
+    error *= weight[:, None]
+    back = (error @ net.layer.T) * (top > 0)
+    grads = []
+    for j, rows in enumerate(net.tables):
+        own = back[:, j * FILTERS : (j + 1) * FILTERS]
+        for k in range(len(rows)):
+            g = np.zeros((256, FILTERS), np.float32)
+            np.add.at(g, (np.take_along_axis(x, ats[j] + k, axis=1), np.arange(FILTERS)[None, :]), own)
+            grads.append(g)
+    return [*grads, back.sum(axis=0), act.T @ error, error.sum(axis=0)]
+
+
 def fit(x: np.ndarray, y: np.ndarray, names: list[str], seed: int = 11) -> Network:
     """Trains by Adam on windows ``x`` of language numbers ``y``, classes weighted to equal shares."""
     rng = np.random.default_rng(seed)
@@ -92,22 +110,7 @@ def fit(x: np.ndarray, y: np.ndarray, names: list[str], seed: int = 11) -> Netwo
         rate = RATE * (1 - epoch / EPOCHS)
         for i in range(0, len(order), BATCH):
             at = order[i : i + BATCH]
-            part = x[at]
-            top, ats = net.pooled(part, True)
-            act = np.maximum(top, 0)
-            error = _softmax(act @ net.layer + net.shift)
-            error[np.arange(len(at)), y[at]] -= 1
-            error *= (weight[y[at]] / len(at))[:, None]
-            back = (error @ net.layer.T) * (top > 0)
-            grads = []
-            for j, rows in enumerate(tables):
-                own = back[:, j * FILTERS : (j + 1) * FILTERS]
-                for k in range(len(rows)):
-                    g = np.zeros((256, FILTERS), np.float32)
-                    byte = np.take_along_axis(part, ats[j] + k, axis=1)
-                    np.add.at(g, (byte, np.arange(FILTERS)[None, :]), own)
-                    grads.append(g)
-            grads += [back.sum(axis=0), act.T @ error, error.sum(axis=0)]
+            grads = gradients(net, x[at], y[at], weight[y[at]] / len(at))
             step += 1
             for p, g, m, v in zip(flat, grads, first, second, strict=True):
                 m += 0.1 * (g - m)
@@ -119,16 +122,18 @@ def fit(x: np.ndarray, y: np.ndarray, names: list[str], seed: int = 11) -> Netwo
 def train(docs: DataFrame, docs_each: int = TRAIN_DOCS) -> Network | None:
     """A network for the languages of the training folds, or None where no row has one.
 
-    About ``docs_each`` documents of each language are drawn by a hash of doc_id, and up to TRAIN_WINDOWS
-    windows of each, anywhere in its text.
+    About ``docs_each`` documents of each language, or an equal share of TRAIN_ALL if that is less, are drawn by a hash
+    of doc_id, and up to TRAIN_WINDOWS windows of each, anywhere in its text. Every language is learnt.
     """
     usable = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.coalesce(fold("doc_id", 4), F.lit(0)) != HELD_OUT))
-    counts = {r["lang"]: r["count"] for r in usable.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()}
+    counts = {r["lang"]: r["count"] for r in usable.groupBy("lang").count().collect()}
     if not counts:
         return None
     names = sorted(counts)
-    share = F.create_map(*(c for name in names for c in (F.lit(name), F.lit(min(1 << 40, (docs_each << 40) // counts[name])).cast("long"))))
-    drawn = usable.where(F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(1 << 40)) < F.coalesce(share[F.col("lang")], F.lit(0)))
+    each = min(docs_each, max(TRAIN_ALL // len(names), 20))
+    shares = docs.sparkSession.createDataFrame([(name, min(1 << 40, (each << 40) // counts[name])) for name in names], "lang string, share long")
+    # A row for each language, which the driver has counted.
+    drawn = usable.select("doc_id", "text", "lang").join(F.broadcast(shares), "lang").where(F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(1 << 40)) < F.col("share"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for chunk in text_chunks(batches):
@@ -147,7 +152,8 @@ def train(docs: DataFrame, docs_each: int = TRAIN_DOCS) -> Network | None:
     if got.num_rows == 0:
         return None
     x = np.frombuffer(b"".join(got.column("bytes").to_pylist()), np.uint8).reshape(-1, WINDOW)
-    y = np.array([names.index(v) for v in got.column("lang").to_pylist()])
+    number = {name: i for i, name in enumerate(names)}
+    y = np.array([number[v] for v in got.column("lang").to_pylist()])
     return fit(x, y, names)
 
 
@@ -155,8 +161,9 @@ def identify(docs: DataFrame, network: Network | None) -> DataFrame:
     """(doc_id, lang_pred, score) of each row of (doc_id, text).
 
     Every window of the text counts by its bytes; the score is the mean probability of the language. A null
-    text, or one without a letter, is `und` with score 0, as is every text where nothing was learnt. Nothing
-    but the text is looked at.
+    text, or one without a letter, is `und` with score 0, as is every text where nothing was learnt. Of languages
+    with equal scores the first by name is taken; repeated rows are alike; an empty table gives an empty result.
+    Nothing but the text is looked at.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -17,11 +17,13 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import HELD_OUT, WordHashes, fold, mix, table, text_chunks, utf8
+from .common import HELD_OUT, WordHashes, fold, mix, stored, table, text_chunks, utf8
 
 BITS = 18
 #: Labelled rows that training takes at most (in expectation), and passes over them.
 TRAIN_ROWS, PASSES = 6000, 3
+#: Features of these rows that come to the driver at most (in expectation), 8 bytes each; of long texts fewer rows are taken.
+TRAIN_FEATURES = 20_000_000
 #: Step size, its offset, and the weights of the absolute and squared penalties.
 ALPHA, BETA, L1, L2 = 0.5, 1.0, 1e-4, 1e-4
 THRESHOLD = 0.7
@@ -85,16 +87,18 @@ def sigmoid(x):
     return 1 / (1 + np.exp(-np.clip(x, -500, 500)))
 
 
-def train(docs: DataFrame, labels: DataFrame, label: str = "quality", rows: int = TRAIN_ROWS) -> np.ndarray:
+def train(docs: DataFrame, labels: DataFrame, label: str = "quality", rows: int = TRAIN_ROWS, features_: int = TRAIN_FEATURES) -> np.ndarray:
     """Weights learnt from at most about ``rows`` labelled rows of the training folds, drawn by a hash of doc_id.
 
-    Features come to the driver, at most 2**18 a row. Without labelled rows all weights are zero.
+    Features come to the driver, at most about ``features_`` of them: where the rows have more, an equal share of all
+    rows, drawn by another hash, is left out. Without labelled rows all weights are zero. Columns but doc_id, text
+    and ``label`` are not looked at.
     """
     known = labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull() & (fold("doc_id", 4) != HELD_OUT))
     total = known.count()
     share = min(1.0, rows / max(total, 1))
     drawn = known.where(F.pmod(F.xxhash64("doc_id", F.lit(10)), F.lit(1 << 40)) < int((1 << 40) * share)).select("doc_id", F.col(label).cast("int").alias("label"))
-    joined = docs.select("doc_id", "text").join(F.broadcast(drawn) if total * share <= 2 * rows else drawn, "doc_id")
+    joined = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(drawn) if total * share <= 2 * rows else drawn, "doc_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, shapes = WordHashes(), Shapes()
@@ -105,7 +109,9 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", rows: int
                 ["doc_id", "label", "place", "value"],
             )
 
-    got = joined.mapInArrow(run, "doc_id long, label int, place array<int>, value array<float>").toArrow()
+    made = stored(joined.mapInArrow(run, "doc_id long, label int, place array<int>, value array<float>"))
+    size = made.agg(F.coalesce(F.sum(F.size("place")), F.lit(0))).first()[0]
+    got = made.where(F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(1 << 40)) < int((1 << 40) * min(1.0, features_ / max(size, 1)))).toArrow()
     order = np.argsort(mix(got.column("doc_id").to_numpy().astype(np.int64).view(np.uint64)), kind="stable")
     label_of = got.column("label").to_numpy()
     place, value = got.column("place").combine_chunks(), got.column("value").combine_chunks()
@@ -119,7 +125,8 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", rows: int
 def score(docs: DataFrame, weights: np.ndarray) -> DataFrame:
     """(doc_id, score) of each row; texts that are null or empty get the score of the bias alone.
 
-    The weights have a fixed size and travel with the tasks. Whole texts are scored; repeated rows score alike.
+    The weights have a fixed size and travel with the tasks. Whole texts are scored; repeated rows score alike; an
+    empty table gives an empty result; other columns are not looked at.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -1,25 +1,25 @@
 """Secret scans: fixed patterns, and a battery of randomness tests over long tokens.
 
-A long token is a secret if it looks drawn at random from the smallest known alphabet that holds it, and not
-like ordinary text. Randomness: chi-squared uniformity over the alphabet, runs about the middle of the
-alphabet and lag-one serial correlation, joined by Fisher's rule, must not reject it. Ordinary text: the
-ratio of a letter model's probability to the alphabet's bounds the chance that text looks so random. That
-bound shrinks with every character; within a document, Benjamini and Hochberg's step-up rule is applied for
-each length class, which holds the share of false finds among short and long tokens alike.
+The encoding of a long token is the smallest known alphabet that holds it. Chi-squared uniformity over that
+alphabet, runs about its middle and lag-one serial correlation, joined by Fisher's rule, say how well the token
+agrees with a random draw. That probability times the ratio of the alphabet's to a letter model's probability is an
+e-value against ordinary text: ordinary tokens have at most 1 in the mean, the more so the worse they do in the
+battery. The step-up rule of Benjamini and Hochberg for e-values then holds the share of false finds, among all
+tokens of a length class in the table, so that the many short ones do not drown the few long ones.
 """
 
 from __future__ import annotations
 
-import hashlib
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import free_name, map_arrow, table, text_chunks, with_field
+from .common import free_name, map_arrow, named, table, text_chunks, with_field
 
 ASSIGN = re.compile(
     r"""([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -38,29 +38,37 @@ ALPHABETS = (
 )
 #: Percentages of the letters a to z in English text, as commonly published.
 LETTERS = (8.2, 1.5, 2.8, 4.3, 12.7, 2.2, 2.0, 6.1, 7.0, 0.15, 0.77, 4.0, 2.4, 6.7, 7.5, 1.9, 0.095, 6.0, 6.3, 9.1, 2.8, 0.98, 2.4, 0.15, 2.0, 0.074)
-#: Shares of small letters, capitals, digits and other characters that ordinary text is taken to have.
-SHARES = (0.90, 0.06, 0.02, 0.02)
-#: A randomness test under this probability rejects; at most this share of finds may be ordinary text.
-ALPHA, FALSE_SHARE = 0.001, 0.001
+#: Shares of small letters, capitals, digits and other characters in ordinary text: words, names in capitals, mixed names, numbers.
+STYLES = ((0.90, 0.06, 0.02, 0.02), (0.02, 0.88, 0.05, 0.05), (0.60, 0.25, 0.10, 0.05), (0.03, 0.02, 0.90, 0.05))
+#: At most this share of finds may be ordinary text.
+FALSE_SHARE = 0.001
+#: Width of a step of evidence, in natural logarithms, and the most steps told apart.
+STEP, MOST_STEPS = 0.25, 2000
 #: Lower ends of the length classes.
 LENGTHS = (20, 32, 48, 80)
 
-_ORDINARY = (
-    {c: math.log(SHARES[0] * p / sum(LETTERS)) for c, p in zip(LOWER, LETTERS, strict=True)}
-    | {c: math.log(SHARES[1] * p / sum(LETTERS)) for c, p in zip(UPPER, LETTERS, strict=True)}
-    | {c: math.log(SHARES[2] / 10) for c in DIGITS}
-    | {c: math.log(SHARES[3] / 5) for c in "+/-_="}
+_ORDINARY = tuple(
+    {c: math.log(small * p / sum(LETTERS)) for c, p in zip(LOWER, LETTERS, strict=True)}
+    | {c: math.log(capital * p / sum(LETTERS)) for c, p in zip(UPPER, LETTERS, strict=True)}
+    | {c: math.log(digit / 10) for c in DIGITS}
+    | {c: math.log(other / 5) for c in "+/-_="}
+    for small, capital, digit, other in STYLES
 )
 
 
+def _log_tail(z: float) -> float:
+    """Logarithm of a standard normal's probability to lie above ``z``, however small."""
+    return math.log(0.5 * math.erfc(z / math.sqrt(2))) if z < 8 else -z * z / 2 - math.log(z * math.sqrt(2 * math.pi))
+
+
 def _two_sided(z: float) -> float:
-    return math.erfc(abs(z) / math.sqrt(2))
+    return min(0.0, math.log(2) + _log_tail(abs(z)))
 
 
 def _chi_squared_above(x: float, freedom: int) -> float:
-    """Upper tail by Wilson and Hilferty's cube-root rule."""
+    """Logarithm of the upper tail by Wilson and Hilferty's cube-root rule, far out by Chernoff's bound."""
     z = ((x / freedom) ** (1 / 3) - (1 - 2 / (9 * freedom))) / math.sqrt(2 / (9 * freedom))
-    return 0.5 * math.erfc(z / math.sqrt(2))
+    return _log_tail(z) if z < 8 else -freedom / 2 * (x / freedom - 1 - math.log(x / freedom))
 
 
 def alphabet(token: str) -> str | None:
@@ -70,17 +78,18 @@ def alphabet(token: str) -> str | None:
 
 
 def randomness(token: str, letters: str) -> float:
-    """Probability that a random string of this alphabet looks less random, over the three tests."""
+    """Logarithm of the probability that a random string of this alphabet looks less random, over the three tests."""
     n, size = len(token), len(letters)
-    values = [letters.index(c) for c in token]
+    place = {c: i for i, c in enumerate(letters)}
+    values = [place[c] for c in token]
     expected = n / size
-    counts = [values.count(v) for v in range(size)]
+    counts = [token.count(c) for c in letters]
     uniform = _chi_squared_above(sum((c - expected) ** 2 / expected for c in counts), size - 1)
     signs = [2 * v >= size for v in values]
     ups = sum(signs)
     downs = n - ups
     if not ups or not downs:
-        runs = 2.0 ** (1 - n)
+        runs = (1 - n) * math.log(2)
     else:
         mean = 2 * ups * downs / n + 1
         spread = (mean - 1) * (mean - 2) / (n - 1)
@@ -88,35 +97,74 @@ def randomness(token: str, letters: str) -> float:
     middle = sum(values) / n
     around = sum((v - middle) ** 2 for v in values)
     lag = sum((a - middle) * (b - middle) for a, b in zip(values, values[1:], strict=False))
-    serial = _two_sided((lag / around + 1 / n) * math.sqrt(n)) if around else 2.0 ** (1 - n)
-    joined = -2 * sum(math.log(max(p, 1e-300)) for p in (uniform, runs, serial))
-    half = joined / 2  # the upper tail of chi-squared with 6 degrees of freedom
-    return math.exp(-half) * (1 + half + half * half / 2)
+    serial = _two_sided((lag / around + 1 / n) * math.sqrt(n)) if around else (1 - n) * math.log(2)
+    half = -(uniform + runs + serial)  # half a chi-squared with 6 degrees of freedom, whose upper tail this is
+    return math.log(1 + half + half * half / 2) - half
 
 
-def ordinary(token: str, letters: str) -> float:
-    """Bound of the probability that ordinary text favours the alphabet so much: the likelihood ratio."""
-    return math.exp(min(0.0, sum(_ORDINARY[c] for c in token) + len(token) * math.log(len(letters))))
+def evidence(token: str, letters: str) -> float:
+    """Natural logarithm of the e-value against ordinary text, the mean of the styles.
 
+    A token has one alphabet of several, hence the last term.
+    """
+    styles = [sum(map(style.__getitem__, token)) for style in _ORDINARY]
+    top = max(styles)
+    plain = top + math.log(sum(math.exp(x - top) for x in styles) / len(styles))
+    against = -plain - len(token) * math.log(len(letters))
+    return against + randomness(token, letters) - math.log(len(ALPHABETS))
 
-def random_spans(text: str) -> list[tuple[int, int]]:
-    """Spans of tokens that pass the battery under the false-discovery rule."""
-    tests: dict[int, list[tuple[float, int, int, str, str]]] = {}
+
+def candidates(text: str) -> list[tuple[int, int, int, int]]:
+    """(start, end, length class, evidence in steps) of the long tokens of a text."""
+    found = []
     for m in CANDIDATE.finditer(text):
         token = m[0].rstrip("=")
         letters = alphabet(token)
         if letters and len(token) >= LENGTHS[0]:
-            band = max(low for low in LENGTHS if low <= len(token))
-            tests.setdefault(band, []).append((ordinary(token, letters), m.start(), m.start() + len(token), token, letters))
-    found = []
-    for band in tests.values():
-        band.sort()
-        last = max((k for k, x in enumerate(band, 1) if x[0] <= FALSE_SHARE * k / len(band)), default=0)
-        found += [(a, b) for _, a, b, token, letters in band[:last] if randomness(token, letters) >= ALPHA]
+            steps = min(max(math.floor(evidence(token, letters) / STEP), -1), MOST_STEPS)
+            found.append((m.start(), m.start() + len(token), max(low for low in LENGTHS if low <= len(token)), steps))
     return found
 
 
-def scan(text: str) -> list[tuple[int, str, int]]:
+def limits_of(counts: dict[tuple[int, int], int], false_share: float = FALSE_SHARE) -> dict[int, int]:
+    """By length class, the steps of evidence from which on tokens are found, from how many tokens have how many.
+
+    The step-up rule: the most tokens such that the least evidence among k of m is at least m / (false_share k).
+    """
+    out = {}
+    for band in {b for b, _ in counts}:
+        own = sorted(((s, n) for (b, s), n in counts.items() if b == band), reverse=True)
+        total, above = sum(n for _, n in own), 0
+        for steps, n in own:
+            above += n
+            if steps > 0 and steps * STEP >= math.log(total / (false_share * above)):
+                out[band] = steps
+    return out
+
+
+def random_spans(text: str, limits: dict[int, int] | None = None) -> list[tuple[int, int]]:
+    """Spans of tokens found under ``limits``, or under those of the text's own tokens."""
+    found = candidates(text)
+    if limits is None:
+        limits = limits_of(Counter((band, steps) for _, _, band, steps in found))
+    return [(a, b) for a, b, band, steps in found if band in limits and steps >= limits[band]]
+
+
+def false_find_limits(docs: DataFrame, text: str = "text", false_share: float = FALSE_SHARE) -> dict[int, int]:
+    """limits_of all tokens of a table: tasks count evidence by length class, at most MOST_STEPS counts for each."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts: Counter = Counter()
+        for chunk in text_chunks(batches):
+            for t in chunk.column(0).to_pylist():
+                counts.update((band, steps) for _, _, band, steps in (candidates(t) if t else ()))
+        yield pa.RecordBatch.from_arrays([pa.array([f(k) for k in counts], pa.int64()) for f in (lambda k: k[0], lambda k: k[1], counts.get)], ["band", "steps", "n"])
+
+    seen = docs.select(named(text).alias("text")).mapInArrow(run, "band long, steps long, n long")
+    return limits_of({(r["band"], r["steps"]): r["n"] for r in seen.groupBy("band", "steps").agg(F.sum("n").alias("n")).collect()}, false_share)
+
+
+def scan(text: str, limits: dict[int, int] | None = None) -> list[tuple[int, str, int]]:
     """(start, kind, end) of all secrets of a text, by start and then kind as in KINDS."""
     found = []
     if "=" in text or ":" in text:
@@ -126,14 +174,14 @@ def scan(text: str) -> list[tuple[int, str, int]]:
     if LONG_HEX.search(text):
         found += [(m.start(), 2, m.end()) for m in HEX.finditer(text) if m.end() - m.start() >= 32]
     base = list(found)
-    found += [(a, 3, b) for a, b in random_spans(text) if not any(a < end and start < b for start, _, end in base)]
+    found += [(a, 3, b) for a, b in random_spans(text, limits) if not any(a < end and start < b for start, _, end in base)]
     return [(a, KINDS[k], b) for a, k, b in sorted(found)]
 
 
-def redacted(text: str, mark: str = "[SECRET]") -> str:
+def redacted(text: str, mark: str = "[SECRET]", limits: dict[int, int] | None = None) -> str:
     """The text with each stretch of secrets replaced by ``mark``."""
     out, at = [], 0
-    for start, _, end in scan(text):
+    for start, _, end in scan(text, limits):
         if start >= at:
             out += [text[at:start], mark]
         at = max(at, end)
@@ -146,15 +194,17 @@ _SPANS = "array<struct<kind:string,start:long,end:long>>"
 def secret_spans(docs: DataFrame, text: str = "text", to: str = "secrets") -> DataFrame:
     """``docs`` with the array ``to`` of (kind, start, end), in code points, end exclusive.
 
-    Null and empty texts have none; whole texts are scanned however long; repeated rows are alike; other
-    columns are carried unchanged, and one named ``to`` is replaced.
+    Null and empty texts have none; whole texts are scanned however long; repeated rows are alike, and count as often
+    as they occur in the false-discovery control; tokens of equal evidence are found or not together; an empty table
+    gives an empty one. Other columns are carried unchanged, whatever their names, and one named ``to`` is replaced.
     """
+    limits = false_find_limits(docs, text)
     kept, schema = with_field(docs, to, _SPANS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
         for chunk in text_chunks(batches, text):
-            spans = [[{"kind": k, "start": a, "end": b} for a, k, b in scan(t)] if t else [] for t in chunk.column(text).to_pylist()]
+            spans = [[{"kind": k, "start": a, "end": b} for a, k, b in scan(t, limits)] if t else [] for t in chunk.column(text).to_pylist()]
             yield pa.RecordBatch.from_arrays([*chunk.columns, pa.array(spans, kind)], [*chunk.schema.names, to])
 
     return map_arrow(kept, run, schema)
@@ -163,12 +213,14 @@ def secret_spans(docs: DataFrame, text: str = "text", to: str = "secrets") -> Da
 def redact(docs: DataFrame, text: str = "text", length: str | None = "n_chars") -> DataFrame:
     """``docs`` with secrets in ``text`` replaced by a mark, and ``length`` set to the new code points.
 
-    Null texts stay null; rows and columns are kept, and ``length`` is left alone where it is absent, or null.
+    Null texts stay null; rows and columns are kept, and ``length`` is left alone where it is absent, or null. Otherwise
+    as secret_spans.
     """
+    limits = false_find_limits(docs, text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for chunk in text_chunks(batches, text):
-            new = [t and redacted(t) for t in chunk.column(text).to_pylist()]
+            new = [t and redacted(t, limits=limits) for t in chunk.column(text).to_pylist()]
             at = chunk.schema.get_field_index(text)
             yield chunk.set_column(at, chunk.schema.field(at), pa.array(new, chunk.schema.field(at).type))
 
@@ -189,10 +241,3 @@ def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(
         "doc_id", *(count(k).alias(f"n_{k}") for k in KINDS[:3]), F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("secrets")).alias("spans")
     )
-
-
-def base_digest(text: str | None) -> str:
-    """What base_sha256 must be, from the patterns alone; for tests."""
-    spans = [(m.start(), i, m.end()) for i, p in enumerate((ASSIGN, ACCESS, HEX)) for m in p.finditer(text or "")
-             if (m.end(2) - m.start(2) >= 8 if i == 0 else m.end() - m.start() >= (16, 32)[i - 1])]
-    return hashlib.sha256(",".join(f"{KINDS[k]}:{a}:{b}" for a, k, b in sorted(spans)).encode()).hexdigest()
