@@ -18,6 +18,7 @@ from candlewright.operators import reconcile as R
 from candlewright.sources import klines as K
 from candlewright.sources import ticks as S
 
+from .scratch import once
 from .sql import ROW, with_candles, with_late, with_ticks
 
 ALL = tuple(T.INTERVALS)
@@ -49,11 +50,16 @@ def repaired(spark: SparkSession, sf: str) -> DataFrame:
     return D.candles_with_late(valid(spark, sf), ALL)
 
 
-def stored(spark: SparkSession, sf: str) -> DataFrame:
+def kept(spark: SparkSession, sf: str) -> DataFrame:
+    """Repaired candles as a stored table, for queries that read them more than once."""
+    return once(repaired(spark, sf))
+
+
+def stored(c: DataFrame) -> DataFrame:
     """Repaired candles with every eleventh minute missing and every seventh close off by a cent."""
     minute = F.expr("start_s div 60")
     off = F.when(minute % 7 == 0, (F.col("close") + F.lit("0.01").cast("decimal(3,2)")).cast("decimal(18,6)")).otherwise(F.col("close"))
-    return repaired(spark, sf).where(~((F.col("interval") == "1m") & (minute % 11 == 0))).withColumn("close", off)
+    return c.where(~((F.col("interval") == "1m") & (minute % 11 == 0))).withColumn("close", off)
 
 
 def as_of(spark: SparkSession, sf: str) -> int:
@@ -303,17 +309,16 @@ min(low) as low, arg_max(close, start_s) as close, cast(sum(volume) as bigint) a
 
 @query("rollup_candles", with_late(f"select * from ({rollup_sql('lc', '5m', 300)}) union all select * from ({rollup_sql('lc', '30m', 1800)})"))
 def rollup_candles(spark, sf):
-    c = repaired(spark, sf)
+    c = kept(spark, sf)
     return A.rollup(c, "5m").union(A.rollup(c, "30m"))
 
 
 DAY = 86_400_000
 
 
-def live_of(spark, sf):
+def live_of(c: DataFrame, end: int) -> DataFrame:
     """The open candle of the last minute of each symbol."""
-    c = repaired(spark, sf).where("interval = '1m'")
-    return c.where(F.col("start_s") == as_of(spark, sf))
+    return c.where((F.col("interval") == "1m") & (F.col("start_s") == end))
 
 
 STATS_24H = f""", w as (select (last_s + 20) * 1000 as as_of_ms, last_s as minute from lim),
@@ -328,7 +333,11 @@ st as (select coalesce(fin.symbol, live.symbol) as symbol, coalesce(fin.open, li
 
 @query("stats_24h", with_late(STATS_24H + f" select *, {percent_sql('open', 'current')} as change_percent from st"))
 def stats_24h(spark, sf):
-    return C.stats_24h(repaired(spark, sf), live_of(spark, sf), (as_of(spark, sf) + 20) * 1000)
+    return _stats_24h(kept(spark, sf), as_of(spark, sf))
+
+
+def _stats_24h(c: DataFrame, end: int) -> DataFrame:
+    return C.stats_24h(c, live_of(c, end), (end + 20) * 1000)
 
 
 @query("checked_volume", with_ticks("select symbol, cast(sum(units) as bigint) as volume from v group by symbol"))
@@ -469,16 +478,18 @@ WINDOW_SQL = f"select {ROW} from (select * from stored qualify row_number() over
 @query("hot_window_put", with_late(f""", hw as ({WINDOW_SQL}), ch as (select {ROW} from lc where start_s // 60 % 7 = 0)
 select * from (select * from hw where (symbol, interval, start_s) not in (select symbol, interval, start_s from ch) union all select * from ch) qualify row_number() over (partition by symbol, interval order by start_s desc) <= 200"""))
 def hot_window_put(spark, sf):
-    window = O.latest_n(stored(spark, sf), 200)
-    return L.put_bucket(window, repaired(spark, sf).where(F.expr("start_s div 60") % 7 == 0), 200)
+    c = kept(spark, sf)
+    window = O.latest_n(stored(c), 200)
+    return L.put_bucket(window, c.where(F.expr("start_s div 60") % 7 == 0), 200)
 
 
 @query("hot_window_put_range", with_late(f""", hw as ({WINDOW_SQL}), ch as (select {ROW} from lc where start_s % 9000 = 1800 and start_s >= (select last_s - 7200 from lim)),
 sp as (select symbol, interval, min(start_s) as lo, max(start_s) as hi from ch group by all)
 select * from (select hw.* from hw left join sp using (symbol, interval) where lo is null or start_s < lo or start_s > hi union all select * from ch) qualify row_number() over (partition by symbol, interval order by start_s desc) <= 200"""))
 def hot_window_put_range(spark, sf):
-    window = O.latest_n(stored(spark, sf), 200)
-    batch = repaired(spark, sf).where((F.col("start_s") % 9000 == 1800) & (F.col("start_s") >= as_of(spark, sf) - 7200))
+    c = kept(spark, sf)
+    window = O.latest_n(stored(c), 200)
+    batch = c.where((F.col("start_s") % 9000 == 1800) & (F.col("start_s") >= as_of(spark, sf) - 7200))
     return L.put_range(window, batch, 200)
 
 
@@ -504,30 +515,34 @@ def ticker_messages(spark, sf):
 @query("reconcile_changes", with_late("""select lc.symbol, lc.interval, lc.start_s, lc.open, lc.high, lc.low, lc.close, lc.volume from lc left join stored s using (symbol, interval, start_s)
 where lc.interval = '1m' and (s.close is null or s.open <> lc.open or s.high <> lc.high or s.low <> lc.low or s.close <> lc.close or s.volume <> lc.volume)"""))
 def reconcile_changes(spark, sf):
-    return R.reconcile(stored(spark, sf), repaired(spark, sf).where("interval = '1m'"))[0]
+    c = kept(spark, sf)
+    return R.reconcile(stored(c), c.where("interval = '1m'"))[0]
 
 
 @query("reconcile_audit", with_late("""select lc.symbol, lc.interval, lc.start_s, case when s.close is null then 'MISSING' else 'MISMATCH' end as reason, lc.close as expected_close, s.close as actual_close
 from lc left join stored s using (symbol, interval, start_s)
 where lc.interval = '1m' and (s.close is null or s.open <> lc.open or s.high <> lc.high or s.low <> lc.low or s.close <> lc.close or s.volume <> lc.volume)"""))
 def reconcile_audit(spark, sf):
-    return R.reconcile(stored(spark, sf), repaired(spark, sf).where("interval = '1m'"))[1]
+    c = kept(spark, sf)
+    return R.reconcile(stored(c), c.where("interval = '1m'"))[1]
 
 
 @query("rollup_changed_only", with_late(f""", r as ({rollup_sql('lc', '5m', 300)})
 select r.symbol, r.interval, r.start_s, r.open, r.high, r.low, r.close, r.volume from r left join stored s using (symbol, interval, start_s)
 where s.close is null or s.open <> r.open or s.high <> r.high or s.low <> r.low or s.close <> r.close or s.volume <> r.volume"""))
 def rollup_changed_only(spark, sf):
-    return R.changed_only(A.rollup(repaired(spark, sf), "5m"), stored(spark, sf))
+    c = kept(spark, sf)
+    return R.changed_only(A.rollup(c, "5m"), stored(c))
 
 
 @query("upsert_candles", with_late("""select coalesce(s.symbol, n.symbol) as symbol, coalesce(s.interval, n.interval) as interval, coalesce(s.start_s, n.start_s) as start_s, coalesce(n.open, s.open) as open, coalesce(n.high, s.high) as high,
 coalesce(n.low, s.low) as low, coalesce(n.close, s.close) as close, coalesce(n.volume, s.volume) as volume, cast(case when s.symbol is not null and n.symbol is not null then 1 else 0 end as bigint) as version
 from stored s full join (select * from lc where start_s // 60 % 3 = 0) n on s.symbol = n.symbol and s.interval = n.interval and s.start_s = n.start_s"""))
 def upsert_candles(spark, sf):
-    changes = repaired(spark, sf).where(F.expr("start_s div 60") % 3 == 0)
+    c = kept(spark, sf)
+    changes = c.where(F.expr("start_s div 60") % 3 == 0)
     odd = changes.withColumn("interval", F.lit("7m"))
-    return R.upserted(stored(spark, sf).withColumn("version", F.lit(0).cast("long")), changes.unionByName(odd))
+    return R.upserted(stored(c).withColumn("version", F.lit(0).cast("long")), changes.unionByName(odd))
 
 
 RUN_SQL = f""", w as (select last_s - 60 - 7200 as a, last_s - 60 as z from lim),
@@ -544,12 +559,14 @@ ro as (select * from ({rollup_sql("(select co.* from co, w where start_s >= a //
 union all select r.symbol, r.interval, r.start_s, r.open, r.high, r.low, r.close, r.volume from ro r left join stored s using (symbol, interval, start_s)
 where s.close is null or s.open <> r.open or s.high <> r.high or s.low <> r.low or s.close <> r.close or s.volume <> r.volume"""))
 def reconciliation_run(spark, sf):
-    return R.reconciliation_run(stored(spark, sf), repaired(spark, sf).where("interval = '1m'"), as_of(spark, sf) * 1000 + 5000)[0]
+    c = kept(spark, sf)
+    return R.reconciliation_run(stored(c), c.where("interval = '1m'"), as_of(spark, sf) * 1000 + 5000)[0]
 
 
 @query("reconciliation_audit", with_late(RUN_SQL + " select symbol, interval, start_s, case when was is null then 'MISSING' else 'MISMATCH' end as reason, close as expected_close, was as actual_close from ch"))
 def reconciliation_audit(spark, sf):
-    return R.reconciliation_run(stored(spark, sf), repaired(spark, sf).where("interval = '1m'"), as_of(spark, sf) * 1000 + 5000)[1]
+    c = kept(spark, sf)
+    return R.reconciliation_run(stored(c), c.where("interval = '1m'"), as_of(spark, sf) * 1000 + 5000)[1]
 
 
 TARGETS = (1704067200_000 + 200_000, 1704067200_000 + 7_260_000)
@@ -592,8 +609,9 @@ select symbol, open, p as current, greatest(high, kh, p) as high, least(low, kl_
 
 @query("stats_overlay", with_late(OVERLAY))
 def stats_overlay(spark, sf):
-    last = C.newest(repaired(spark, sf).where("interval = '1m'"), "start_s").withColumn("volume", F.col("volume") * 2)
-    return C.stats_overlay(stats_24h(spark, sf), last, C.newest(valid(spark, sf)))
+    c = kept(spark, sf)
+    last = C.newest(c.where("interval = '1m'"), "start_s").withColumn("volume", F.col("volume") * 2)
+    return C.stats_overlay(_stats_24h(c, as_of(spark, sf)), last, C.newest(valid(spark, sf)))
 
 
 # Chart queries
@@ -616,14 +634,14 @@ def chart_cold(spark, sf):
 @query("chart", with_late(f""", h as (select {CHART} from lc where symbol = 'click' and interval = '1m' and start_s < (select last_s from lim) order by start_s desc limit 60)
 select * from h union all select {CHART} from lc where symbol = 'click' and interval = '1m' and start_s = (select last_s from lim)"""))
 def chart(spark, sf):
-    return C.chart(repaired(spark, sf), live_of(spark, sf), "click", "1m", 60, as_of(spark, sf))
+    c, end = kept(spark, sf), as_of(spark, sf)
+    return C.chart(c, live_of(c, end), "click", "1m", 60, end)
 
 
 @query("merge_live", with_late(f"select {CHART} from stored where interval = '1m' and start_s <> (select last_s from lim) union all select {CHART} from lc where interval = '1m' and start_s = (select last_s from lim)"))
 def merge_live(spark, sf):
-    minute = stored(spark, sf).where(F.col("interval") == "1m")
-    end = as_of(spark, sf)
-    return C.merge_live(minute.where(F.col("start_s") != end).unionByName(minute.where(F.col("start_s") == end)), live_of(spark, sf), end)
+    c, end = kept(spark, sf), as_of(spark, sf)
+    return C.merge_live(stored(c).where(F.col("interval") == "1m"), live_of(c, end), end)
 
 
 @query("page_back", with_late(f""", l as (select {CHART} from stored where symbol = 'click' and interval = '5m' and start_s >= (select last_s // 300 * 300 - 3000 from lim)),
@@ -631,8 +649,9 @@ p as (select {CHART} from lc where symbol = 'click' and interval = '5m' and star
 def page_back(spark, sf):
     end = as_of(spark, sf)
     oldest = end // 300 * 300 - 3000
-    loaded = stored(spark, sf).where((F.col("symbol") == "click") & (F.col("interval") == "5m") & (F.col("start_s") >= oldest))
-    return C.page_back(repaired(spark, sf), loaded, "click", "5m", oldest, end)
+    c = kept(spark, sf)
+    loaded = stored(c).where((F.col("symbol") == "click") & (F.col("interval") == "5m") & (F.col("start_s") >= oldest))
+    return C.page_back(c, loaded, "click", "5m", oldest, end)
 
 
 @query("load_windows", with_late(f"select {ROW} from lc qualify row_number() over (partition by symbol, interval order by start_s desc) <= 1000"))
