@@ -42,14 +42,30 @@ def shared_dir(spark: SparkSession) -> str:
     return made
 
 
+_STORED: list[str] = []
+
+
 def stored(df: DataFrame) -> DataFrame:
     """Writes ``df`` to the shared folder and reads it back; cuts lineage and survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _STORED.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> int:
+    """Deletes the tables that stored() has written in this process, and returns their number.
+
+    For long-lived sessions: results that have not been read or written yet need them, so call it afterwards.
+    """
+    gone = 0
+    while _STORED:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_STORED.pop())
+        gone += path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    return gone
+
+
 def text_chunks(batches: Iterable[pa.RecordBatch], column: str = "text", size: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """Slices of at most about ``size`` bytes of text, or of one row if that is longer."""
     for batch in batches:

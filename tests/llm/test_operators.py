@@ -54,6 +54,15 @@ def test_forest_keeps_components(spark, monkeypatch):
     assert sorted(common.components(df.repartition(9)).collect()) == want
 
 
+def test_release_deletes_what_was_stored(spark, monkeypatch):
+    monkeypatch.setattr(common, "_STORED", [])
+    df = common.stored(spark.range(5))
+    assert df.count() == 5 and len(common._STORED) == 1
+    assert common.release(spark) == 1 and common.release(spark) == 0
+    with pytest.raises(Exception, match="(?i)not.*(found|exist)"):
+        common.stored(df)
+
+
 # 1
 
 
