@@ -1,4 +1,8 @@
-"""Cleans a document table in stages; each stage is written as Parquet and read again as the next one's input."""
+"""Cleans a document table in stages; each stage is written as Parquet and read again as the next one's input.
+
+Every stage reads doc_id and text, carries all other columns whatever their names, takes nulls in any column, texts
+of any length and repeated rows, and makes an empty table of an empty one. The last stage adds input_ids.
+"""
 
 from __future__ import annotations
 
@@ -13,27 +17,30 @@ from candlewright.llm.secret_scan import redact
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that no quality rule rejects."""
+    """Documents that no quality rule rejects. Null, empty and blank texts have no words and go; repeated rows go or stay alike."""
     return quality_filter(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near-duplicates."""
+    """One document of each class of near-duplicates: that of the least doc_id, of equal ones that of the least text hash.
+
+    A null doc_id comes last; repeated rows become one; texts without a word have no class and stay.
+    """
     return one_of_each(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark item."""
+    """Documents that hold no benchmark item. Null and empty texts hold none and stay; with an empty benchmark all stay."""
     return decontaminate(docs, table(spark, sf_dir, "benchmark"))
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with secrets masked; n_chars follows the new text."""
+    """Documents with secrets masked; n_chars, unless null, follows the new text. All rows stay; null texts stay null."""
     return redact(docs)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with their token ids in input_ids."""
+    """Documents with their token ids in input_ids; null and empty texts have none, and a column of that name is replaced."""
     return encode(docs, default_path())
 
 
