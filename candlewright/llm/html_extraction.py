@@ -143,12 +143,19 @@ def _walk(root: Node) -> list[Node]:
 def hashed(root: Node) -> list[Node]:
     """Elements with words below them, their hashes set.
 
-    The hash of words covers names and words, not attributes. The shape covers names, classes and roles; equal
-    neighbours count as one, so that menus of any length are alike; only subtrees of links have one.
+    The hash of words covers names and words, not attributes. The shape covers names, classes and roles of the subtree
+    and of what holds it; equal neighbours count as one, so that menus of any length are alike; only subtrees of
+    links have one.
     """
-    out, sizes, forms = [], {}, {}
-    for node in reversed(_walk(root)):
-        words, form = [], [node.tag, *CLASSES.findall(node.attributes)] if node.attributes else [node.tag]
+    out, sizes, forms, walk = [], {}, {}, _walk(root)
+    heads = {id(node): " ".join([node.tag, *CLASSES.findall(node.attributes)]) if node.attributes else node.tag for node in walk}
+    places = {id(root): 0}
+    for node in walk:
+        for p in node.parts:
+            if isinstance(p, Node):
+                places[id(p)] = xxhash.xxh3_64_intdigest(f"{places[id(node)]} {heads[id(node)]}")
+    for node in reversed(walk):
+        words, form = [], [heads[id(node)]]
         count = linked = links = 0
         for p in node.parts:
             if isinstance(p, Node):
@@ -168,7 +175,7 @@ def hashed(root: Node) -> list[Node]:
             node.hash = xxhash.xxh3_64_intdigest(f"{node.tag} {' '.join(words)}") >> 1 or 1
             forms[id(node)] = f"({xxhash.xxh3_64_hexdigest(' '.join(form))})"
             if links >= MIN_LINKS and linked >= LINK_SHARE * count:
-                node.shape = xxhash.xxh3_64_intdigest(f"shape {' '.join(form)}") >> 1 or 1
+                node.shape = xxhash.xxh3_64_intdigest(f"shape {places[id(node)]} {' '.join(form)}") >> 1 or 1
             out.append(node)
     return out
 

@@ -749,6 +749,16 @@ def test_op9_recurrence_alone(spark, article):
     assert {r.page_id: r.text for r in html_extraction.main_text(few, lists=False).collect()} == {i: plain[i] for i in range(7)}
 
 
+def test_op9_lists_of_links_in_a_text_stay(spark):
+    """A list of links that has the shape of the menu, but not its place, on a third of the pages."""
+    menu = "<nav><ul><li><a>one {0}</a></li><li><a>two {0}</a></li></ul></nav>"
+    sources = "<ul><li><a>source {0}</a></li><li><a>other {0}</a></li></ul>"
+    pages = [f"<body>{menu}<div><p>Text {{0}}</p>{sources if i % 3 == 0 else ''}</div>".format(i) for i in range(24)]
+    df = spark.createDataFrame([(i, "https://h.example/", p) for i, p in enumerate(pages)], "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in html_extraction.main_text(df, lists=False).collect()}
+    assert got == {i: f"Text {i}" + (f"\nsource {i}\nother {i}" if i % 3 == 0 else "") for i in range(24)}
+
+
 def test_op9_templates_work_on_the_given_pages(spark):
     """On hosts of eight pages or more every menu goes by recurrence, and the text stays what lists alone make of it."""
     sf = "/root/testdata/sf0.01"
