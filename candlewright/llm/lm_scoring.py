@@ -16,6 +16,7 @@ from __future__ import annotations
 import math
 from collections import Counter
 from collections.abc import Iterator
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -38,7 +39,7 @@ FREQUENT_WORDS = 1_000_000
 #: Distinct words and runs of bytes that a counting task holds before it passes them on.
 HELD = 250_000
 #: Runs that are packed at once, and that are gathered before they are sorted.
-STEP, GATHERED = 1 << 20, 1 << 21
+STEP, GATHERED = 1 << 19, 1 << 21
 
 
 def _runs(texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -129,28 +130,23 @@ class WordNumbers(WordHashes):
 
 
 def _chunked(docs: DataFrame) -> DataFrame:
-    """(chunk, n_trains, n_bytes, rows): ``docs`` in chunks of about CHUNK bytes of text, or of one longer text, compressed."""
+    """(chunk, n_trains, n_bytes, rows): ``docs`` in chunks of about CHUNK bytes of text, or of one longer text.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number, held, parts = TaskContext.get().partitionId() << 32, 0, []
-
-        def row() -> pa.RecordBatch:
-            sink = pa.BufferOutputStream()
-            with pa.ipc.new_stream(sink, parts[0].schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
-                for part in parts:
-                    out.write_batch(part)
-            trains = sum(pc.sum(part.column("trains")).as_py() or 0 for part in parts)
-            return pa.RecordBatch.from_arrays([pa.array([number]), pa.array([trains], pa.int64()), pa.array([held], pa.int64()), pa.array([sink.getvalue().to_pybytes()])], ["chunk", "n_trains", "n_bytes", "rows"])
+    A chunk is cut into rows of about a megabyte, compressed, for large values are hard on memory.
+    """
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number, held = TaskContext.get().partitionId() << 32, 0
         for part in text_chunks(batches, size=min(CHUNK, 1 << 20)):
             size = pc.sum(pc.binary_length(part.column("text"))).as_py() or 0
-            if parts and held + size > CHUNK:
-                yield row()
-                number, held, parts = number + 1, 0, []
+            if held and held + size > CHUNK:
+                number, held = number + 1, 0
             held += size
-            parts.append(part)
-        if parts:
-            yield row()
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, part.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+                out.write_batch(part)
+            trains = pc.sum(part.column("trains")).as_py() or 0
+            yield pa.RecordBatch.from_arrays([pa.array([number]), pa.array([trains], pa.int64()), pa.array([size], pa.int64()), pa.array([sink.getvalue().to_pybytes()])], ["chunk", "n_trains", "n_bytes", "rows"])
 
     return docs.mapInArrow(run, "chunk long, n_trains long, n_bytes long, rows binary")
 
@@ -166,10 +162,10 @@ _COUNTS = pa.schema([("word", pa.binary()), ("gram", pa.int64()), ("held_n", pa.
 
 
 def _opened(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, Iterator[pa.RecordBatch]]]:
-    """Number and rows, in parts, of each chunk."""
-    for batch in batches:
-        for number, rows in zip(batch.column("chunk").to_pylist(), batch.column("rows"), strict=True):
-            yield number, iter(pa.ipc.open_stream(rows.as_buffer()))
+    """Number and rows, in parts, of each chunk; of a chunk that two tasks read, each gives its own parts."""
+    rows = ((number, row) for batch in batches for number, row in zip(batch.column("chunk").to_pylist(), batch.column("rows"), strict=True))
+    for number, own in groupby(rows, key=lambda x: x[0]):
+        yield number, (part for _, row in own for part in pa.ipc.open_stream(row.as_buffer()))
 
 
 def _counts(chunks: DataFrame, buckets: int) -> DataFrame:
