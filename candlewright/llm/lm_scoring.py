@@ -35,11 +35,11 @@ LOW = 2
 #: Bytes of text whose runs are priced together, and bytes of all texts for each bucket of contexts.
 CHUNK = 12 << 20
 #: Frequent words that a task holds at most, by 64-bit hashes.
-FREQUENT_WORDS = 1_000_000
+FREQUENT_WORDS = 400_000
 #: Distinct words and runs of bytes that a counting task holds before it passes them on.
-HELD = 250_000
+HELD = 150_000
 #: Runs that are packed at once, and that are gathered before they are sorted.
-STEP, GATHERED = 1 << 19, 1 << 21
+STEP, GATHERED = 1 << 18, 1 << 20
 
 
 def _runs(texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -122,6 +122,9 @@ def _unpacked(packed: bytes, size: int, kind: type, rising: bool = False) -> np.
 class WordNumbers(WordHashes):
     """The 64-bit hashes of words that Spark's xxhash64 gives."""
 
+    def __init__(self, limit: int = 100_000):
+        super().__init__(limit)
+
     def __missing__(self, word: bytes) -> int:
         if len(self) >= self.limit:
             self.clear()
@@ -222,6 +225,8 @@ def _counts(chunks: DataFrame, buckets: int) -> DataFrame:
                     len(names[at]), chunk=np.full(len(names[at]), number), bucket=names[at], size=[len(c) for c in cut[0][at]],
                     runs=[_packed(c, True) for c in cut[0][at]], times=[_packed(c) for c in cut[1][at]],
                 )
+            del runs, gathered, learnt, low_runs, by_low, order, cut
+            pa.default_memory_pool().release_unused()
             if len(grams[0]) > 2 * HELD:
                 yield batch(len(grams[0]), gram=grams[0], n=grams[1])
                 grams = (none, none)
