@@ -199,8 +199,8 @@ def rejected_ticks(spark, sf):
 
 @query("volume_scaling_wide", with_ticks("select seq, units + cast(1 as bigint) as units from v"))
 def volume_scaling_wide(spark, sf):
-    """Quantities of 18 decimals, a little under the next unit but one."""
-    wide = (F.col("quantity").cast("decimal(38,18)") + F.lit("0.000000019999999999").cast("decimal(38,18)")).cast("decimal(38,18)")
+    """Quantities of 18 decimals, a little under the next unit but one; the sum is decimal(29,18), so Spark rounds nothing."""
+    wide = F.col("quantity").cast("decimal(18,8)") + F.lit("0.000000019999999999").cast("decimal(18,18)")
     return valid(spark, sf).select("seq", N.scale_volume(wide).alias("units"))
 
 
