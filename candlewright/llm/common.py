@@ -30,18 +30,19 @@ def fold(column: str, modulus: int):
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, from spark.checkpoint.dir.
 
-    Where the setting is absent, a temporary folder does, but only on a local master.
+    Where the setting is absent, a temporary folder does, one for the process, but only on a local master.
     """
     given = spark.conf.get("spark.checkpoint.dir", None)
     if given:
         return given
     if not spark.sparkContext.master.startswith("local["):
         raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-    made = "file://" + tempfile.mkdtemp(prefix="checkpoint-")
-    spark.conf.set("spark.checkpoint.dir", made)
-    return made
+    if not _MADE:
+        _MADE.append("file://" + tempfile.mkdtemp(prefix="checkpoint-"))
+    return _MADE[0]
 
 
+_MADE: list[str] = []
 _STORED: list[str] = []
 
 

@@ -2,7 +2,7 @@
 
 Features of a text are its words, pairs of words, and the same of their shapes (which keep case, digits and
 signs), hashed into 2**18 places; each counts 1 + log2 of its occurrences, and the vector has length one.
-Pairs that recur are counted once more under their number, so that repetition shows. A score is the sparse
+Pairs that recur are counted once more under the power of two below their number, so that repetition shows. A score is the sparse
 dot product with the weights.
 """
 
@@ -35,7 +35,7 @@ def shape(word: bytes) -> bytes:
     """The word with each run of small letters, capitals and digits as one character, signs as they are."""
     for pattern, to in _RUNS:
         word = pattern.sub(to, word)
-    return word[:8]
+    return word
 
 
 class Shapes(WordHashes):
@@ -56,8 +56,8 @@ def features(text: bytes, words: WordHashes, shapes: Shapes) -> tuple[np.ndarray
     two = mix(one[:-1] * np.uint64(3) + one[1:])
     form_two = mix(form[:-1] * np.uint64(5) + form[1:])
     pair, times = np.unique(two, return_counts=True)
-    again = np.minimum(times[times > 1], 64).astype(np.uint64)
-    repeats = mix(np.repeat(again, again.astype(np.int64)) + np.uint64(0x5EED))
+    again = times[times > 1]
+    repeats = mix(np.repeat(np.log2(again).astype(np.uint64), again) + np.uint64(0x5EED))
     place = (np.concatenate([one, two, form, form_two, repeats]) >> np.uint64(64 - BITS)).astype(np.int64)
     place, count = np.unique(place, return_counts=True)
     value = 1 + np.log2(count)

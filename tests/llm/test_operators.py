@@ -865,3 +865,25 @@ def test_op10_odd_input(spark):
 def test_registry():
     assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11))
     assert set(SQL) <= set(QUERIES)
+
+
+def test_shared_dir_without_the_setting(monkeypatch):
+    """Spark does not let the setting be changed, so the folder is kept by the process and is the same at each call."""
+    from types import SimpleNamespace
+
+    from candlewright.llm import common
+
+    monkeypatch.setattr(common, "_MADE", [])
+    session = SimpleNamespace(conf=SimpleNamespace(get=lambda k, d=None: d), sparkContext=SimpleNamespace(master="local[2]"))
+    assert common.shared_dir(session) == common.shared_dir(session)
+    session.sparkContext.master = "spark://host:7077"
+    with pytest.raises(ValueError):
+        common.shared_dir(session)
+
+
+def test_op10_shapes_and_repeats_are_whole():
+    from candlewright.llm.quality_classifier import Shapes, WordHashes, features, shape
+
+    assert shape(b"a1b2c3d4e5f6") == b"x9x9x9x9x9x9"
+    many, more = (features(b"a b " * n, WordHashes(), Shapes()) for n in (100, 1000))
+    assert set(many[0]) != set(more[0])
