@@ -10,6 +10,7 @@ from .ngram_join import op4_ngram_jaccard_join
 from .quality_classifier import op10_quality_classifier
 from .quality_rules import OP3_SQL, op3_quality_rules
 from .secret_scan import op6_secret_scan
+from .topk_search import OP13_SQL, op13_topk_search
 
 QUERIES = {
     "op1_benchmark_decontamination": op1_benchmark_decontamination,
@@ -22,6 +23,7 @@ QUERIES = {
     "op8_bpe": op8_bpe,
     "op9_html_extraction": op9_html_extraction,
     "op10_quality_classifier": op10_quality_classifier,
+    "op13_topk_search": op13_topk_search,
 }
 
-SQL = {"op3_quality_rules": OP3_SQL}
+SQL = {"op3_quality_rules": OP3_SQL, "op13_topk_search": OP13_SQL}
