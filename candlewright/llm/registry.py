@@ -9,6 +9,7 @@ from .lm_scoring import op7_lm_scoring
 from .ngram_join import op4_ngram_jaccard_join
 from .quality_classifier import op10_quality_classifier
 from .quality_rules import OP3_SQL, op3_quality_rules
+from .ranked_search import OP12_SQL, op12_ranked_search
 from .secret_scan import op6_secret_scan
 from .topk_search import OP13_SQL, op13_topk_search
 
@@ -23,7 +24,8 @@ QUERIES = {
     "op8_bpe": op8_bpe,
     "op9_html_extraction": op9_html_extraction,
     "op10_quality_classifier": op10_quality_classifier,
+    "op12_ranked_search": op12_ranked_search,
     "op13_topk_search": op13_topk_search,
 }
 
-SQL = {"op3_quality_rules": OP3_SQL, "op13_topk_search": OP13_SQL}
+SQL = {"op3_quality_rules": OP3_SQL, "op12_ranked_search": OP12_SQL, "op13_topk_search": OP13_SQL}
