@@ -1,18 +1,22 @@
 """op11, op12 and op13 against brute force, on fixtures of odd input and on the given tables' SQL."""
 
+import math
 import random
+import re
+from collections import Counter
 
 import duckdb
 import numpy as np
 import pytest
 
+from candlewright.llm import ranked_search as R
 from candlewright.llm import topk_search as T
 from candlewright.llm.registry import QUERIES, SQL
 
 SF = "/root/testdata/sf0.001"
 
 
-@pytest.mark.parametrize("name", ["op13_topk_search"])
+@pytest.mark.parametrize("name", ["op12_ranked_search", "op13_topk_search"])
 def test_equals_sql(name, spark):
     con = duckdb.connect()
     for t in ("documents", "benchmark", "conversations", "embeddings"):
@@ -87,3 +91,77 @@ def test_op13_odd_vectors(spark, tmp_path):
 def test_op13_empty_table(spark, tmp_path):
     spark.createDataFrame([], "vec_id long, embedding array<float>, label int").write.parquet(str(tmp_path / "embeddings.parquet"))
     assert QUERIES["op13_topk_search"](spark, str(tmp_path)).collect() == []
+
+
+# op12
+
+
+def said(text):
+    small = "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "")
+    return re.findall(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", small)
+
+
+def lexical(docs, items, k=20):
+    """Ranks by scoring every document for every item."""
+    split = [(d, Counter(said(t))) for d, t in docs if said(t)]
+    total, length = len(split), sum(sum(c.values()) for _, c in split)
+    df = Counter(t for _, c in split for t in c)
+    out = []
+    for item, text in sorted(set(items), key=repr):
+        asked, found = Counter(said(text)), []
+        for d, c in split:
+            m = 75 + (25 * sum(c.values()) * total) // length
+            score = sum(q * math.floor(1000 * math.log((2 * total + 2) / (2 * df[t] + 1))) * ((10**9 * c[t]) // (1000 * c[t] + 12 * m)) for t, q in asked.items() if c[t])
+            if score > 0:
+                found.append((-score, d is None, d))
+        out += [(item, r + 1, d, -s) for r, (s, _, d) in enumerate(sorted(found)[:k])]
+    return sorted(out, key=repr)
+
+
+def texts_of(spark, tmp_path, docs, items):
+    spark.createDataFrame([(d, t, 1, "x") for d, t in docs], "doc_id long, text string, n long, terms string").repartition(3).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(i, t, "x") for i, t in items], "item_id long, text string, doc_id string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    return str(tmp_path)
+
+
+@pytest.mark.parametrize("shape", ["one tree", "small trees"])
+def test_op12_brute_force(spark, tmp_path, monkeypatch, shape):
+    """Ties, repeats, nulls, empty and very long texts, unequal cases and scripts; shards of 64 rows, trees of 20 terms, passes of 60."""
+    if shape == "small trees":
+        for name, value in (("SHARD_ROWS", 64), ("LEAF_ROWS", 3), ("TREE_TERMS", 20), ("PASS_TERMS", 60), ("GROUPS", 4)):
+            monkeypatch.setattr(R, name, value)
+    draw = random.Random(9)
+    words = ["Alpha", "beta", "gamma7", "émile", "ÉMILE", "naïve", "\u65e5\u672c", "x", "K\u212a"] + [f"w{i}" for i in range(60)]
+    docs = [(i, draw.choice(" ,-_\n").join(draw.choices(words, k=draw.randint(1, 40)))) for i in range(400)]
+    docs += [(900 + i, "same text about Beta and x") for i in range(60)] + [(5, docs[5][1]), (None, "alpha beta x"), (1000, None), (1001, ""), (1002, "!?"), (1003, "x " * 50000)]
+    items = [(i, " ".join(draw.choices(words, k=12))) for i in range(25)] + [(1, "beta beta X"), (1, "beta beta X"), (1, "émile"), (None, "alpha"), (50, None), (51, ""), (52, "unheard")]
+    got = QUERIES["op12_ranked_search"](spark, texts_of(spark, tmp_path, docs, items)).collect()
+    assert sorted(map(tuple, got), key=repr) == lexical(docs, items)
+
+
+def test_op12_tree_prunes():
+    """The best of 4,000 rows in four vocabularies: as by scoring all, with less than half of the leaves."""
+    draw = np.random.default_rng(2)
+    n, width = 4000, 400
+    chance = np.full((n, width), 0.002)
+    for i in range(n):
+        chance[i, i % 4 * 100 : i % 4 * 100 + 100] = 0.1
+    cells = draw.integers(1, 10**9, (n, width)) * (draw.random((n, width)) < chance)
+    row, column = np.nonzero(cells)
+    tree = R.Tree(np.arange(n), np.cumsum(np.bincount(row, minlength=n)), column, cells[row, column], width)
+    opened = 0
+    for q in range(20):
+        asked = np.sort(draw.choice(100, 12, replace=False)) + 100 * (q % 4)
+        times = draw.integers(1, 3, 12)
+        scores = cells[:, asked] @ times
+        ids, found, leaves = tree.search(asked, times, 20, 1)
+        order = np.lexsort((np.arange(n), -scores))[:20]
+        best = np.lexsort((ids, -found))[:20]
+        assert ids[best].tolist() == order.tolist() and found[best].tolist() == scores[order].tolist()
+        opened += leaves
+    assert opened < 20 * (1 << tree.levels[-1]) / 2
+
+
+def test_op12_empty_tables(spark, tmp_path):
+    assert QUERIES["op12_ranked_search"](spark, texts_of(spark, tmp_path / "a", [], [(1, "a")])).collect() == []
+    assert QUERIES["op12_ranked_search"](spark, texts_of(spark, tmp_path / "b", [(1, "a")], [])).collect() == []
