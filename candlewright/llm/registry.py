@@ -7,6 +7,7 @@ from .html_extraction import op9_html_extraction
 from .language_id import op5_language_id
 from .lm_scoring import op7_lm_scoring
 from .ngram_join import op4_ngram_jaccard_join
+from .prefix_trie import OP11_SQL, op11_prefix_trie
 from .quality_classifier import op10_quality_classifier
 from .quality_rules import OP3_SQL, op3_quality_rules
 from .ranked_search import OP12_SQL, op12_ranked_search
@@ -24,8 +25,9 @@ QUERIES = {
     "op8_bpe": op8_bpe,
     "op9_html_extraction": op9_html_extraction,
     "op10_quality_classifier": op10_quality_classifier,
+    "op11_prefix_trie": op11_prefix_trie,
     "op12_ranked_search": op12_ranked_search,
     "op13_topk_search": op13_topk_search,
 }
 
-SQL = {"op3_quality_rules": OP3_SQL, "op12_ranked_search": OP12_SQL, "op13_topk_search": OP13_SQL}
+SQL = {"op3_quality_rules": OP3_SQL, "op11_prefix_trie": OP11_SQL, "op12_ranked_search": OP12_SQL, "op13_topk_search": OP13_SQL}
