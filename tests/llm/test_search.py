@@ -1,14 +1,17 @@
 """op11, op12 and op13 against brute force, on fixtures of odd input and on the given tables' SQL."""
 
+import hashlib
 import math
 import random
 import re
+import zlib
 from collections import Counter
 
 import duckdb
 import numpy as np
 import pytest
 
+from candlewright.llm import prefix_trie as P
 from candlewright.llm import ranked_search as R
 from candlewright.llm import topk_search as T
 from candlewright.llm.registry import QUERIES, SQL
@@ -16,7 +19,7 @@ from candlewright.llm.registry import QUERIES, SQL
 SF = "/root/testdata/sf0.001"
 
 
-@pytest.mark.parametrize("name", ["op12_ranked_search", "op13_topk_search"])
+@pytest.mark.parametrize("name", ["op11_prefix_trie", "op12_ranked_search", "op13_topk_search"])
 def test_equals_sql(name, spark):
     con = duckdb.connect()
     for t in ("documents", "benchmark", "conversations", "embeddings"):
@@ -165,3 +168,77 @@ def test_op12_tree_prunes():
 def test_op12_empty_tables(spark, tmp_path):
     assert QUERIES["op12_ranked_search"](spark, texts_of(spark, tmp_path / "a", [], [(1, "a")])).collect() == []
     assert QUERIES["op12_ranked_search"](spark, texts_of(spark, tmp_path / "b", [(1, "a")], [])).collect() == []
+
+
+# op11
+
+
+def trie(turns):
+    """Every node by listing every prefix of every rebuilt conversation."""
+    own = {}
+    for c, turn, role, text in turns:
+        if c is not None:
+            own.setdefault(c, []).append((turn is not None, turn or 0, role or "", text or ""))
+    own = {c: [x[2:] for x in sorted(v)] for c, v in own.items()}
+    rebuilt = {}
+    for c, v in own.items():
+        h = zlib.crc32(str(c).encode()) % 6
+        rebuilt[c] = tuple(own.get(c - c % 100, [])[:h] + v[h:])
+    members = {}
+    for c, v in rebuilt.items():
+        for d in range(len(v) + 1):
+            members.setdefault(v[:d], []).append(c)
+    kids, leaves, saved = Counter(p[:-1] for p in members if p), Counter(), Counter()
+    for p, m in members.items():
+        for d in range(len(p) + 1):
+            leaves[p[:d]] += kids[p] == 0
+            saved[p[:d]] += (len(m) - 1) * len(p[-1][1]) if p else 0
+    out = []
+    for p, m in members.items():
+        ends = ",".join(str(c) for c in sorted(m) if rebuilt[c] == p)
+        out.append((min(m), len(p), min(members[p[:-1]]) if p else None, len(m), kids[p], leaves[p], saved[p], hashlib.sha256(ends.encode()).hexdigest()))
+    return sorted(out, key=repr)
+
+
+def spoken(seed, n=260):
+    """Few texts, so that conversations share starts, are starts of others, or are equal; missing bases and turns."""
+    draw = random.Random(seed)
+    turns = []
+    for c in [*range(0, n), *range(700, 760)]:
+        if c == 100:
+            continue
+        for t in range(draw.choice([1, 2, 3, 8, 8, 12])):
+            turns.append((c, t, draw.choice(["user", "assistant"]), draw.choice(["a", "b", "\u00e9\u65e5", ""])))
+    turns += [(c, t, "user", f"copy {t}") for c in range(1000, 1100) for t in range(9)]
+    turns += [(5, None, None, "no turn"), (6, 0, None, None), (None, 1, "user", "lost"), (300, 1, "user", "alone")]
+    draw.shuffle(turns)
+    return turns
+
+
+def talk(spark, tmp_path, turns):
+    schema = "conv_id long, turn long, role string, text string, keys string, part long"
+    spark.createDataFrame([(*t, "x", 1) for t in turns], schema).repartition(4).write.parquet(str(tmp_path / "conversations.parquet"))
+    return str(tmp_path)
+
+
+@pytest.mark.parametrize("rows, turns, send", [(50_000, 400_000, 200_000), (7, 400_000, 200_000), (50_000, 20, 0), (1, 1, 200_000)])
+def test_op11_brute_force(spark, tmp_path, monkeypatch, rows, turns, send):
+    """One chunk a partition, chunks of few conversations or turns, shared nodes sent or shuffled."""
+    for name, value in (("CHUNK_ROWS", rows), ("CHUNK_TURNS", turns), ("BROADCAST_NODES", send)):
+        monkeypatch.setattr(P, name, value)
+    data = spoken(rows + turns)
+    got = QUERIES["op11_prefix_trie"](spark, talk(spark, tmp_path, data)).collect()
+    assert sorted(map(tuple, got), key=repr) == trie(data)
+
+
+def test_op11_long_conversation_and_ties(spark, tmp_path):
+    """Many turns, twice; turns of one number in the order of role and text; equal rows are turns of their own."""
+    data = [(c, t, "user", f"t{t % 7}") for c in (1, 2) for t in range(150)]
+    data += [(3, 1, "b", "x"), (3, 1, "a", "z"), (3, 1, "a", "y"), (3, 1, "a", "y"), (4, 0, "user", "word " * 100_000)]
+    got = QUERIES["op11_prefix_trie"](spark, talk(spark, tmp_path, data)).collect()
+    assert sorted(map(tuple, got), key=repr) == trie(data)
+
+
+def test_op11_empty_table(spark, tmp_path):
+    assert QUERIES["op11_prefix_trie"](spark, talk(spark, tmp_path / "a", [])).collect() == []
+    assert QUERIES["op11_prefix_trie"](spark, talk(spark, tmp_path / "b", [(None, 1, "a", "b")])).collect() == []
