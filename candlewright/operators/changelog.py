@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from candlewright.functions.names import fresh
@@ -91,3 +91,52 @@ def fan_out(events: DataFrame, subscriptions: DataFrame) -> DataFrame:
         return events.join(subscriptions, "symbol")
     small = subscriptions.limit(BROADCAST_SUBSCRIPTIONS + 1).count() <= BROADCAST_SUBSCRIPTIONS
     return events.join(F.broadcast(subscriptions) if small else subscriptions, "symbol")
+
+
+#: Bits of seq that a level of blocks adds, and levels: seqs below 2**42.
+BLOCK_BITS, LEVELS = 6, 7
+
+
+def validity(commands: DataFrame, ended: DataFrame | None = None) -> DataFrame:
+    """(session_id, symbol, from_seq, to_seq): after each SUBSCRIBE up to the next command of the session on the symbol, or
+    to the session's end; to_seq is null while it lasts.
+
+    ``commands`` has seq, session_id, command and symbol, ``ended`` seq and session_id. A session that has ended follows
+    nothing until it subscribes anew. A SUBSCRIBE while one is valid ends that one and begins the next.
+    """
+    own = commands.where(F.col("command").isin("SUBSCRIBE", "UNSUBSCRIBE")).select("session_id", "symbol", "seq", (F.col("command") == "SUBSCRIBE").alias("on"))
+    if ended is not None:
+        ends = own.select("session_id", "symbol").distinct().join(ended.select("session_id", "seq").distinct(), "session_id")
+        own = own.unionByName(ends.withColumn("on", F.lit(False)))
+    after = Window.partitionBy("session_id", "symbol").orderBy("seq", F.desc("on"))
+    spans = own.withColumn("to_seq", F.lead("seq").over(after)).where("on and (to_seq is null or to_seq > seq)")
+    return spans.select("session_id", "symbol", F.col("seq").alias("from_seq"), "to_seq")
+
+
+def _blocks(low: Column, high: Column, level: int) -> Column:
+    """The blocks of a level within [low, high) that no block of the next level within it covers."""
+    first = lambda bits: F.shiftright(low + ((1 << bits) - 1), bits)
+    span = lambda x, y: F.when(x < y, F.sequence(x, y - 1)).otherwise(F.array().cast("array<long>"))
+    bits = BLOCK_BITS * level
+    a, b = first(bits), F.shiftright(high, bits)
+    if level + 1 == LEVELS:
+        return span(a, b)
+    c, d = (F.shiftleft(x, BLOCK_BITS) for x in (first(bits + BLOCK_BITS), F.shiftright(high, bits + BLOCK_BITS)))
+    return F.when(c < d, F.concat(span(a, c), span(d, b))).otherwise(span(a, b))
+
+
+def fan_out_as_of(events: DataFrame, valid: DataFrame) -> DataFrame:
+    """A row of ``events`` (seq, symbol) for each session that follows its symbol at its seq: from_seq < seq <= to_seq.
+
+    Every span of seqs is a few blocks of 64, 64 * 64 and so on, and every event lies in one block of each size, so the
+    interval join is an equi-join on symbol and block: a busy symbol and a long subscription spread over many tasks, and
+    no pair is made that is not in the result. seq is not negative and below 2**42; a command of an event's own seq
+    comes after it.
+    """
+    low, high = F.col("from_seq") + 1, F.coalesce(F.col("to_seq") + 1, F.lit(1 << BLOCK_BITS * LEVELS))
+    level, block = fresh(events, "_level", "_block")
+    both = F.array(*(F.struct(F.lit(i).alias("i"), _blocks(low, high, i).alias("of")) for i in range(LEVELS)))
+    spans = valid.select("session_id", "symbol", F.explode(both).alias("b")).select("session_id", "symbol", F.col("b.i").alias(level), F.explode("b.of").alias(block))
+    places = F.array(*(F.struct(F.lit(i).alias(level), F.shiftright("seq", BLOCK_BITS * i).alias(block)) for i in range(LEVELS)))
+    at = events.select(*events.columns, F.inline(places))
+    return at.join(spans, ["symbol", level, block]).select(*events.columns, "session_id")

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from candlewright.functions.names import fresh
 from candlewright.functions.numbers import change_percent, unscale_volume
 from candlewright.functions.time import INTERVALS
+from candlewright.sources.klines import in_span
 
 from .aggregate import PRICES, range_stats
 from .ordered import HOT_ROWS, latest_n
@@ -39,8 +42,7 @@ def chart_hot(candles: DataFrame, symbol: str, interval: str, n: int, as_of_s: i
 def chart_cold(candles: DataFrame, symbol: str, interval: str, n: int, as_of_s: int, to_s: int | None = None) -> DataFrame:
     """The candles of the n buckets before the end bucket; fewer where some are missing."""
     end = end_bucket(interval, as_of_s, to_s)
-    span = (F.col("start_s") >= end - n * INTERVALS[interval]) & (F.col("start_s") < end)
-    return candles.where((F.col("symbol") == symbol) & (F.col("interval") == interval) & span).select(*COLUMNS)
+    return in_span(candles, interval, end - n * INTERVALS[interval], end).where(F.col("symbol") == symbol).select(*COLUMNS)
 
 
 def merge_live(finalized: DataFrame, live: DataFrame, base_s: int) -> DataFrame:
@@ -59,10 +61,31 @@ def chart(candles: DataFrame, live: DataFrame, symbol: str, interval: str = "1m"
     return rows.orderBy("start_s")
 
 
+def page_before(candles: DataFrame, symbol: str, interval: str, oldest_s: int, as_of_s: int, page: int = 120, hot: DataFrame | None = None) -> DataFrame:
+    """The page before a candle, from the window ``hot`` (or ``candles``) where it ends within the newest buckets."""
+    if is_hot(interval, as_of_s, oldest_s):
+        return chart_hot(candles if hot is None else hot, symbol, interval, page, as_of_s, oldest_s)
+    return chart_cold(candles, symbol, interval, page, as_of_s, oldest_s)
+
+
+def pages_back(candles: DataFrame, symbol: str, interval: str, oldest_s: int, as_of_s: int, page: int = 120, hot: DataFrame | None = None) -> Iterator[DataFrame]:
+    """One page after another, each before the oldest candle of the last, up to the first empty one.
+
+    A page is asked for when the one before is done with, by its oldest bucket alone; of a stored table each page reads
+    its own days.
+    """
+    while True:
+        rows = page_before(candles, symbol, interval, oldest_s, as_of_s, page, hot)
+        first = rows.agg(F.min("start_s")).first()[0]
+        if first is None:
+            return
+        yield rows
+        oldest_s = first
+
+
 def page_back(candles: DataFrame, loaded: DataFrame, symbol: str, interval: str, oldest_s: int, as_of_s: int, page: int = 120) -> DataFrame:
     """``loaded`` with the page before its oldest candle; where both have a bucket the loaded row stays."""
-    window = chart_hot if is_hot(interval, as_of_s, oldest_s) else chart_cold
-    older = window(candles, symbol, interval, page, as_of_s, oldest_s)
+    older = page_before(candles, symbol, interval, oldest_s, as_of_s, page)
     return older.join(loaded, ["symbol", "interval", "start_s"], "left_anti").unionByName(loaded.select(*COLUMNS)).orderBy("start_s")
 
 

@@ -14,6 +14,7 @@ from .aggregate import PRICES, in_range, rollup
 
 VALUES = (*PRICES, "volume")
 KEY = ("symbol", "interval", "start_s")
+AUDIT_ROWS = "symbol string, interval_type string, start_s bigint, reason string, expected_close decimal(18,6), actual_close decimal(18,6), created_at timestamp_ntz, batch int"
 
 
 def _differs(left: str, right: str, columns=VALUES):
@@ -44,7 +45,9 @@ def append_audit(audit: DataFrame, path: str, batch: int, created_ms: int) -> No
 
 def read_audit(spark: SparkSession, path: str) -> DataFrame:
     """All audit rows, with the batch that wrote them."""
-    return spark.read.option("basePath", path).parquet(path)
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(where)  # no batch has been written yet
+    return spark.read.schema(AUDIT_ROWS).parquet(path)
 
 
 def changed_only(new: DataFrame, existing: DataFrame) -> DataFrame:

@@ -76,13 +76,19 @@ def with_symbol(df: DataFrame, dimension: DataFrame) -> DataFrame:
     return joined.withColumn("symbol_id", F.coalesce("symbol_id", unknown))
 
 
+def in_span(candles: DataFrame, interval: str, start_s: int, end_s: int) -> DataFrame:
+    """Candles of an interval that start in [start_s, end_s). Of a table with a partition column day no other day is read."""
+    out = candles.where((F.col("interval") == interval) & (F.col("start_s") >= start_s) & (F.col("start_s") < end_s))
+    return out.where(F.col("day").between(start_s // 86400, (end_s - 1) // 86400)) if "day" in candles.columns else out
+
+
 def scan_candles(candles: DataFrame, interval: str, start_s: int, end_s: int, symbol: str | None = None) -> DataFrame:
     """Candles of an interval that start in [start_s, end_s), ascending."""
-    out = candles.where((F.col("interval") == interval) & (F.col("start_s") >= start_s) & (F.col("start_s") < end_s))
+    out = in_span(candles, interval, start_s, end_s)
     out = out if symbol is None else out.where(F.col("symbol") == symbol)
     return out.orderBy("symbol", "start_s")
 
 
 def lookup_candle(candles: DataFrame, interval: str, symbol: str, start_s: int) -> DataFrame:
     """The candle of one bucket, if there is one."""
-    return candles.where((F.col("interval") == interval) & (F.col("symbol") == symbol) & (F.col("start_s") == start_s))
+    return in_span(candles, interval, start_s, start_s + 1).where(F.col("symbol") == symbol)

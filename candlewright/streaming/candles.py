@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from collections import OrderedDict
 from collections.abc import Iterator
 from decimal import Decimal
 
@@ -40,6 +41,62 @@ def dedupe_ticks(stream: DataFrame, within: str = "1 minute") -> DataFrame:
     return stream.withWatermark("arrived", within).dropDuplicatesWithinWatermark(["record_id"])
 
 
+class RecentIds:
+    """The ids seen within a time, the newest ``most`` of them at most, oldest first."""
+
+    def __init__(self, ids: list[str], at: list[int], within_ms: int, most: int):
+        self.seen, self.now = OrderedDict(zip(ids, at, strict=True)), at[-1] if at else -(1 << 62)
+        self.within_ms, self.most = within_ms, most
+
+    def is_new(self, record_id: str | None, arrival_ms: int) -> bool:
+        """Remembers an id that is new, from its arrival on; one that is known keeps its time. A null id always is new."""
+        self.now = max(self.now, arrival_ms)
+        while self.seen and self.now - next(iter(self.seen.values())) >= self.within_ms:
+            self.seen.popitem(last=False)
+        if record_id is None:
+            return True
+        if record_id in self.seen:
+            return False
+        self.seen[record_id] = self.now
+        if len(self.seen) > self.most:
+            self.seen.popitem(last=False)
+        return True
+
+
+def dedupe_recent(ticks: DataFrame, key: str = "symbol", within_ms: int = 60_000, most: int = 100_000) -> DataFrame:
+    """Ticks whose record_id was not among those that arrived for ``key`` in the last ``within_ms``, the newest ``most`` of them.
+
+    In the order of seq, with a memory of its own for each key; what its arrival clock or its number pushes out is new
+    again when it comes. A stream keeps the memory as typed state, at most ``most`` ids a key; a batch reads each key in
+    order and holds its memory alone.
+    """
+    names = ticks.columns
+
+    def fit(frame: pd.DataFrame, recent: RecentIds) -> pd.DataFrame:
+        return frame[[recent.is_new(None if pd.isna(i) else i, int(a)) for i, a in zip(frame["record_id"], frame["arrival_ms"], strict=True)]]
+
+    if ticks.isStreaming:
+
+        def run(_: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+            ids, at = state.get if state.exists else ([], [])
+            recent = RecentIds(list(ids), list(at), within_ms, most)
+            yield fit(pd.concat(frames).sort_values("seq"), recent)[names]
+            state.update((list(recent.seen), list(recent.seen.values())))
+
+        return ticks.groupBy(key).applyInPandasWithState(run, ticks.schema, "ids array<string>, at array<long>", "append", GroupStateTimeout.NoTimeout)
+
+    def scan(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        own, recent = None, RecentIds([], [], within_ms, most)
+        for frame in frames:
+            for value, part in frame.groupby(key, sort=False, dropna=False):
+                value = None if pd.isna(value) else value
+                if value != own:
+                    own, recent = value, RecentIds([], [], within_ms, most)
+                yield fit(part, recent)
+
+    return ticks.repartition(key).sortWithinPartitions(key, "seq").mapInPandas(scan, ticks.schema)
+
+
 class CandleState:
     """Candle of the current bucket, and the last closed ones with the time each was closed."""
 
@@ -129,9 +186,15 @@ def stream_ticker(ticks: DataFrame) -> DataFrame:
 class CandleTable:
     """A candle table on files: every batch adds one folder of revisions, and the last revision of a key counts.
 
-    Writing a batch again replaces its folder, so replays leave no trace. compact() folds all batches into one.
+    Writing a batch again replaces its folder, so replays leave no trace. compact() folds all batches into one. Every read
+    folds all batches: for a stream that goes on see store.CandleStore.
     """
 
+    SCHEMA = (
+        "symbol string, start_s bigint, seq bigint, open decimal(18,6), high decimal(18,6), low decimal(18,6), close decimal(18,6), volume bigint, "
+        "batch int, interval string, day bigint"
+    )
+
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path
 
@@ -141,7 +204,9 @@ class CandleTable:
 
     def read(self) -> DataFrame:
         """Newest revision of each key with its version: the number of batches that rewrote it."""
-        rows = self.spark.read.option("basePath", self.path).parquet(self.path)
+        where = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        where.getFileSystem(self.spark._jsc.hadoopConfiguration()).mkdirs(where)  # no batch has been written yet
+        rows = self.spark.read.schema(self.SCHEMA).parquet(self.path)
         last = F.max_by(F.struct(*VALUES), F.struct("batch", "seq")).alias("r")
         out = rows.groupBy("symbol", "interval", "start_s").agg(last, (F.count_distinct("batch") - 1).alias("version"))
         return out.select("symbol", "interval", "start_s", "r.*", "version")
@@ -171,4 +236,4 @@ def run_to_end(stream: DataFrame, checkpoint: str, sink=None, path: str | None =
     query.awaitTermination()
 
 
-__all__ = ["CandleState", "CandleTable", "candle_sink", "dedupe_ticks", "file_stream", "run_to_end", "stream_candles", "stream_candles_windowed", "stream_ticker"]
+__all__ = ["CandleState", "CandleTable", "RecentIds", "candle_sink", "dedupe_recent", "dedupe_ticks", "file_stream", "run_to_end", "stream_candles", "stream_candles_windowed", "stream_ticker"]
