@@ -50,15 +50,20 @@ def apply_late(ticks: DataFrame, intervals: tuple[str, ...], keep: int = KEEP, t
     """Ticks for each interval with fate, on_time, late_applied or late_dropped, and closed_seq of their bucket.
 
     A late tick counts if its bucket is one of the ``keep`` last closed and was closed at most ``ttl_ms`` ago.
-    All of that stands in the bucket's row of the directory, so one join by candle settles it.
+    All of that stands in the bucket's row of the directory, so one join by candle settles it. Columns interval,
+    start_s, fate and closed_seq of ``ticks`` are replaced, all others are carried, whatever their names.
     """
-    bucketed = with_bucket(expand_intervals(ticks, intervals))
-    joined = bucketed.join(bucket_directory(bucketed, keep), [*KEY, "start_s"], "left")
-    on_time = F.col("open_seq").isNotNull() & (F.col("closed_seq").isNull() | (F.col("seq") < F.col("closed_seq")))
-    recent = F.col("expired_seq").isNull() | (F.col("seq") < F.col("expired_seq"))
-    applied = F.col("open_seq").isNotNull() & recent & (F.col("arrival_ms") - F.col("closed_ms") <= ttl_ms)
+    bucketed = with_bucket(expand_intervals(ticks.drop("fate", "closed_seq"), intervals))
+    opened, closed_ms, expired = fresh(bucketed, "open_seq", "closed_ms", "expired_seq")
+    places = bucket_directory(bucketed.select("seq", "arrival_ms", *KEY, "start_s"), keep).select(
+        *KEY, "start_s", "closed_seq", *(F.col(c).alias(n) for c, n in (("open_seq", opened), ("closed_ms", closed_ms), ("expired_seq", expired)))
+    )
+    joined = bucketed.join(places, [*KEY, "start_s"], "left")
+    on_time = F.col(opened).isNotNull() & (F.col("closed_seq").isNull() | (F.col("seq") < F.col("closed_seq")))
+    recent = F.col(expired).isNull() | (F.col("seq") < F.col(expired))
+    applied = F.col(opened).isNotNull() & recent & (F.col("arrival_ms") - F.col(closed_ms) <= ttl_ms)
     fate = F.when(on_time, "on_time").when(applied, "late_applied").otherwise("late_dropped")
-    return joined.withColumn("fate", fate).drop("open_seq", "closed_ms", "expired_seq")
+    return joined.withColumn("fate", fate).drop(opened, closed_ms, expired)
 
 
 def candles_with_late(ticks: DataFrame, intervals: tuple[str, ...], keep: int = KEEP, ttl_ms: int = TTL_MS) -> DataFrame:
@@ -72,15 +77,16 @@ def candle_revisions(ticks: DataFrame, intervals: tuple[str, ...], keep: int = K
     A closed row bears the seq of the tick that opened the next bucket and comes before that tick's own row.
     """
     kept = apply_late(ticks, intervals, keep, ttl_ms).where("fate <> 'late_dropped'")
-    over = Window.partitionBy(*KEY, "start_s").orderBy("seq").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    bucket = Window.partitionBy(*KEY, "start_s").orderBy("seq")
+    over = bucket.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    on_time = F.col("fate") == "on_time"
+    # Late ticks of a bucket come after it closed, so its candle as it closed stands at its last tick that was on time.
+    last = on_time & F.lead(on_time, 1, False).over(bucket).eqNullSafe(F.lit(False)) & F.col("closed_seq").isNotNull()
+    own = F.struct("seq", F.when(on_time, "live").otherwise("late").alias("kind"))
     running = kept.select(
-        *KEY, "start_s", "seq", F.when(F.col("fate") == "on_time", "live").otherwise("late").alias("kind"),
+        *KEY, "start_s", F.when(last, F.array(own, F.struct(F.col("closed_seq").alias("seq"), F.lit("closed").alias("kind")))).otherwise(F.array(own)).alias("rows"),
         F.first("price").over(over).alias("open"), F.max("price").over(over).alias("high"), F.min("price").over(over).alias("low"),
         F.col("price").alias("close"), F.sum(scale_volume(F.col("quantity"))).over(over).alias("volume"), F.count("*").over(over).alias("trades"),
     )
-    on_time = kept.where("fate = 'on_time' and closed_seq is not null")
-    closing = on_time.groupBy(*KEY, "start_s").agg(F.first("closed_seq").alias("seq"))
-    closed = candles_of(on_time).join(closing, [*KEY, "start_s"])
-    closed = closed.select(*KEY, "start_s", "seq", F.lit("closed").alias("kind"), *PRICES, "volume", "trades")
-    out = running.unionByName(closed)
+    out = running.select(*KEY, "start_s", F.inline("rows"), *PRICES, "volume", "trades")
     return out.withColumn("close_s", bucket_close(F.col("start_s"), interval_seconds()))

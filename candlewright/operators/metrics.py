@@ -20,10 +20,13 @@ CHUNK_MS = 3_600_000
 
 
 def counter_increase(samples: DataFrame, key: tuple[str, ...], chunk_ms: int = CHUNK_MS) -> DataFrame:
-    """Increase of a counter a minute; a value below the one before is a restart from 0. Hours spread over tasks."""
-    (was,) = fresh(samples, "_was")
+    """Increase of a counter a minute; a value below the one before is a restart from 0. Hours spread over tasks.
+
+    Samples of one time stand in the order of their values, as a counter that grows has them.
+    """
+    was, at = fresh(samples, "_was", "_at")
     chunk = F.floor(ntz_to_millis(F.col("ts")) / chunk_ms).cast("long")
-    known = row_before(samples, key, F.col("value"), "ts", was, chunk)
+    known = row_before(samples.withColumn(at, F.struct("ts", "value")), key, F.col("value"), at, was, chunk)
     before = F.col(was)["v"]
     step = F.when(before.isNull(), 0.0).when(F.col("value") < before, F.col("value")).otherwise(F.col("value") - before)
     return known.groupBy(*key, minute().alias("minute_s")).agg(F.sum(step).alias("increase"))

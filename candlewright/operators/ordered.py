@@ -59,8 +59,9 @@ def latest_n(candles: DataFrame, n: int = HOT_ROWS, before_s: int | None = None)
 def dedupe_keep_last(df: DataFrame, key: list[str], order: str) -> DataFrame:
     """One row for each key: the last by ``order``. Aggregation combines before the shuffle."""
     rest = [c for c in df.columns if c not in key]
-    last = df.groupBy(*key).agg(F.max_by(F.struct(*rest), F.col(order)).alias("_row"))
-    return last.select(*key, "_row.*").select(*df.columns)
+    (row,) = fresh(df, "_row")
+    last = df.groupBy(*key).agg(F.max_by(F.struct(*rest), F.col(order)).alias(row))
+    return last.select(*key, f"{row}.*").select(*df.columns)
 
 
 def forward_fill(candles: DataFrame) -> DataFrame:
@@ -90,9 +91,12 @@ def price_direction(prices: DataFrame, chunk: int = CHUNK) -> DataFrame:
 
 
 def threshold_crossings(samples: DataFrame, limit: float, key: tuple[str, ...] = (), chunk: int = CHUNK) -> DataFrame:
-    """Samples (seq, ratio) where ratio rises to ``limit`` or over (alert) or falls below it again (recovery)."""
+    """Samples (seq, ratio) where ratio rises to ``limit`` or over (alert) or falls below it again (recovery).
+
+    A null ratio says nothing: what was known before it goes on.
+    """
     (was,) = fresh(samples, "_was")
     high = F.col("ratio") >= limit
-    marked = row_before(samples, key, high, "seq", was, chunk_of("seq", chunk))
+    marked = row_before(samples.where("ratio is not null"), key, high, "seq", was, chunk_of("seq", chunk))
     crossed = marked.where(high != F.coalesce(F.col(was)["v"], F.lit(False)))
     return crossed.withColumn("event", F.when(high, "alert").otherwise("recovery")).drop(was)

@@ -71,8 +71,8 @@ def as_of(spark: SparkSession, sf: str) -> int:
 
 
 def events_log(spark: SparkSession, sf: str) -> DataFrame:
-    """The changelog as kline events; a closed row precedes the tick that closed it."""
-    rows = D.candle_revisions(valid(spark, sf), ALL)
+    """The changelog as kline events, stored once for queries that read it several times; a closed row precedes the tick that closed it."""
+    rows = once(D.candle_revisions(valid(spark, sf), ALL))
     return rows.withColumn("closed", F.col("kind") != "live").withColumn("seq", F.col("seq") * 2 + F.when(F.col("kind") == "closed", 0).otherwise(1))
 
 
@@ -671,7 +671,7 @@ def samples(spark, sf):
 
 def increase_sql(value: str) -> str:
     return f"""select application, minute_s, sum(case when b is null then 0.0 when x < b then x else x - b end) as increase from
-(select application, minute_s, {value} as x, lag({value}) over (partition by application order by ts) as b from sa) group by all"""
+(select application, minute_s, {value} as x, lag({value}) over (partition by application order by ts, {value}) as b from sa) group by all"""
 
 
 @query("counter_rate", with_ticks(f", {SAMPLES} select application, minute_s, cast(increase as double) as increase from ({increase_sql('counter')})"))

@@ -360,3 +360,33 @@ def test_candle_table_is_idempotent(spark, tmp_path):
 def test_pending_is_inclusive(spark):
     p = spark.createDataFrame([("a", "c", 0), ("b", "c", 1)], "record_id string, consumer string, last_delivery_ms bigint")
     assert [r["record_id"] for r in H.pending_overdue(p, 30_000).collect()] == ["a"]
+
+
+def test_late_rule_with_columns_of_its_own_names(spark):
+    """Ticks may have any other columns; those named as the result's are replaced."""
+    names = ("open_seq", "closed_seq", "closed_ms", "expired_seq", "fate", "high_s", "_high")
+    t = ticks(spark, [("100", "10", 60_000), ("105", "5", 121_000), ("150", "2", 119_000)])
+    odd = t.withColumns({n: F.lit(-7) for n in names})
+    columns = ("seq", "interval", "fate", "start_s")
+    assert values(D.apply_late(odd, ("1m", "5m")), *columns) == values(D.apply_late(t, ("1m", "5m")), *columns)
+    assert D.apply_late(odd, ("1m",)).select("open_seq", "expired_seq", "_high").distinct().collect() == [(-7, -7, -7)]
+    assert values(D.candle_revisions(odd, ("1m",)), "seq", "kind", "close") == values(D.candle_revisions(t, ("1m",)), "seq", "kind", "close")
+
+
+def test_keep_last_by_a_key_named_like_the_helper(spark):
+    df = spark.createDataFrame([(1, 5, "x"), (1, 6, "y"), (2, 1, "z")], "_row long, seq long, v string")
+    assert values(O.dedupe_keep_last(df, ["_row"], "seq"), "_row", "v") == [(1, "y"), (2, "z")]
+
+
+@pytest.mark.parametrize("chunk", [1, 2, 1000])
+def test_crossings_pass_over_null_ratios(spark, chunk):
+    df = spark.createDataFrame([(1, None), (2, 0.9), (3, None), (4, 0.9), (5, None), (6, 0.1), (7, None), (8, 0.2), (9, 0.8)], "seq long, ratio double")
+    assert values(O.threshold_crossings(df, 0.8, chunk=chunk), "seq", "event") == [(2, "alert"), (6, "recovery"), (9, "alert")]
+
+
+def test_counter_samples_of_one_time(spark):
+    """Equal times stand in the order of values, whatever the rows' order."""
+    rows = [("2024-01-01 00:00:00", 5.0), ("2024-01-01 00:00:10", 9.0), ("2024-01-01 00:00:10", 7.0), ("2024-01-01 00:00:10", 8.0), ("2024-01-01 00:00:20", 2.0)]
+    for order in (rows, rows[::-1], rows[2:] + rows[:2]):
+        df = spark.createDataFrame(order, "ts string, value double").select(F.col("ts").cast("timestamp_ntz").alias("ts"), "value", F.lit("a").alias("k")).repartition(3)
+        assert [r.increase for r in H.counter_increase(df, ("k",)).collect()] == [4.0 + 2.0]
