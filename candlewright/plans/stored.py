@@ -7,12 +7,15 @@ from pyspark.sql import functions as F
 
 from candlewright.operators import changelog as L
 from candlewright.operators import chart as C
+from candlewright.operators import metrics as H
+from candlewright.operators import ordered as O
 from candlewright.sources import klines as K
 from candlewright.sources import ticks as S
 from candlewright.streaming import candles as G
 from candlewright.streaming import store as W
+from candlewright.streaming import typed as Y
 
-from .batch import ALL, CHART, as_of, kept
+from .batch import ALL, CHART, as_of, kept, rollup_sql, stored
 from .scratch import scratch
 from .sql import with_late, with_ticks
 
@@ -30,13 +33,17 @@ def query(name: str, sql: str):
     return add
 
 
-def pieces(spark: SparkSession, sf: str) -> DataFrame:
-    """The events as a stream of files in the order of their ids, one for each micro-batch."""
-    events, at = spark.read.parquet(f"{sf}/events.parquet"), f"{scratch(spark)}/events"
-    count = events.agg(F.max("event_id")).first()[0] + 1
+def landed(rows: DataFrame, order: str) -> DataFrame:
+    """``rows`` as a stream of files in their order, one for each micro-batch."""
+    spark, at = rows.sparkSession, f"{scratch(rows.sparkSession)}/landed"
+    count = rows.agg(F.max(order)).first()[0] + 1
     for i in range(PIECES):  # one after another: the source takes files by their time
-        events.where(f"event_id * {PIECES} div {count} = {i}").coalesce(1).write.mode("append").parquet(at)
-    return S.as_ticks(G.file_stream(spark, at, events.schema, files_a_trigger=1))
+        rows.where(f"{order} * {PIECES} div {count} = {i}").coalesce(1).write.mode("append").parquet(at)
+    return G.file_stream(spark, at, rows.schema, files_a_trigger=1)
+
+
+def pieces(spark: SparkSession, sf: str) -> DataFrame:
+    return S.as_ticks(landed(spark.read.parquet(f"{sf}/events.parquet"), "event_id"))
 
 
 def sink_steps(spark: SparkSession, sf: str) -> tuple[W.CandleStore, W.HotWindows, W.LiveCandles, str]:
@@ -76,6 +83,33 @@ def stream_sink_steps(spark, sf):
     return parts[0].union(parts[1]).union(parts[2]).groupBy("step", *columns).agg(F.count("*").alias("n"))
 
 
+@query("stream_candles_typed", with_late("select symbol, interval, start_s, seq, kind, open, high, low, close, volume, trades from rev"))
+def stream_candles_typed(spark, sf):
+    stream, at = Y.stream_candles_typed(S.validate_ticks(pieces(spark, sf))[0], ALL), scratch(spark)
+    with Y.rocksdb(spark):
+        G.run_to_end(stream, f"{at}/checkpoint", path=f"{at}/out")
+    return spark.read.schema(stream.schema).parquet(f"{at}/out")
+
+
+def frame_log(spark: SparkSession, sf: str) -> DataFrame:
+    """Ticks as binary frames under a place in their log; every fifth comes twice, and broken frames lie between."""
+    framed = S.encode_tick_frames(S.event_ticks(spark, sf))[0].select(F.col("seq") * 3, F.col("seq").cast("string").alias("record_id"), "arrival_ms", "payload").toDF("seq", "record_id", "arrival_ms", "payload")
+    again = framed.where("seq % 5 = 0").withColumn("seq", F.col("seq") + 1)
+    broken = framed.where("seq % 7 = 0").select((F.col("seq") + 2).alias("seq"), F.concat("record_id", F.lit("x")).alias("record_id"), "arrival_ms", F.substring("payload", 1, 9).alias("payload"))
+    return framed.unionByName(again).unionByName(broken)
+
+
+@query("stream_frames_to_store", with_late(STEPS + " select symbol, interval, start_s, open, high, low, close, volume from cl"))
+def stream_frames_to_store(spark, sf):
+    """From binary frames through decoding, validation, recent ids and the late rule to the stored candles."""
+    at = scratch(spark)
+    store = W.CandleStore(spark, f"{at}/candles")
+    sink = W.CandleSink(store, W.HotWindows(spark, f"{at}/windows"), W.LiveCandles(spark, f"{at}/live"), f"{at}/batches")
+    with Y.rocksdb(spark):
+        G.run_to_end(Y.frames_to_candles(landed(frame_log(spark, sf), "seq"), ALL), f"{at}/checkpoint", sink=sink)
+    return store.read().select(*C.COLUMNS)
+
+
 def candle_store(spark: SparkSession, sf: str) -> W.CandleStore:
     """All repaired candles in a table by interval and day."""
     store = W.CandleStore(spark, f"{scratch(spark)}/candles")
@@ -161,3 +195,55 @@ def stream_dedupe_recent(spark, sf):
     at = scratch(spark)
     G.run_to_end(G.dedupe_recent(t).select("seq", "symbol", "record_id"), f"{at}/checkpoint", path=f"{at}/out")
     return spark.read.parquet(f"{at}/out")
+
+
+def carried(spark: SparkSession, sf: str, schema: str, operator, carry) -> DataFrame:
+    """Ticks over several micro-batches through an ordered operator, with a few rows carried from one to the next."""
+    at = scratch(spark)
+    table = W.CarriedRows(spark, f"{at}/carried", schema)
+    stream = S.validate_ticks(pieces(spark, sf))[0].select(*table.names)
+
+    def sink(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{at}/rows/{batch_id}")
+        table.run(spark.read.schema(batch.schema).parquet(f"{at}/rows/{batch_id}"), operator, carry, batch_id, f"{at}/out")
+
+    G.run_to_end(stream, f"{at}/checkpoint", sink=sink)
+    return spark.read.parquet(f"{at}/out").drop("batch")
+
+
+@query("stream_ticker_carried", with_ticks("select seq, symbol, event_ms from v qualify event_ms >= coalesce(max(event_ms) over (partition by symbol order by seq rows between unbounded preceding and 1 preceding), event_ms)"))
+def stream_ticker_carried(spark, sf):
+    return carried(spark, sf, "symbol string, seq bigint, event_ms bigint", lambda r: O.monotonic_ticker(r, 100), W.carry_highest)
+
+
+@query("stream_direction_carried", with_ticks(""", p as (select *, lag(price) over (partition by symbol order by seq) as was from v),
+mv as (select *, case when price > was then 'up' when price < was then 'down' end as move from p)
+select seq, symbol, price, coalesce(last_value(move ignore nulls) over (partition by symbol order by seq rows between unbounded preceding and current row), 'neutral') as direction from mv"""))
+def stream_direction_carried(spark, sf):
+    return carried(spark, sf, "symbol string, seq bigint, price decimal(18,6)", lambda r: O.price_direction(r, 100), W.carry_last_move)
+
+
+@query("sketch_percentiles", """select event_type, cast(epoch_ms(ts) // 3600000 * 3600 as bigint) as start_s, count(value) as n, quantile_disc(value, 0.5) as p50, quantile_disc(value, 0.9) as p90, quantile_disc(value, 0.95) as p95, quantile_disc(value, 0.99) as p99
+from events where event_type is not null group by all""")
+def sketch_percentiles(spark, sf):
+    """Hours from sketches of minutes; a sketch of 65,535 is exact for as many values."""
+    events = spark.read.parquet(f"{sf}/events.parquet")
+    return H.sketch_percentiles(H.latency_sketches(events, ("event_type",), 65_535), ("event_type",), 3600, 65_535)
+
+
+@query("reconcile_landed", with_late(f""", off as (select lc.* from lc left join stored s using (symbol, interval, start_s) where lc.interval = '1m'
+    and (s.close is null or s.open <> lc.open or s.high <> lc.high or s.low <> lc.low or s.close <> lc.close or s.volume <> lc.volume)),
+ro as (select r.* from ({rollup_sql("(select symbol, interval, start_s, open, high, low, close, volume, 0 as trades from lc where interval = '1m')", "5m", 300)}) r semi join off on off.symbol = r.symbol and off.start_s // 300 * 300 = r.start_s
+    union all select r.* from ({rollup_sql("(select symbol, interval, start_s, open, high, low, close, volume, 0 as trades from lc where interval = '1m')", "30m", 1800)}) r semi join off on off.symbol = r.symbol and off.start_s // 1800 * 1800 = r.start_s),
+fin as (select symbol, interval, start_s, open, high, low, close, volume from lc where interval = '1m'
+    union all select symbol, interval, start_s, open, high, low, close, volume from ro
+    union all select symbol, interval, start_s, open, high, low, close, volume from stored anti join ro using (symbol, interval, start_s) where interval <> '1m')
+select * from fin"""))
+def reconcile_landed(spark, sf):
+    """A table with missing and wrong candles after an exchange's klines have landed, a part at a time."""
+    at, c = scratch(spark), kept(spark, sf)
+    store = W.CandleStore(spark, f"{at}/candles")
+    store.merge(stored(c).withColumn("seq", F.lit(0)), -1)
+    feed = c.where("interval = '1m'").select(*C.COLUMNS).withColumn("place", F.expr("start_s div 1800 - 946704"))
+    G.run_to_end(landed(feed, "place").drop("place"), f"{at}/checkpoint", sink=W.Reconciler(store, f"{at}/audit", 1704067200000))
+    return store.read().select(*C.COLUMNS)

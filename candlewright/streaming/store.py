@@ -14,10 +14,11 @@ from functools import reduce
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
-from candlewright.functions.time import INTERVALS
+from candlewright.functions.time import INTERVALS, bucket_start
+from candlewright.operators.aggregate import rollup
 from candlewright.operators.changelog import KEY, fan_out_as_of, materialized_live, put_bucket, validity
 from candlewright.operators.ordered import HOT_ROWS
-from candlewright.operators.reconcile import VALUES
+from candlewright.operators.reconcile import VALUES, append_audit, changed_only, reconcile
 
 _VALUES = "open decimal(18,6), high decimal(18,6), low decimal(18,6), close decimal(18,6), volume bigint"
 #: Slots of symbols that windows and live candles are dealt to.
@@ -89,6 +90,11 @@ class PartitionedTable:
         fs.delete(self._files(staged)[1], True)
         return True
 
+    def finish(self, batch: int) -> None:
+        """Puts a staged batch in place, if that is not done."""
+        if self.is_staged(batch):
+            self.replace(self.read, batch)  # what is staged is not made again
+
 
 class CandleStore(PartitionedTable):
     """Candles (symbol, interval, start_s, values, version) by interval and day, sorted by symbol and start."""
@@ -197,7 +203,7 @@ class Subscriptions(PartitionedTable):
         a row for each subscription that is valid, whatever the age of the log.
         """
         if self.is_staged(batch):
-            self.replace(self.read, batch)
+            self.finish(batch)
             return
         before = self.read().where("session_id is not null")
         log = before.select("seq", "session_id", F.lit("SUBSCRIBE").alias("command"), "symbol").unionByName(commands.select("seq", "session_id", "command", "symbol"))
@@ -211,3 +217,84 @@ class Subscriptions(PartitionedTable):
             return kept.unionByName(every)
 
         self.replace(now, batch)
+
+
+class CarriedRows(PartitionedTable):
+    """Rows that decide what comes after: an ordered operator over one micro-batch after another, with no task for a whole key.
+
+    Each micro-batch goes through the batch operator, which spreads a key over many tasks, together with the few rows
+    that ``carry`` kept of those before. ``schema`` is that of the rows, which have symbol and an order by seq.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, schema: str, slots: int = SLOTS):
+        super().__init__(spark, path, f"{schema}, slot int", ("slot",), ("symbol", "seq"))
+        self.slots, self.names = slots, [c for c in self.read().columns if c != "slot"]
+
+    def run(self, rows: DataFrame, operator: Callable[[DataFrame], DataFrame], carry: Callable[[DataFrame], DataFrame], batch: int, out: str) -> None:
+        """Writes what ``operator`` makes of the carried rows and these, without the carried ones, to out/batch=N.
+
+        A repeated batch writes the same rows or, once what is carried is being stored, none again. Only slots of the
+        batch's symbols are read.
+        """
+        if self.is_staged(batch):
+            self.finish(batch)
+            return
+        own = rows.select(*self.names).withColumn("slot", slot_of(self.slots))
+        before = self.only(self.touched(own))
+        both = before.unionByName(own)
+        made = operator(both.select(*self.names))
+        # Rows of a batch come after all before it in seq, so the carried ones are told by their seq.
+        fresh_rows = made.join(own.groupBy("symbol").agg(F.min("seq").alias("_first")), "symbol").where("seq >= _first").drop("_first")
+        fresh_rows.write.mode("overwrite").parquet(f"{out}/batch={batch}")
+        self.replace(lambda: carry(both), batch)
+
+
+def carry_highest(rows: DataFrame) -> DataFrame:
+    """For tickers: the row of the newest event time of each symbol."""
+    rest = [c for c in rows.columns if c not in ("symbol", "slot")]
+    return rows.groupBy("symbol", "slot").agg(F.max_by(F.struct(*rest), F.struct("event_ms", "seq")).alias("r")).select("symbol", "slot", "r.*")
+
+
+def carry_last_move(rows: DataFrame) -> DataFrame:
+    """For price directions: the last row of each symbol, and the last before it of another price."""
+    rest = [c for c in rows.columns if c not in ("symbol", "slot")]
+    last = F.max_by(F.struct(*rest), "seq").alias("r")
+    end = rows.groupBy("symbol", "slot").agg(last).select("symbol", "slot", "r.*")
+    other = rows.join(end.select("symbol", F.col("price").alias("_last")), "symbol").where("price <> _last").groupBy("symbol", "slot").agg(last)
+    return end.unionByName(other.select("symbol", "slot", "r.*"))
+
+
+class Reconciler:
+    """A foreachBatch function over landed exchange klines (1-minute candles): only what has landed is compared.
+
+    Of a micro-batch the touched days of the table are read; differences go to the audit log and, with the 5- and
+    30-minute candles of the buckets that they change, into the table. A repeated batch replaces its own audit rows and
+    changes nothing else.
+    """
+
+    def __init__(self, store: CandleStore, audit: str, created_ms: int):
+        self.store, self.audit, self.created_ms = store, audit, created_ms
+
+    def __call__(self, batch: DataFrame, batch_id: int) -> None:
+        if self.store.is_staged(batch_id):
+            self.store.finish(batch_id)
+            return
+        spark, at = batch.sparkSession, f"{self.store.path}/feed/{batch_id}"
+        batch.select(*KEY, *VALUES).dropDuplicates(list(KEY)).write.mode("overwrite").parquet(at)
+        feed = spark.read.parquet(at)
+        days = sorted({r.day for r in feed.select(day_of().alias("day")).distinct().collect()})
+        near = self.store.read().where(F.col("day").isin(days))
+        own = near.where("interval = '1m'").select(*KEY, *VALUES)
+        changes, audit = reconcile(own, feed)
+        append_audit(audit, self.audit, batch_id, self.created_ms)
+        corrected = own.join(changes, list(KEY), "left_anti").unionByName(changes)
+        out = changes
+        for interval in ("5m", "30m"):
+            d = INTERVALS[interval]
+            touched = changes.select("symbol", bucket_start(F.col("start_s"), d).alias("_b")).distinct()
+            minutes = corrected.withColumn("_b", bucket_start(F.col("start_s"), d)).join(touched, ["symbol", "_b"], "left_semi").drop("_b")
+            whole = rollup(minutes.withColumn("trades", F.lit(0)), interval)
+            out = out.unionByName(changed_only(whole, near.where(F.col("interval") == interval)))
+        self.store.merge(out.withColumn("seq", F.lit(0)), batch_id)
+        fs, where = self.store._files(at)
+        fs.delete(where, True)

@@ -9,11 +9,16 @@ from pyspark.sql import functions as F
 
 from candlewright.operators import changelog as L
 from candlewright.operators import chart as C
+from candlewright.operators import late as D
+from candlewright.operators import metrics as H
+from candlewright.operators import ordered as O
 from candlewright.plans import stored as P
 from candlewright.plans.registry import QUERIES
 from candlewright.sources import klines as K
+from candlewright.sources import ticks as S
 from candlewright.streaming import candles as G
 from candlewright.streaming import store as W
+from candlewright.streaming import typed as Y
 
 SF = "/root/testdata/sf0.001"
 DAY = 86400
@@ -224,3 +229,97 @@ def test_no_file_before_the_first_batch(spark, tmp_path):
 def test_stored_queries_are_pruned(spark):
     assert "day" in filters(QUERIES["scan_stored"](spark, SF)) and "interval" in filters(QUERIES["lookup_stored"](spark, SF))
     assert set(P.QUERIES) <= set(QUERIES)
+
+
+# Chains, carried rows, landed klines, sketches
+
+
+def put(spark, folder, df, n):
+    """Adds a file to a folder, younger than those before."""
+    df.coalesce(1).write.mode("append").parquet(f"file://{folder}")
+    for f in os.listdir(folder):
+        if f.endswith(".parquet") and not f.startswith("done"):
+            os.rename(f"{folder}/{f}", f"{folder}/done{n}.parquet")
+            os.utime(f"{folder}/done{n}.parquet", (1_000_000 + 10 * n,) * 2)
+
+
+def test_frames_to_store_over_a_restart(spark, tmp_path):
+    """Stopped after two files and started again with new objects: ids, candles and tables go on; equal to the batch rule."""
+    log, steps = P.frame_log(spark, SF), []
+    top = log.agg(F.max("seq")).first()[0] + 1
+    at = f"file://{tmp_path}"
+    for part in ((0, 1), (2, 3)):
+        for i in part:
+            put(spark, tmp_path / "in", log.where(f"seq * 4 div {top} = {i}"), i)
+        store = W.CandleStore(spark, f"{at}/candles")
+        live = W.LiveCandles(spark, f"{at}/live")
+        sink = W.CandleSink(store, W.HotWindows(spark, f"{at}/windows"), live, f"{at}/batches", lambda rows, n: steps.append((n, store.is_done(n), live.is_done(n))))
+        with Y.rocksdb(spark):
+            G.run_to_end(Y.frames_to_candles(G.file_stream(spark, f"{at}/in", log.schema, 1), ("1m", "5m")), f"{at}/checkpoint", sink=sink)
+    assert steps == [(n, True, True) for n in range(4)]  # each is published once, after its tables
+    columns = ("symbol", "interval", "start_s", "open", "high", "low", "close", "volume")
+    want = set(map(tuple, D.candles_with_late(S.validate_ticks(S.event_ticks(spark, SF))[0], ("1m", "5m")).select(*columns).collect()))
+    got, open_ = ({tuple(r) for r in t.select(*columns).collect()} for t in (store.read(), live.live()))
+    assert got | open_ == want and not {r[:3] for r in got} & {r[:3] for r in open_}
+
+
+def five(spark, rows, schema):
+    size = -(-len(rows) // 5)
+    return [spark.createDataFrame(rows[i : i + size], schema) for i in range(0, len(rows), size)]
+
+
+@pytest.mark.parametrize("operator, carry", [(lambda r: O.monotonic_ticker(r, 7), W.carry_highest), (lambda r: O.price_direction(r, 7), W.carry_last_move)])
+def test_carried_rows(spark, tmp_path, operator, carry):
+    """Five micro-batches in chunks of 7, each run twice, equal the batch; a hot symbol, one that pauses, equal prices."""
+    draw = random.Random(8)
+    rows = [(draw.choice("aaaab" if q < 90 or q > 170 else "aaaac"), q, 1000 * q - draw.choice([0, 0, 30_000]), Dec(draw.choice([1, 1, 2, 3]))) for q in range(200)]
+    schema = "symbol string, seq bigint, event_ms bigint, price decimal(18,6)"
+    table = W.CarriedRows(spark, f"file://{tmp_path}/t", schema, slots=4)
+    for b, part in enumerate(five(spark, rows, schema)):
+        for _ in range(2):
+            table.run(part, operator, carry, b, f"file://{tmp_path}/out")
+    want = operator(spark.createDataFrame(rows, schema))
+    got = spark.read.parquet(f"file://{tmp_path}/out").select(*want.columns)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_landed_klines(spark, tmp_path):
+    """Two runs equal one, the second takes new files alone, and only touched days and changed buckets are written."""
+    stored = candles(spark, [("a", "1m", 60 * m, 0, 3) for m in range(10) if m != 4] + [("a", "5m", 0, 0, 3), ("a", "5m", 300, 0, 3), ("a", "1m", 5 * DAY, 0, 3)])
+    feed = candles(spark, [("a", "1m", 60 * m, 0, 9 if m == 7 else 3) for m in range(10)]).drop("seq")
+    tables = []
+    for name, cuts in (("one", [(0, 600)]), ("two", [(0, 300), (300, 600)])):
+        store = W.CandleStore(spark, f"file://{tmp_path}/{name}")
+        store.merge(stored, -1)
+        sink = W.Reconciler(store, f"file://{tmp_path}/{name}_audit", 0)
+        seen = []
+
+        def run(b, n, sink=sink, seen=seen):
+            seen.append(b.count())
+            sink(b, n)
+            sink(b, n)
+
+        for i, (low, high) in enumerate(cuts):
+            put(spark, tmp_path / f"{name}_in", feed.where(f"start_s >= {low} and start_s < {high}"), i)
+            G.run_to_end(G.file_stream(spark, f"file://{tmp_path}/{name}_in", feed.schema, 1), f"file://{tmp_path}/{name}_c", sink=run)
+        assert seen == [(high - low) // 60 for low, high in cuts]
+        audit = spark.read.parquet(f"file://{tmp_path}/{name}_audit")
+        assert sorted((r.start_s, r.reason) for r in audit.collect()) == [(240, "MISSING"), (420, "MISMATCH")]
+        tables.append(held(store, "symbol", "interval", "start_s", "open", "close", "volume"))
+        versions = {(r.interval, r.start_s): r.version for r in store.read().collect()}
+        assert versions[("1m", 420)] == 1 and versions[("1m", 240)] == 0 and versions[("1m", 5 * DAY)] == 0 and versions[("5m", 300)] == 1
+    assert tables[0] == tables[1] and ("a", "30m", 0, Dec(1), Dec(3), 50) in tables[0]
+
+
+def test_sketches_merge_within_their_error(spark):
+    """Hours from minutes of a million values in one hot key: ranks within the stated error; sketches stay small."""
+    n, k = 1_000_000, 512
+    rows = spark.range(n).select(F.lit("a").alias("k"), F.timestamp_seconds(F.lit(1704067200) + F.col("id") % 3600).cast("timestamp_ntz").alias("ts"), (F.xxhash64("id") % 1_000_003).cast("double").alias("value"))
+    sketches = H.latency_sketches(rows, ("k",), k)
+    assert sketches.count() == 60 and sketches.agg(F.max(F.octet_length("sketch"))).first()[0] < 40 * k
+    (got,) = H.sketch_percentiles(sketches, ("k",), 3600, k).collect()
+    for q, name in ((0.5, "p50"), (0.9, "p90"), (0.95, "p95"), (0.99, "p99")):
+        rank = rows.where(F.col("value") <= got[name]).count() / n
+        assert abs(rank - q) <= 2.7 / k
+    nothing = spark.createDataFrame([("a", None)], "k string, value double").withColumn("ts", F.lit("2024-01-01").cast("timestamp_ntz"))
+    assert H.sketch_percentiles(H.latency_sketches(nothing, ("k",)), ("k",)).collect() == []
