@@ -1,14 +1,13 @@
 """Quality rules as a short-circuit cascade, with DataFrame functions only.
 
-Every rule looks at counts of one text. A sample of bounded size gives each rule's cost and rejection rate;
-the cascade then asks the rules with the most rejections per second first and stops at the first that
-rejects. The order changes the time taken and the reported first reason, never the verdict.
+Every rule looks at counts of one text. A sample of bounded size gives each rule's cost, counted as the characters
+that it looks at, and its rejection rate; the cascade then asks the rules with the most rejections per cost first and
+stops at the first that rejects. The order changes the time taken and the reported first reason, never the verdict.
 """
 
 from __future__ import annotations
 
 import math
-import time
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -85,6 +84,7 @@ class Counts:
             return F.col(name)
         text, words_ = self._text, self._words
         return {
+            "n_chars": lambda: F.char_length(F.coalesce(text, F.lit(""))).cast("long"),
             "n_words": lambda: F.size(words_).cast("long"),
             "word_chars": lambda: F.char_length(F.array_join(words_, "")).cast("long"),
             "n_symbols": lambda: _count_symbols(text, SYMBOLS),
@@ -97,61 +97,45 @@ class Counts:
 
 @dataclass(frozen=True)
 class Rule:
-    """Rejects a text where ``fails`` is true."""
+    """Rejects a text where ``fails`` is true; ``work`` is about the number of characters that it looks at, passes counted each."""
 
     name: str
     fails: Callable[[Counts], Column]
+    work: Callable[[Counts], Column] = lambda c: c.n_chars
 
 
 #: Thresholds are whole-number comparisons, so that other engines give the same verdicts.
 RULES = (
-    Rule("few_words", lambda c: c.n_words < 10),
-    Rule("repeated_windows", lambda c: 100 * c.n_repeat_words > 20 * c.n_words),
-    Rule("symbols", lambda c: 10 * c.n_symbols > c.n_words),
+    Rule("few_words", lambda c: c.n_words < 10, lambda c: F.lit(1)),
+    Rule("repeated_windows", lambda c: 100 * c.n_repeat_words > 20 * c.n_words, lambda c: c.n_chars + 8 * WINDOW * c.n_words),
+    Rule("symbols", lambda c: 10 * c.n_symbols > c.n_words, lambda c: len(SYMBOLS) * c.n_chars),
     Rule("shouting", lambda c: 2 * c.n_shouts > c.n_words),
-    Rule("repeated_lines", lambda c: 100 * c.n_dup_lines > 50 * c.n_lines),
+    Rule("repeated_lines", lambda c: 100 * c.n_dup_lines > 50 * c.n_lines, lambda c: 4 * c.n_chars),
     Rule("word_length", lambda c: (c.word_chars < 2 * c.n_words) | (c.word_chars > 15 * c.n_words)),
 )
 
 
-#: How often a sample row stands for the timing, and how often each rule is timed.
-COPIES, TIMES = 4, 3
-
-
 def rule_order(docs: DataFrame, rules=RULES, text: str = "text", sample_rows: int = 2000) -> list[Rule]:
     """Rules by rejections per cost on about ``sample_rows`` rows, best first; ties keep the given order.
 
-    The sample decides the order alone. It is drawn from all rows where they lie. The cost of a rule is the least
-    of several times over copies of the sample, less the time that a rule without work takes, as a power of two times
-    that of the cheapest rule: differences that are noise do not change the order. An empty table keeps the given one.
+    The sample decides the order alone. It is drawn from all rows where they lie, and one job counts what each rule
+    rejects there and the characters it looks at: no clock, so that equal input has an equal order. Costs are compared
+    as powers of two times that of the cheapest rule. An empty table keeps the given order.
     """
     w = free_name(docs, "words")
     share = min(1.0, sample_rows / max(docs.count(), 1))
-    sample = docs.select(F.col(f"`{text}`").alias(text)).sample(share, seed=3).withColumn(w, words(F.col(f"`{text}`"))).cache()
-    rows = sample.count()
-    copies = sample.withColumn(free_name(sample, "copy"), F.explode(F.array_repeat(F.lit(0), COPIES)))
+    sample = docs.select(F.col(f"`{text}`").alias(text)).sample(share, seed=3).withColumn(w, words(F.col(f"`{text}`")))
     counts = Counts(text, w)
-
-    def timed(fails: Column) -> tuple[float, int]:
-        best = math.inf
-        for _ in range(TIMES):
-            began = time.perf_counter()
-            rejected = copies.agg(F.count_if(fails)).first()[0]
-            best = min(best, time.perf_counter() - began)
-        return best, rejected
-
-    if not rows:
-        sample.unpersist()
+    measures = [m for i, r in enumerate(rules) for m in (F.count_if(r.fails(counts)).alias(f"n{i}"), F.sum(r.work(counts).cast("long")).alias(f"c{i}"))]
+    got = sample.agg(F.count("*").alias("rows"), *measures).first()
+    if not got["rows"]:
         return list(rules)
-    nothing = timed(F.length(F.col(f"`{text}`")) < 0)[0]
-    measured = [timed(rule.fails(counts)) for rule in rules]
-    sample.unpersist()
-    return ordered(rules, [t - nothing for t, _ in measured], [n for _, n in measured])
+    return ordered(rules, [float(got[f"c{i}"]) for i in range(len(rules))], [got[f"n{i}"] for i in range(len(rules))])
 
 
-def ordered(rules, seconds: list[float], rejected: list[int]) -> list[Rule]:
-    """Rules by rejections per cost; times under a millisecond are one."""
-    cost = [max(t, 1e-3) for t in seconds]
+def ordered(rules, work: list[float], rejected: list[int]) -> list[Rule]:
+    """Rules by rejections per cost; a cost below a thousandth is one."""
+    cost = [max(t, 1e-3) for t in work]
     power = [round(math.log2(c / min(cost))) for c in cost]
     return [rules[i] for i in sorted(range(len(rules)), key=lambda i: -rejected[i] / 2 ** power[i])]
 
