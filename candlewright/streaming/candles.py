@@ -34,6 +34,16 @@ def file_stream(spark: SparkSession, path: str, schema, files_a_trigger: int | N
     return spark.readStream.schema(schema).option(*bound).parquet(path)
 
 
+def message_stream(spark: SparkSession, path: str, files_a_trigger: int | None = None, bytes_a_trigger: int = 256 << 20) -> DataFrame:
+    """A replayable stream of messages, one a line of text files: value, and arrival_ms, when its file was complete.
+
+    Put read_trade_json or classify_messages behind it. A file is one arrival: lines of a file share its time.
+    """
+    bound = ("maxFilesPerTrigger", files_a_trigger) if files_a_trigger else ("maxBytesPerTrigger", bytes_a_trigger)
+    lines = spark.readStream.option(*bound).text(path)
+    return lines.select("value", F.unix_millis("_metadata.file_modification_time").alias("arrival_ms"))
+
+
 def dedupe_ticks(stream: DataFrame, within: str = "1 minute") -> DataFrame:
     """One tick for each record_id within a time; ``stream`` has the timestamp column arrived. A batch keeps one of all."""
     if not stream.isStreaming:
@@ -236,4 +246,4 @@ def run_to_end(stream: DataFrame, checkpoint: str, sink=None, path: str | None =
     query.awaitTermination()
 
 
-__all__ = ["CandleState", "CandleTable", "RecentIds", "candle_sink", "dedupe_recent", "dedupe_ticks", "file_stream", "run_to_end", "stream_candles", "stream_candles_windowed", "stream_ticker"]
+__all__ = ["CandleState", "CandleTable", "RecentIds", "candle_sink", "dedupe_recent", "dedupe_ticks", "file_stream", "message_stream", "run_to_end", "stream_candles", "stream_candles_windowed", "stream_ticker"]

@@ -124,3 +124,18 @@ def test_dedupe_across_batches(spark, tmp_path):
     G.run_to_end(G.dedupe_ticks(stream).select("record_id", "seq"), f"file://{tmp_path}/checkpoint", path=f"file://{tmp_path}/out")
     got = Counter(r[0] for r in rows(spark.read.parquet(f"file://{tmp_path}/out"), "record_id"))
     assert got == {"r1": 2, "r2": 1, "r3": 1, "r4": 1, "r5": 1}
+
+
+def test_messages_from_text_files(spark, tmp_path):
+    """Trade messages as lines of text, broken ones between, over two files and a restart: equal to reading them at once."""
+    lines = [f'{{"data":{{"s":"BTC","p":"{i % 7 + 1}.5","q":"2","E":{1_000_000 + i}}}}}' if i % 5 else "{broken" for i in range(40)]
+    (tmp_path / "in").mkdir()
+    for n in (0, 1):
+        (tmp_path / "in" / f"{n}.txt").write_text("\n".join(lines[20 * n : 20 * n + 20]))
+        os.utime(tmp_path / "in" / f"{n}.txt", (1_000 + n,) * 2)
+        stream = S.read_trade_json(G.message_stream(spark, f"file://{tmp_path}/in", files_a_trigger=1))
+        G.run_to_end(stream, f"file://{tmp_path}/checkpoint", path=f"file://{tmp_path}/out")
+    whole = S.read_trade_json(spark.createDataFrame([(x, 1_000_000 + 1000 * (i // 20)) for i, x in enumerate(lines)], "value string, arrival_ms bigint"))
+    columns = ("symbol", "price", "quantity", "event_ms", "arrival_ms")
+    got = rows(spark.read.parquet(f"file://{tmp_path}/out"), *columns)
+    assert got == rows(whole, *columns) and len(got) == 32
