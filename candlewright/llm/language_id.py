@@ -7,12 +7,12 @@ positions, so a response is a sum of table rows. Everything is trained here, in
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,7 +27,8 @@ EPOCHS, BATCH, RATE = 10, 64, 0.01
 #: Labelled documents that training takes at most of all languages together, in expectation; of many languages each has fewer.
 TRAIN_ALL = 60_000
 
-_LETTER = re.compile(r"[^\W\d_]")
+#: A character of a letter category; numbers in other forms, as one half, are none.
+_LETTER = regex.compile(r"\p{L}")
 
 
 def windows(text: bytes) -> np.ndarray:
@@ -130,7 +131,7 @@ def train(docs: DataFrame, docs_each: int = TRAIN_DOCS) -> Network | None:
     if not counts:
         return None
     names = sorted(counts)
-    each = min(docs_each, max(TRAIN_ALL // len(names), 20))
+    each = min(docs_each, max(TRAIN_ALL // len(names), 1))
     shares = docs.sparkSession.createDataFrame([(name, min(1 << 40, (each << 40) // counts[name])) for name in names], "lang string, share long")
     # A row for each language, which the driver has counted.
     drawn = usable.select("doc_id", "text", "lang").join(F.broadcast(shares), "lang").where(F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(1 << 40)) < F.col("share"))
