@@ -8,7 +8,7 @@ the chunks' maxima, so that one busy symbol spreads over many tasks.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from candlewright.functions.names import fresh
@@ -42,10 +42,18 @@ def bucket_directory(bucketed: DataFrame, keep: int = KEEP) -> DataFrame:
     over = Window.partitionBy(*KEY).orderBy("start_s")
     return opened.select(
         *KEY, "start_s", F.col("o.seq").alias("open_seq"), F.lead("o.seq").over(over).alias("closed_seq"),
-        F.lead("o.arrival_ms").over(over).alias("closed_ms"), F.lead("o.seq", keep + 1).over(over).alias("expired_seq"),
+        F.lead("o.arrival_ms").over(over).alias("closed_ms"), F.lead("o.seq", keep + 1).over(over).alias("expired_seq"), F.col("o.arrival_ms").alias("open_ms"),
     )
 
 
+def fate_of(opened: str, closed: str, closed_ms: str, expired: str, ttl_ms: int) -> Column:
+    """The fate of a tick that has the columns of its bucket's row of the directory."""
+    on_time = F.col(opened).isNotNull() & (F.col(closed).isNull() | (F.col("seq") < F.col(closed)))
+    recent = F.col(expired).isNull() | (F.col("seq") < F.col(expired))
+    applied = F.col(opened).isNotNull() & recent & (F.col("arrival_ms") - F.col(closed_ms) <= ttl_ms)
+    return F.when(on_time, "on_time").when(applied, "late_applied").otherwise("late_dropped")
+
+
 def apply_late(ticks: DataFrame, intervals: tuple[str, ...], keep: int = KEEP, ttl_ms: int = TTL_MS) -> DataFrame:
     """Ticks for each interval with fate, on_time, late_applied or late_dropped, and closed_seq of their bucket.
 
@@ -59,11 +67,7 @@ def apply_late(ticks: DataFrame, intervals: tuple[str, ...], keep: int = KEEP, t
         *KEY, "start_s", "closed_seq", *(F.col(c).alias(n) for c, n in (("open_seq", opened), ("closed_ms", closed_ms), ("expired_seq", expired)))
     )
     joined = bucketed.join(places, [*KEY, "start_s"], "left")
-    on_time = F.col(opened).isNotNull() & (F.col("closed_seq").isNull() | (F.col("seq") < F.col("closed_seq")))
-    recent = F.col(expired).isNull() | (F.col("seq") < F.col(expired))
-    applied = F.col(opened).isNotNull() & recent & (F.col("arrival_ms") - F.col(closed_ms) <= ttl_ms)
-    fate = F.when(on_time, "on_time").when(applied, "late_applied").otherwise("late_dropped")
-    return joined.withColumn("fate", fate).drop(opened, closed_ms, expired)
+    return joined.withColumn("fate", fate_of(opened, "closed_seq", closed_ms, expired, ttl_ms)).drop(opened, closed_ms, expired)
 
 
 def candles_with_late(ticks: DataFrame, intervals: tuple[str, ...], keep: int = KEEP, ttl_ms: int = TTL_MS) -> DataFrame:

@@ -223,6 +223,20 @@ def stream_direction_carried(spark, sf):
     return carried(spark, sf, "symbol string, seq bigint, price decimal(18,6)", lambda r: O.price_direction(r, 100), W.carry_last_move)
 
 
+@query("stream_revisions_carried", with_late("select symbol, interval, start_s, seq, kind, open, high, low, close, volume, trades from rev"))
+def stream_revisions_carried(spark, sf):
+    """The changelog of candles by joins and windows in each micro-batch, with a few buckets carried."""
+    at = scratch(spark)
+    table = W.CandleRevisions(spark, f"{at}/carried")
+
+    def sink(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{at}/rows/{batch_id}")
+        table.run(spark.read.schema(batch.schema).parquet(f"{at}/rows/{batch_id}"), ALL, batch_id, f"{at}/out")
+
+    G.run_to_end(S.validate_ticks(pieces(spark, sf))[0], f"{at}/checkpoint", sink=sink)
+    return spark.read.parquet(f"{at}/out").drop("batch")
+
+
 @query("sketch_percentiles", """select event_type, cast(epoch_ms(ts) // 3600000 * 3600 as bigint) as start_s, count(value) as n, quantile_disc(value, 0.5) as p50, quantile_disc(value, 0.9) as p90, quantile_disc(value, 0.95) as p95, quantile_disc(value, 0.99) as p99
 from events where event_type is not null group by all""")
 def sketch_percentiles(spark, sf):

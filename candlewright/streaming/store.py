@@ -11,12 +11,14 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import DataFrame, Row, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 
+from candlewright.functions.numbers import scale_volume
 from candlewright.functions.time import INTERVALS, bucket_start
-from candlewright.operators.aggregate import rollup
+from candlewright.operators.aggregate import PRICES, expand_intervals, rollup, with_bucket
 from candlewright.operators.changelog import KEY, fan_out_as_of, materialized_live, put_bucket, validity
+from candlewright.operators.late import KEEP, TTL_MS, bucket_directory, fate_of
 from candlewright.operators.ordered import HOT_ROWS
 from candlewright.operators.reconcile import VALUES, append_audit, changed_only, reconcile
 
@@ -298,3 +300,52 @@ class Reconciler:
         self.store.merge(out.withColumn("seq", F.lit(0)), batch_id)
         fs, where = self.store._files(at)
         fs.delete(where, True)
+
+
+class CandleRevisions(PartitionedTable):
+    """The changelog of candles over one micro-batch after another by joins and windows, with no task for a whole symbol.
+
+    Carried are, for each symbol and interval, the newest ``keep`` + 1 opened buckets: when each was opened and its candle
+    so far. A tick of an older bucket cannot count, so nothing else is needed. As in the batch rule the ticks of one
+    candle meet in one task, and no more.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, keep: int = KEEP, ttl_ms: int = TTL_MS, slots: int = SLOTS):
+        super().__init__(spark, path, f"symbol string, interval string, start_s bigint, seq bigint, open_seq bigint, open_ms bigint, closed boolean, {_VALUES}, trades bigint, slot int", ("slot",), (*KEY,))
+        self.keep, self.ttl_ms, self.slots = keep, ttl_ms, slots
+
+    def run(self, ticks: DataFrame, intervals: tuple[str, ...], batch: int, out: str) -> None:
+        """Writes the revisions (kind live, closed or late) that these ticks give rise to, to out/batch=N.
+
+        Batches come in order of seq. A repeated one writes the same rows or, once what is carried is being stored, none again.
+        """
+        if self.is_staged(batch):
+            self.finish(batch)
+            return
+        own = with_bucket(expand_intervals(ticks, intervals)).select(*KEY, "seq", "arrival_ms", "price", scale_volume(F.col("quantity")).alias("volume"))
+        before = self.only(self.touched(ticks.select(slot_of(self.slots).alias("slot"))))
+        first = before.select(*KEY, F.col("open_seq").alias("seq"), F.col("open_ms").alias("arrival_ms"))
+        places = bucket_directory(own.select(*KEY, "seq", "arrival_ms").unionByName(first), self.keep)
+        fated = own.join(places, list(KEY), "left").withColumn("fate", fate_of("open_seq", "closed_seq", "closed_ms", "expired_seq", self.ttl_ms)).where("fate <> 'late_dropped'")
+        price = F.col("price").cast("decimal(18,6)")
+        now = fated.select(*KEY, "seq", "closed_seq", (F.col("fate") == "on_time").alias("on_time"), F.lit(False).alias("carried"), *(price.alias(c) for c in PRICES), "volume", F.lit(1).cast("long").alias("trades"))
+        then = before.join(places.select(*KEY, "closed_seq"), list(KEY)).select(*KEY, "seq", "closed_seq", (~F.col("closed")).alias("on_time"), F.lit(True).alias("carried"), *VALUES, "trades")
+        bucket = Window.partitionBy(*KEY).orderBy("seq")
+        over = bucket.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        last = F.col("on_time") & F.lead("on_time", 1, False).over(bucket).eqNullSafe(F.lit(False)) & F.col("closed_seq").isNotNull()
+        running = now.unionByName(then).select(
+            *KEY, "seq", "carried", "on_time", "closed_seq", last.alias("closes"), F.first("open").over(over).alias("open"), F.max("high").over(over).alias("high"),
+            F.min("low").over(over).alias("low"), "close", F.sum("volume").over(over).alias("volume"), F.sum("trades").over(over).alias("trades"),
+        )
+        row = lambda seq, kind: F.array(F.struct(seq.alias("seq"), kind.alias("kind")))
+        none = F.array().cast("array<struct<seq: bigint, kind: string>>")
+        told = F.when(F.col("carried"), none).otherwise(row(F.col("seq"), F.when(F.col("on_time"), "live").otherwise("late")))
+        ends = F.when(F.col("closes"), row(F.col("closed_seq"), F.lit("closed"))).otherwise(none)
+        running.select(*KEY, F.inline(F.concat(told, ends)), *VALUES, "trades").write.mode("overwrite").parquet(f"{out}/batch={batch}")
+
+        def carry() -> DataFrame:
+            end = running.groupBy(*KEY).agg(F.max_by(F.struct("seq", *VALUES, "trades"), "seq").alias("r")).select(*KEY, "r.*")
+            newest = places.where("expired_seq is null").select(*KEY, "open_seq", "open_ms", F.col("closed_seq").isNotNull().alias("closed"))
+            return end.join(newest, list(KEY)).withColumn("slot", slot_of(self.slots))
+
+        self.replace(carry, batch)

@@ -323,3 +323,23 @@ def test_sketches_merge_within_their_error(spark):
         assert abs(rank - q) <= 2.7 / k
     nothing = spark.createDataFrame([("a", None)], "k string, value double").withColumn("ts", F.lit("2024-01-01").cast("timestamp_ntz"))
     assert H.sketch_percentiles(H.latency_sketches(nothing, ("k",)), ("k",)).collect() == []
+
+
+def test_revisions_with_carried_buckets(spark, tmp_path):
+    """Micro-batches down to one tick, each run twice: late ticks over their borders, skipped and expired buckets, a hot symbol."""
+    draw = random.Random(12)
+    rows, now = [], 1_000_000_000
+    for q in range(160):
+        now += draw.choice([100, 5_000, 40_000, 70_000])
+        rows.append((q, draw.choice("aaab"), Dec(draw.randint(1, 9)), Dec(draw.randint(1, 5)), now - draw.choice([0, 0, 0, 30_000, 90_000, 200_000, 600_000]), now))
+    schema = "seq bigint, symbol string, price decimal(18,6), quantity decimal(18,8), event_ms bigint, arrival_ms bigint"
+    table, cuts = W.CandleRevisions(spark, f"file://{tmp_path}/t", slots=2), [0, 1, 40, 90, 92, 160]
+    for b, (low, high) in enumerate(zip(cuts, cuts[1:], strict=False)):
+        part = spark.createDataFrame(rows[low:high], schema)
+        for _ in range(2):
+            table.run(part, ("1m", "5m"), b, f"file://{tmp_path}/out")
+    columns = ("symbol", "interval", "start_s", "seq", "kind", "open", "high", "low", "close", "volume", "trades")
+    want = D.candle_revisions(spark.createDataFrame(rows, schema), ("1m", "5m"))
+    got = spark.read.parquet(f"file://{tmp_path}/out")
+    assert sorted(map(tuple, got.select(*columns).collect())) == sorted(map(tuple, want.select(*columns).collect()))
+    assert {r.kind for r in got.collect()} == {"live", "late", "closed"} and table.read().groupBy("symbol", "interval").count().agg(F.max("count")).first()[0] <= 4
