@@ -29,6 +29,8 @@ MIN_PAGES, MIN_SHARE = 8, 0.5
 MIN_LINKS, LINK_SHARE = 2, 0.5
 #: Templates that are broadcast at most; beyond, pages are joined with those of their host.
 BROADCAST_ROWS = 100_000
+#: Parts that the pages of a host are spread over in that join.
+SALTS = 64
 
 TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^<>"']|"[^"]*"|'[^']*')*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>""", re.DOTALL)
 CLASSES = re.compile(r"""(?:class|role)\s*=\s*(?:"[^"]*"|'[^']*'|[^\s"'>]+)""", re.IGNORECASE)
@@ -336,7 +338,12 @@ def main_text(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = M
     templates = stored(site_templates(pages, min_pages, min_share).groupBy("host").agg(F.collect_set("hash").alias("hashes")))
     size = templates.agg(F.coalesce(F.sum(F.size("hashes")), F.lit(0))).first()[0]
     known = pages.select("page_id", "url", "html", host_of(F.col("url")).alias("host"))
-    joined = known.join(F.broadcast(templates) if size <= BROADCAST_ROWS else templates, "host", "left")
+    if size <= BROADCAST_ROWS:
+        joined = known.join(F.broadcast(templates), "host", "left")
+    else:  # a host may have a third of all pages: its pages are dealt to SALTS parts, and its templates copied to each
+        dealt = known.withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)))
+        copies = templates.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)).cast("array<long>")))
+        joined = dealt.join(copies, ["host", "salt"], "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for chunk in text_chunks(batches, "html"):

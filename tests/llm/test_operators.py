@@ -915,3 +915,30 @@ def test_op10_shapes_and_repeats_are_whole():
 def test_op5_numbers_in_other_forms_are_no_letters():
     assert not any(language_id._LETTER.search(t) for t in ("½ ² ① 12 _", "", "٣", "Ⅷ !"))
     assert all(language_id._LETTER.search(t) for t in ("1 é", "日", "ʰ", "ª"))
+
+
+def test_op9_templates_by_brute_force(spark, monkeypatch):
+    """Subtrees counted host by host over distinct pages; the join by parts of a host gives what the broadcast does."""
+    rng = random.Random(31)
+    menu = lambda h, k: f"<nav><ul>{''.join(f'<li><a href=/{i}>{h} part {i}</a></li>' for i in range(k))}</ul></nav>"
+    pages = []
+    for h, n in (("a.com", 30), ("b.com", 9), ("c.com", 7), ("d.com", 20)):
+        for i in range(n):
+            body = "".join(f"<p>{' '.join(rng.choice(['rain', 'wind', 'sun', 'snow', str(rng.randint(0, 99))]) for _ in range(12))}</p>" for _ in range(3))
+            end = "<div>all rights are with us</div>" if i % 3 else ""
+            pages.append((len(pages), f"http://{h}/{i}", f"<html><body>{menu(h, 4)}<div>{body}</div>{end}</body></html>"))
+    pages += [(900 + i, "http://d.com/0", pages[-1][2]) for i in range(12)] + [(950, None, None), (951, "x", "")]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string").repartition(4)
+    want = set()
+    for host in ("a.com", "b.com", "c.com", "d.com", ""):
+        own = {h or "" for _, u, h in pages if (f"//{host}/" in (u or "") if host else "//" not in (u or ""))}
+        held = Counter()
+        for page in own:
+            nodes = [n for n in html_extraction.hashed(html_extraction.parse(page)) if n.tag != "#root" and n.tag not in html_extraction.INLINE]
+            held.update({h for n in nodes for h in (n.hash, n.shape) if h})
+        want |= {(host, h) for h, n in held.items() if n >= html_extraction.MIN_PAGES and n >= html_extraction.MIN_SHARE * len(own)}
+    assert {(r.host, r.hash) for r in html_extraction.site_templates(df).collect()} == want and {h for h, _ in want} == {"a.com", "b.com", "d.com"}
+    sent = sorted(map(tuple, html_extraction.main_text(df).collect()), key=repr)
+    monkeypatch.setattr(html_extraction, "BROADCAST_ROWS", 0)
+    assert sorted(map(tuple, html_extraction.main_text(df).collect()), key=repr) == sent
+    assert not any("part 1" in r[2] for r in sent if r[1] and "a.com" in r[1])
