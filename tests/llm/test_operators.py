@@ -942,3 +942,28 @@ def test_op9_templates_by_brute_force(spark, monkeypatch):
     monkeypatch.setattr(html_extraction, "BROADCAST_ROWS", 0)
     assert sorted(map(tuple, html_extraction.main_text(df).collect()), key=repr) == sent
     assert not any("part 1" in r[2] for r in sent if r[1] and "a.com" in r[1])
+
+
+def test_op10_very_long_text_and_the_threshold(spark):
+    """A text of a million words is scored whole, repeated rows alike, and a score of exactly the threshold counts as good."""
+    weights = np.zeros((1 << quality_classifier.BITS) + 1, np.float32)
+    long = "word " * 999_999
+    place, value = quality_classifier.features((long + "marker").encode(), quality_classifier.WordHashes(), quality_classifier.Shapes())
+    only = set(place) - set(quality_classifier.features(long.encode(), quality_classifier.WordHashes(), quality_classifier.Shapes())[0])
+    weights[sorted(only)] = 1e6
+    docs = documents(spark, [(1, long), (2, long + "marker"), (3, "word"), (3, "word"), (4, None)])
+    got = sorted((r.doc_id, r.score) for r in quality_classifier.score(docs, weights).collect())
+    assert [d for d, _ in got] == [1, 2, 3, 3, 4] and got[0][1] == 0.5 and got[1][1] > 0.99 and got[2] == got[3]
+    weights[:] = 0
+    weights[-1] = math.log(0.7 / 0.3)
+    scores = quality_classifier.score(docs, weights).withColumn("predicted", (F.col("score") >= quality_classifier.THRESHOLD).cast("int"))
+    assert all((r.score >= 0.7) == bool(r.predicted) for r in scores.collect())
+
+
+def test_op5_columns_of_any_name(spark):
+    """Extra columns named as the result's, or as helpers, are not looked at."""
+    rows_ = [(i, "le chat est ici " * 9, "fr") for i in range(40)] + [(100 + i, "the cat is here " * 9, "en") for i in range(40)]
+    plain = spark.createDataFrame(rows_, "doc_id long, text string, lang string")
+    odd = plain.withColumns({c: F.lit("x") for c in ("share", "score", "lang_pred", "held_out", "bytes", "count")})
+    want = sorted(map(tuple, language_id.identify(plain, language_id.train(plain)).select("doc_id", "lang_pred").collect()))
+    assert sorted(map(tuple, language_id.identify(odd, language_id.train(odd)).select("doc_id", "lang_pred").collect())) == want
