@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WordHashes, map_arrow, mix, shingles, table, text_chunks
+from .common import WordHashes, map_arrow, mix, shingles, stored, table, text_chunks
 
 SIZE = 5
 RADIUS = 19
@@ -29,6 +29,8 @@ BLOCKS, BLOCK_BITS = 4, 16
 SIMILARITY = 0.8
 #: Items, and words of items, that one pass over the documents takes; more items make more passes.
 ITEMS_A_PASS, WORDS_A_PASS = 500, 100_000
+#: Shingles of items, 8 bytes each, that the first look at the documents takes, and one pass more.
+LOOK_SHINGLES = 1 << 24
 #: Windows whose fingerprints are held at once.
 STRETCH = 4096
 
@@ -252,6 +254,46 @@ def _passes(benchmark: DataFrame) -> Iterator[list[tuple[int, str]]]:
         yield [(r[0], r[1]) for r in part.toLocalIterator()]
 
 
+def _groups(benchmark: DataFrame) -> Iterator[tuple[list[list[tuple[int, str]]], dict[int, np.ndarray]]]:
+    """Passes that share a first look at the documents, with the hashes of all their items' shingles by size."""
+    passes, grams, n = [], {}, 0
+    for items in _passes(benchmark):
+        passes.append(items)
+        hashes = WordHashes()
+        for _, text in items:
+            words = hashes.of(normal(text or ""))
+            if len(words):
+                own = np.unique(shingles(words, SIZE))
+                grams.setdefault(min(SIZE, len(words)), []).append(own)
+                n += len(own)
+        if n >= LOOK_SHINGLES:
+            yield passes, {size: np.unique(np.concatenate(g)) for size, g in grams.items()}
+            passes, grams, n = [], {}, 0
+    if passes:
+        yield passes, {size: np.unique(np.concatenate(g)) for size, g in grams.items()}
+
+
+def _looked(docs: DataFrame, grams: dict[int, np.ndarray], near: bool) -> DataFrame:
+    """The rows that share a shingle with an item, which alone can match, or those that share none."""
+    sent = docs.sparkSession.sparkContext.broadcast(grams)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = WordHashes()
+        for chunk in text_chunks(batches):
+            words = [hashes.of(normal(t)) if t else np.empty(0, np.uint64) for t in chunk.column("text").to_pylist()]
+            ends, flat = np.cumsum([len(w) for w in words]), np.concatenate(words)
+            shares = np.zeros(chunk.num_rows, bool)
+            for size, known in sent.value.items():
+                if len(flat) >= size:
+                    own = shingles(flat, size)
+                    seeds = np.flatnonzero(known[np.minimum(np.searchsorted(known, own), len(known) - 1)] == own)
+                    doc = np.searchsorted(ends, seeds, side="right")
+                    shares[doc[seeds + size <= ends[doc]]] = True
+            yield chunk.filter(pa.array(shares == near))
+
+    return map_arrow(docs, run, docs.schema)
+
+
 def contaminated_spans(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(doc_id, item_id, start, end, similarity, distance): windows of ``docs`` that hold a benchmark item.
 
@@ -260,15 +302,26 @@ def contaminated_spans(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     has as many words as its item. Of overlapping windows of one item the most similar stays, then the first.
     Null and empty texts match nothing; repeated documents and items match alike; a document shorter than an
     item is compared whole. Items are taken in passes of at most ITEMS_A_PASS expected items, so that what a
-    task holds is bounded however many there are. An empty benchmark gives an empty result.
+    task holds is bounded however many there are; where there are several, one look at all documents leaves them
+    those that share a shingle with an item. An empty benchmark gives an empty result.
     """
-    return reduce(DataFrame.union, (_spans(docs, items) for items in _passes(benchmark)))
+    found = []
+    for passes, grams in _groups(benchmark):
+        near = docs.select("doc_id", "text")
+        near = near if len(passes) == 1 else stored(_looked(near, grams, True))
+        found += [_spans(near, items) for items in passes]
+    return reduce(DataFrame.union, found)
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """Rows of ``docs`` whose text holds no benchmark item, columns unchanged. Rows go where they lie, without a shuffle."""
-    for items in _passes(benchmark):
-        docs = _without(docs, items)
+    """Rows of ``docs`` whose text holds no benchmark item, columns unchanged. Rows go where they lie, without a shuffle.
+
+    Where items take several passes, only rows that share a shingle with an item go through them.
+    """
+    for passes, grams in _groups(benchmark):
+        near = docs if len(passes) == 1 else stored(_looked(docs, grams, True))
+        kept = reduce(_without, passes, near)
+        docs = kept if len(passes) == 1 else _looked(docs, grams, False).union(kept)
     return docs
 
 

@@ -161,6 +161,9 @@ def test_op1_passes_and_odd_input(spark, monkeypatch):
     left = dec.decontaminate(documents(spark, docs), bench)
     assert sorted(r.doc_id for r in left.where("doc_id is not null").collect()) == [1, 2, 3, 4, 5, 5, 6, 7]
     assert left.where("doc_id is null").count() == 1
+    monkeypatch.setattr(dec, "LOOK_SHINGLES", 60)  # several first looks, each before passes of its own
+    assert sorted(map(tuple, dec.contaminated_spans(documents(spark, docs), bench).collect())) == once
+    assert sorted(map(tuple, dec.decontaminate(documents(spark, docs), bench).collect()), key=repr) == sorted(map(tuple, left.collect()), key=repr)
     assert dec.contaminated_spans(documents(spark, docs), bench.limit(0)).count() == 0
 
 
