@@ -22,7 +22,7 @@ from .sql import with_late, with_ticks
 QUERIES: dict = {}
 SQL: dict = {}
 #: Files, and so micro-batches, that the events are dealt to in order.
-PIECES = 4
+PIECES = 3
 
 
 def query(name: str, sql: str):
