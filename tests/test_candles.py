@@ -390,3 +390,16 @@ def test_counter_samples_of_one_time(spark):
     for order in (rows, rows[::-1], rows[2:] + rows[:2]):
         df = spark.createDataFrame(order, "ts string, value double").select(F.col("ts").cast("timestamp_ntz").alias("ts"), "value", F.lit("a").alias("k")).repartition(3)
         assert [r.increase for r in H.counter_increase(df, ("k",)).collect()] == [4.0 + 2.0]
+
+
+def test_minutes_of_samples_count_to_the_nearest_millisecond(spark):
+    """As epoch_ms in the SQL of counter_rate, failures_a_minute, mean_latency and sketch_percentiles has it."""
+    import duckdb
+
+    times = ["2024-01-01 00:00:59.999499", "2024-01-01 00:00:59.9995", "2024-01-01 00:59:59.9999", "2024-12-31 23:59:59.999999", "1970-01-01 00:00:00.0005"]
+    df = spark.createDataFrame([(t,) for t in times], "t string").select(F.col("t").cast("timestamp_ntz").alias("ts"), F.lit(True).alias("bad"))
+    want = sorted(duckdb.sql(f"select epoch_ms(timestamp '{t}') // 60000 * 60").fetchall()[0][0] for t in times)
+    assert sorted(r.minute_s for r in H.failures_a_minute(df, F.col("bad")).collect() for _ in range(r.failures)) == want
+    hours = H.sketch_percentiles(H.latency_sketches(df.select(F.lit("a").alias("k"), "ts", F.lit(1.0).alias("value")), ("k",)), ("k",))
+    assert sorted(r.start_s for r in hours.collect() for _ in range(r.n)) == sorted(w // 3600 * 3600 for w in want)
+    assert [r.m for r in df.select(T.ntz_to_millis(F.col("ts")).alias("m")).collect()][1] % 1000 == 999
