@@ -170,6 +170,24 @@ def test_fan_out_as_of(spark, seed):
     assert sorted(map(tuple, got.select("seq", "symbol", "session_id").collect())) == delivered(*[[r for r in part if len(r) != 4 or r[2] != "PING"] for part in log])
 
 
+def share_of_largest_task(df) -> float:
+    rows = [r["count"] for r in df.groupBy(F.spark_partition_id().alias("p")).count().collect()]
+    return max(rows) / sum(rows)
+
+
+def test_fan_outs_spread_over_tasks(spark):
+    """One file of events of one symbol, followed by sessions that last: no task makes most of what goes out."""
+    n, events = 40_000, spark.range(300_000, 340_000, 1, 1).select(F.col("id").alias("seq"), F.lit("a").alias("symbol"))
+    follows = spark.range(50).select(F.col("id").cast("string").alias("session_id"), F.lit("a").alias("symbol"))
+    out = L.fan_out(events, follows)
+    assert out.count() == 50 * n and share_of_largest_task(out) < 0.2
+    spans = follows.where("session_id < 3").select("session_id", "symbol", F.lit(1).cast("long").alias("from_seq"), F.lit(None).cast("long").alias("to_seq"))
+    large = spark.range(2**18, 2**18 * 3, 1, 1).select(F.col("id").alias("seq"), F.lit("a").alias("symbol"))
+    out = L.fan_out_as_of(large, spans)  # two whole blocks of 2**18
+    assert out.distinct().count() == out.count() == 3 * 2**19 and share_of_largest_task(out) < 0.3
+    assert L.fan_out_as_of(events.limit(0), spans).count() == L.fan_out_as_of(events, spans.withColumn("to_seq", F.lit(299_999).cast("long"))).count() == 0
+
+
 def test_subscriptions_are_carried(spark, tmp_path):
     """The log in four batches, each delivered twice, equals the log as a whole."""
     events, commands, ended = log_of(3)
