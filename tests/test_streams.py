@@ -4,6 +4,7 @@ import os
 from collections import Counter
 from decimal import Decimal as Dec
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -139,3 +140,22 @@ def test_messages_from_text_files(spark, tmp_path):
     columns = ("symbol", "price", "quantity", "event_ms", "arrival_ms")
     got = rows(spark.read.parquet(f"file://{tmp_path}/out"), *columns)
     assert got == rows(whole, *columns) and len(got) == 32
+
+
+def test_landed_rows_in_bounded_micro_batches(spark, monkeypatch, tmp_path):
+    """A table of more rows than a micro-batch may have goes in several, in order, each row once; a fixed number stays."""
+    from candlewright.plans import stored
+
+    monkeypatch.setattr(stored, "ROWS", 100)
+    rows = spark.range(1050).select(F.col("id").alias("seq"), (F.col("id") * 2).alias("x")).repartition(4)
+    for name, given, want in (("many", {}, 11), ("few", {"pieces": 3}, 3)):
+        seen = []
+        G.run_to_end(stored.landed(rows, "seq", **given), f"file://{tmp_path}/{name}", sink=lambda b, _, seen=seen: seen.append(sorted((r.seq, r.x) for r in b.collect())))
+        assert len(seen) == want and [r for batch in seen for r in batch] == [(i, 2 * i) for i in range(1050)]
+    monkeypatch.setattr(stored, "ROWS", 10_000)
+    G.run_to_end(stored.landed(rows.limit(0), "seq"), f"file://{tmp_path}/none", sink=lambda b, _: None)
+
+
+def test_rows_in_order_hold_numbers_alone():
+    frames = [pd.DataFrame({"symbol": ["a"] * 3, "seq": q, "x": [i * 10 for i in q]}) for q in ([5, 1, 3], [4, 0, 2])]
+    assert list(G.in_order(iter(frames), ["seq", "x"])) == [(i, i * 10) for i in range(6)]
