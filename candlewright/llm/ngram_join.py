@@ -4,8 +4,10 @@ Texts with equal sets of five-word windows share one ``sid`` (63 bits of a hash
 once. Each set is embedded as 128 minima of hash functions. A run starts with all sets in one node; a node
 picks one or two of the 128 positions, and a set follows it to the child named by its minimum there, that is,
 by a sampled token that the sets of a child share. After four levels small buckets are compared by brute
-force; large ones are split two levels further; what is still large then holds sets that are alike. Those
-form dense groups, which are compared block by block, so that a group of any size spreads over many tasks;
+force. Of large ones each set is held against one of its bucket by their minima; where half of them agree, the
+whole bucket is dense. Other large ones are split two levels further; what is still large then holds sets that
+are alike and is dense too. What dense buckets connect forms dense groups, whose sets are compared block by
+block, all with all, so that a group of any size spreads over many tasks;
 what travels to the blocks is how each set differs from one of its group. Runs repeat until a pair at the
 threshold has met, in the deepest buckets and over the binomial spread of the 128 minima, with the target
 probability. Every candidate pair is verified on its whole sets.
@@ -18,7 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import WordHashes, components, mix, shingles, stored, table, text_chunks, utf8
@@ -28,6 +30,8 @@ POSITIONS = 128
 LEVELS, DEEPER = 4, 2
 SMALL = 16
 BLOCK = 512
+#: Equal minima of sets that may form a dense group. It decides only what is compared where, never a link.
+CLOSE = 77
 #: Share of the sets whose bucket keys are counted to find hot buckets.
 SHARE = 64
 
@@ -193,6 +197,36 @@ def _buckets(df: DataFrame, runs: int | None, total: int) -> DataFrame:
     return stored(dealt.mapInArrow(_scan, "large boolean, a long, b long"))
 
 
+def _close(pairs: DataFrame) -> DataFrame:
+    """Of rows (sid, rep, sketch, other), sketches of both: (sid, rep) with CLOSE equal minima or more."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own, other = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint32).reshape(-1, POSITIONS) for c in ("sketch", "other"))
+            yield batch.select(["sid", "rep"]).filter(pa.array((own == other).sum(axis=1) >= CLOSE))
+
+    return pairs.select("sid", "rep", "sketch", "other").mapInArrow(run, "sid long, rep long")
+
+
+def _grouped(large: DataFrame, sketches: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Of rows (key, sid) of large buckets: edges (a, b) of dense groups, and the rows of the other buckets.
+
+    The set that is in most large buckets stands for those it is in, so that the buckets of near copies have few
+    such sets between them. A bucket is dense if half of its sets, and over SMALL, agree with the one that stands
+    for it. A set has at most as many pairs as buckets.
+    """
+    often = large.withColumn("n", F.count("*").over(Window.partitionBy("sid")))
+    # Stored before the join, so that Spark can cut a bucket that many sets share.
+    reps = stored(often.groupBy("key").agg(F.max(F.struct("n", "sid")).alias("most")).select("key", F.col("most.sid").alias("rep")))
+    named = stored(large.join(reps, "key").select("key", "sid", "rep"))
+    other = sketches.select(F.col("sid").alias("rep"), F.col("sketch").alias("other"))
+    close = stored(_close(named.select("sid", "rep").distinct().join(sketches, "sid").join(other, "rep")).withColumn("close", F.lit(1)))
+    agreed = named.join(close, ["sid", "rep"], "left").groupBy("key").agg(F.count("*").alias("n"), F.count("close").alias("k"))
+    dense = stored(agreed.where((F.col("k") > SMALL) & (2 * F.col("k") >= F.col("n"))).select("key"))
+    edges = stored(named.join(dense, "key", "left_semi").select(F.col("sid").alias("a"), F.col("rep").alias("b")).distinct())
+    return edges, stored(named.join(dense, "key", "left_anti").select("key", "sid"))
+
+
 def _verified(pairs: DataFrame) -> DataFrame:
     """Rows of (a, b, text_a, text_b) that are alike, without the texts."""
 
@@ -292,10 +326,11 @@ def near_duplicates(docs: DataFrame, recall: float = 0.999999) -> DataFrame:
     runs = runs_for(recall, 0.8)
     found = _buckets(sketches, runs, total)
     large = found.where("large").select(F.col("a").alias("key"), F.col("b").alias("sid"))
-    deeper = _buckets(large.join(sketches, "sid"), None, total)
+    edges, mixed = _grouped(large, sketches)
+    deeper = _buckets(mixed.join(sketches, "sid"), None, total)
     # Negative names are buckets, others are sets.
     dense = components(
-        deeper.where("large").select(F.col("b").alias("a"), (-F.shiftrightunsigned("a", 1) - 1).alias("b"))
+        deeper.where("large").select(F.col("b").alias("a"), (-F.shiftrightunsigned("a", 1) - 1).alias("b")).union(edges)
     ).where("id >= 0")
     dense = stored(dense.withColumnRenamed("id", "sid"))
     in_group = dense.select(F.col("sid").alias("a"), F.col("root").alias("ra")), dense.select(F.col("sid").alias("b"), F.col("root").alias("rb"))

@@ -348,6 +348,43 @@ def test_op4_thousands_of_near_copies(spark):
     assert got == {d: (0, int(n)) for d, n in enumerate(links)}
 
 
+def deeper_rows(monkeypatch):
+    """Rows that go to the second split of near_duplicates, one number for each call."""
+    seen, real = [], ngram_join._buckets
+
+    def spy(df, runs, total):
+        if runs is None:
+            seen.append(df.count())
+        return real(df, runs, total)
+
+    monkeypatch.setattr(ngram_join, "_buckets", spy)
+    return seen
+
+
+def test_op4_buckets_of_near_copies_are_not_split(spark, monkeypatch):
+    seen = deeper_rows(monkeypatch)
+    for n in (250, 500):
+        rows = list(enumerate(copies(random.Random(17), 1, n, 150)))
+        got = {r.doc_id: (r.class_id, r.n_links) for r in ngram_join.near_duplicates(documents(spark, rows)).collect()}
+        assert got == classes(rows)
+        assert seen.pop() <= 2 * n
+
+
+def test_op4_near_copies_among_texts_with_a_common_part(spark, monkeypatch):
+    """Buckets of one large group, of a smaller one and of texts alike to few, which share half of their words."""
+    seen = deeper_rows(monkeypatch)
+    rng = random.Random(18)
+    part = prose(rng, 90)
+    texts = [f"{part} {t}" for t in copies(rng, 1, 160, 70) + copies(rng, 1, 60, 70) + copies(rng, 40, 2, 70)]
+    rng.shuffle(texts)
+    rows = list(enumerate(texts))
+    for close in (ngram_join.CLOSE, ngram_join.POSITIONS + 1):
+        monkeypatch.setattr(ngram_join, "CLOSE", close)
+        got = {r.doc_id: (r.class_id, r.n_links) for r in ngram_join.near_duplicates(documents(spark, rows)).collect()}
+        assert got == classes(rows)
+    assert 0 < seen[0] < seen[1]
+
+
 def test_op4_runs():
     assert ngram_join.runs_for(0.999999, 0.8) > ngram_join.runs_for(0.99, 0.8) > ngram_join.runs_for(0.99, 0.95)
 
