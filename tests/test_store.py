@@ -188,6 +188,32 @@ def test_fan_outs_spread_over_tasks(spark):
     assert L.fan_out_as_of(events.limit(0), spans).count() == L.fan_out_as_of(events, spans.withColumn("to_seq", F.lit(299_999).cast("long"))).count() == 0
 
 
+def changes_of_session(df) -> float:
+    """The share of rows whose session is not that of the row before, as tasks put them out."""
+    parts = df.select("session_id").rdd.mapPartitions(lambda rows: [[r.session_id for r in rows]]).collect()
+    return sum(1 + sum(a != b for a, b in zip(p, p[1:])) for p in parts if p) / sum(map(len, parts))  # noqa: B905
+
+
+def test_fan_outs_go_by_sessions(spark):
+    """A session gets many events before the next one does, so that stored deliveries are a small part of a byte a row."""
+    events = spark.range(0, 60_000, 1, 2).select(F.col("id").alias("seq"), F.concat(F.lit("s"), F.col("id") % 2).alias("symbol"))
+    follows = spark.range(40).select(F.concat(F.lit("u"), "id").alias("session_id"), F.concat(F.lit("s"), F.col("id") % 2).alias("symbol"))
+    out = L.fan_out(events, follows)
+    assert out.count() == 20 * 60_000 and changes_of_session(out) < 0.02
+
+
+def test_fan_out_beyond_broadcasts(spark, monkeypatch):
+    """Sessions of a hot symbol beyond what is broadcast meet its events in many tasks, each pair once; events may be equal."""
+    follows = spark.createDataFrame([(f"u{i}", "aab"[i % 3]) for i in range(90)] + [("u0", None)], "session_id string, symbol string")
+    events = spark.range(2_000).select(F.expr("element_at(array('a', 'a', 'b', 'c', null), cast(id % 5 as int) + 1)").alias("symbol"), (F.col("id") % 7).alias("seq"), "id")
+    want = sorted(map(tuple, events.join(follows, "symbol").collect()))
+    monkeypatch.setattr(L, "BROADCAST_SUBSCRIPTIONS", 20)
+    out = L.fan_out(events, follows)
+    assert out.columns == ["symbol", "seq", "id", "session_id"] and sorted(map(tuple, out.collect())) == want
+    assert share_of_largest_task(L.fan_out(spark.range(40_000).select(F.when(F.col("id") >= 0, "a").alias("symbol"), "id"), follows)) < 0.2
+    assert L.fan_out(events.select("symbol"), follows).count() == len(want) and L.fan_out(events, follows.limit(0)).count() == 0
+
+
 def test_subscriptions_are_carried(spark, tmp_path):
     """The log in four batches, each delivered twice, equals the log as a whole."""
     events, commands, ended = log_of(3)
