@@ -200,6 +200,9 @@ def test_fan_outs_go_by_sessions(spark):
     follows = spark.range(40).select(F.concat(F.lit("u"), "id").alias("session_id"), F.concat(F.lit("s"), F.col("id") % 2).alias("symbol"))
     out = L.fan_out(events, follows)
     assert out.count() == 20 * 60_000 and changes_of_session(out) < 0.02
+    spans = follows.select("*", F.lit(100).cast("long").alias("from_seq"), F.lit(None).cast("long").alias("to_seq"))
+    out = L.fan_out_as_of(events, spans)
+    assert out.count() == 20 * (60_000 - 101) and changes_of_session(out) < 0.02
 
 
 def test_fan_out_beyond_broadcasts(spark, monkeypatch):
