@@ -16,7 +16,7 @@ from candlewright.streaming import store as W
 from candlewright.streaming import typed as Y
 
 from .batch import ALL, CHART, as_of, kept, rollup_sql, stored
-from .scratch import scratch
+from .scratch import once, scratch
 from .sql import with_late, with_ticks
 
 QUERIES: dict = {}
@@ -35,17 +35,19 @@ def query(name: str, sql: str):
 
 #: Rows of a file, and so of a micro-batch, where nothing fixes how many there are.
 ROWS = 1_000_000
+#: The same for frames, of which a task holds a few whole numbers and an id: fewer micro-batches, each of which takes some time for itself.
+FRAMES = 2_000_000
 
 
-def landed(rows: DataFrame, order: str, pieces: int | None = None, least: int = PIECES) -> DataFrame:
+def landed(rows: DataFrame, order: str, pieces: int | None = None, least: int = PIECES, most: int = ROWS) -> DataFrame:
     """``rows`` as a stream of files in their order, one for each micro-batch: ``pieces`` of them, or, ``least`` or more, as many as keep
-    each at about ROWS rows, so that what a task holds of a micro-batch does not grow with the table.
+    each at about ``most`` rows, so that what a task holds of a micro-batch does not grow with the table.
 
     All files are written in one job, which computes ``rows`` once. The source takes files by their time, so these are set.
     """
     spark, at = rows.sparkSession, f"{scratch(rows.sparkSession)}/landed"
     last, n = rows.agg(F.max(order), F.count("*")).first()
-    pieces = pieces or max(least, -(-n // ROWS))
+    pieces = pieces or max(least, -(-n // most))
     cut = rows.withColumn("_piece", F.expr(f"cast({order} * {pieces} div {(last or 0) + 1} as int)"))
     cut.where("_piece is not null").repartition(pieces, "_piece").write.partitionBy("_piece").parquet(at)
     if last is None:
@@ -111,7 +113,7 @@ def stream_candles_typed(spark, sf):
 
 def frame_log(spark: SparkSession, sf: str) -> DataFrame:
     """Ticks as binary frames under a place in their log; every fifth comes twice, and broken frames lie between."""
-    framed = S.encode_tick_frames(S.event_ticks(spark, sf))[0].select(F.col("seq") * 3, F.col("seq").cast("string").alias("record_id"), "arrival_ms", "payload").toDF("seq", "record_id", "arrival_ms", "payload")
+    framed = once(S.encode_tick_frames(S.event_ticks(spark, sf))[0].select(F.col("seq") * 3, F.col("seq").cast("string").alias("record_id"), "arrival_ms", "payload").toDF("seq", "record_id", "arrival_ms", "payload"))
     again = framed.where("seq % 5 = 0").withColumn("seq", F.col("seq") + 1)
     broken = framed.where("seq % 7 = 0").select((F.col("seq") + 2).alias("seq"), F.concat("record_id", F.lit("x")).alias("record_id"), "arrival_ms", F.substring("payload", 1, 9).alias("payload"))
     return framed.unionByName(again).unionByName(broken)
@@ -124,7 +126,7 @@ def stream_frames_to_store(spark, sf):
     store = W.CandleStore(spark, f"{at}/candles")
     sink = W.CandleSink(store, W.HotWindows(spark, f"{at}/windows"), W.LiveCandles(spark, f"{at}/live"), f"{at}/batches")
     with Y.rocksdb(spark):
-        G.run_to_end(Y.frames_to_candles(landed(frame_log(spark, sf), "seq"), ALL), f"{at}/checkpoint", sink=sink)
+        G.run_to_end(Y.frames_to_candles(landed(frame_log(spark, sf), "seq", most=FRAMES), ALL), f"{at}/checkpoint", sink=sink)
     return store.read().select(*C.COLUMNS)
 
 

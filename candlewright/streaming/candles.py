@@ -100,7 +100,8 @@ def dedupe_recent(ticks: DataFrame, key: str = "symbol", within_ms: int = 60_000
     names = ticks.columns
 
     def fit(frame: pd.DataFrame, recent: RecentIds) -> pd.DataFrame:
-        return frame[[recent.is_new(None if pd.isna(i) else i, int(a)) for i, a in zip(frame["record_id"], frame["arrival_ms"], strict=True)]]
+        ids = frame["record_id"].astype(object)
+        return frame[[recent.is_new(i, a) for i, a in zip(ids.where(ids.notna(), None).tolist(), frame["arrival_ms"].astype("int64").tolist(), strict=True)]]
 
     if ticks.isStreaming:
 
@@ -124,6 +125,14 @@ def dedupe_recent(ticks: DataFrame, key: str = "symbol", within_ms: int = 60_000
     return ticks.repartition(key).sortWithinPartitions(key, "seq").mapInPandas(scan, ticks.schema)
 
 
+def revisions(key: tuple, kinds: list[str], rows: list[tuple]) -> pd.DataFrame:
+    """A frame of REVISION from the kind, and (start_s, seq, values) in whole numbers, of each revision of a symbol and interval."""
+    names = [f.split()[0] for f in REVISION.split(", ")]
+    numbers = dict(zip([n for n in names if n not in ("symbol", "interval", "kind")], np.array(rows, np.int64).reshape(len(rows), 8).T, strict=True))
+    words = {"symbol": [key[0]] * len(rows), "interval": [key[1]] * len(rows), "kind": kinds}
+    return pd.DataFrame({n: numbers[n] if n in numbers else np.array(words[n], object) for n in names})
+
+
 class CandleState:
     """Candle of the current bucket, and the last closed ones with the time each was closed."""
 
@@ -168,14 +177,16 @@ def stream_candles(ticks: DataFrame, intervals: tuple[str, ...], keep: int = KEE
 
     def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         own = CandleState(state.get[0] if state.exists else None, keep, ttl_ms)
-        rows, names = [], [f.split()[0] for f in REVISION.split(", ")]
+        rows, kinds = [], []
         for seq, *tick in in_order(frames, ["seq", "start_s", "micros", "units", "arrival_ms"]):
-            rows += [(*key, c[0], seq, kind, *c[1:]) for kind, c in own.tick(*tick)]
+            for kind, c in own.tick(*tick):
+                kinds.append(kind)
+                rows.append((c[0], seq, *c[1:]))
             if len(rows) > PART:
-                yield pd.DataFrame(rows, columns=names)
-                rows = []
+                yield revisions(key, kinds, rows)
+                rows, kinds = [], []
         state.update((own.saved(),))
-        yield pd.DataFrame(rows, columns=names)
+        yield revisions(key, kinds, rows)
 
     bucketed = with_bucket(expand_intervals(ticks, intervals)).select(
         "symbol", "interval", "start_s", "seq", "arrival_ms", (F.col("price") * F.lit(MICROS)).cast("bigint").alias("micros"), scale_volume(F.col("quantity")).alias("units")

@@ -183,12 +183,18 @@ class CandleSink:
         self.store.merge(final, batch_id)
         newest = final.groupBy(*KEY).agg(F.max_by(F.struct(*VALUES), "seq").alias("r")).select(*KEY, "r.*")
         self.windows.put(newest, batch_id)
+        # Of the live revisions, which are most, the newest of each key is all that counts.
+        rest = [c for c in rows.columns if c not in ("symbol", "interval")]
+        last = rows.where("kind = 'live'").groupBy("symbol", "interval").agg(F.max_by(F.struct(*rest), "seq").alias("r")).select("symbol", "interval", "r.*")
+        told = f"{self.path}/{batch_id}_told"
         closed_first = F.col("seq") * 2 + F.when(F.col("kind") == "live", 1).otherwise(0)
-        self.live.apply(rows.withColumn("closed", F.col("kind") != "live").withColumn("seq", closed_first), batch_id)
+        final.unionByName(last).withColumn("closed", F.col("kind") != "live").withColumn("seq", closed_first).write.mode("overwrite").parquet(told)
+        self.live.apply(spark.read.parquet(told), batch_id)
         if self.publish is not None:
             self.publish(rows, batch_id)
-        fs, at = self.store._files(f"{self.path}/{batch_id}")
-        fs.delete(at, True)
+        for done in (f"{self.path}/{batch_id}", told):
+            fs, at = self.store._files(done)
+            fs.delete(at, True)
 
 
 class Subscriptions(PartitionedTable):

@@ -310,6 +310,29 @@ def test_frames_to_store_over_a_restart(spark, tmp_path):
     assert got | open_ == want and not {r[:3] for r in got} & {r[:3] for r in open_}
 
 
+def test_frames_are_dealt_and_decoded_once(spark, tmp_path):
+    """A micro-batch of one file goes to all cores before it is decoded; filters on what is decoded do not decode it again."""
+    P.frame_log(spark, SF).coalesce(1).write.parquet(f"file://{tmp_path}/in")
+    frames = spark.read.parquet(f"file://{tmp_path}/in")
+    plan = Y.frames_to_candles(G.file_stream(spark, f"file://{tmp_path}/in", frames.schema), ("1m",))._jdf.queryExecution().analyzed().toString()
+    decoded = S.validate_ticks(S.decode_tick_frames(frames)[0])[0]._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("conv(") < plan.index("Repartition ") and decoded.count("conv(") <= 16
+    encoded = S.encode_tick_frames(S.event_ticks(spark, SF))[0]._jdf.queryExecution().optimizedPlan().toString()
+    assert encoded.count("unhex(") == 1
+
+
+def test_live_candles_get_the_newest_revisions_alone(spark, tmp_path):
+    """Of a thousand live revisions of a key in a micro-batch one goes on to the live candles; they end the same."""
+    rows = [(s, "1m", 60 * (q // 400), q, Dec(1), Dec(2), Dec(1), Dec(q), 5, k, 1) for s in "ab" for q in range(1000) for k in (["closed", "live"] if q in (400, 800) else ["live"])]
+    rows = [(s, i, t - 60 if k == "closed" else t, *r, k, n) for s, i, t, *r, k, n in rows]
+    batch = spark.createDataFrame(rows, f"{SCHEMA}, kind string, trades bigint")
+    live, seen = W.LiveCandles(spark, f"file://{tmp_path}/l"), []
+    apply = live.apply
+    live.apply = lambda events, n: (seen.append(events.count()), apply(events, n))
+    W.CandleSink(W.CandleStore(spark, f"file://{tmp_path}/c"), W.HotWindows(spark, f"file://{tmp_path}/w"), live, f"file://{tmp_path}/b")(batch, 0)
+    assert seen == [2 * 3] and [(r.symbol, r.start_s, r.close) for r in live.live().orderBy("symbol").collect()] == [("a", 120, Dec(999)), ("b", 120, Dec(999))]
+
+
 def five(spark, rows, schema):
     size = -(-len(rows) // 5)
     return [spark.createDataFrame(rows[i : i + size], schema) for i in range(0, len(rows), size)]
