@@ -205,6 +205,13 @@ def test_fan_outs_go_by_sessions(spark):
     assert out.count() == 20 * (60_000 - 101) and changes_of_session(out) < 0.02
 
 
+@pytest.mark.parametrize("name", ["stream_fan_out", "stream_fan_out_as_of"])
+def test_streams_store_deliveries_by_sessions(name, spark):
+    out = QUERIES[name](spark, SF.replace("0.001", "0.01"))
+    assert changes_of_session(out) < 0.1
+    assert sum(os.path.getsize(f.replace("file:///", "/")) for f in out.inputFiles()) < 0.9 * out.count()
+
+
 def test_fan_out_beyond_broadcasts(spark, monkeypatch):
     """Sessions of a hot symbol beyond what is broadcast meet its events in many tasks, each pair once; events may be equal."""
     follows = spark.createDataFrame([(f"u{i}", "aab"[i % 3]) for i in range(90)] + [("u0", None)], "session_id string, symbol string")
