@@ -208,7 +208,7 @@ def test_fan_outs_go_by_sessions(spark):
 @pytest.mark.parametrize("name", ["stream_fan_out", "stream_fan_out_as_of"])
 def test_streams_store_deliveries_by_sessions(name, spark):
     out = QUERIES[name](spark, SF.replace("0.001", "0.01"))
-    assert changes_of_session(out) < 0.1
+    assert changes_of_session(out) < 0.1 and all(f.endswith(".zstd.parquet") for f in out.inputFiles())
     assert sum(os.path.getsize(f.replace("file:///", "/")) for f in out.inputFiles()) < 0.9 * out.count()
 
 
